@@ -13,14 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import id_and_text, steps, table
 
 #: The bounded sample that the dictionaries are made of: documents a language, and bytes a language.
-SAMPLE_DOCUMENTS = 400
-DICTIONARY_BYTES = 96 << 10
+SAMPLE_DOCUMENTS = 800
+DICTIONARY_BYTES = 256 << 10
 CHUNK = 4096
-LEVEL = 3
+LEVEL = 5
 #: The least share by which the best size must beat the second.
 MARGIN = 0.01
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+#: What is no letter in ASCII, white space aside, says nothing about a language.
+_SIGNS = bytes(c for c in range(128) if not chr(c).isalpha() and c not in b" \n")
+
+
+def plain(text: str) -> bytes:
+    """Lower case, without ASCII signs and digits."""
+    return text.lower().encode().translate(None, _SIGNS)
 
 
 def fold(column: Column, parts: int) -> Column:
@@ -45,11 +52,12 @@ def dictionaries(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, size: i
     texts: dict[str, list[bytes]] = {}
     for row in first.select("lang", "n", F.substring(F.col("text").cast("binary"), F.lit(1), share).alias("text")).orderBy("lang", "n").collect():
         texts.setdefault(row.lang, []).append(bytes(row.text))
-    return {lang: b"\n".join(ts).decode("utf-8", "ignore").encode()[:size] for lang, ts in texts.items()}
+    # languages in order of their number of documents: ties go to the first
+    return {lang: b"\n".join(plain(t.decode("utf-8", "ignore")) for t in texts[lang])[:size] for lang in sorted(texts, key=lambda k: (-counts[k], k))}
 
 
 def _predict(content: dict[str, bytes], margin: float):
-    langs = sorted(content)
+    langs = list(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packers = []
@@ -61,12 +69,13 @@ def _predict(content: dict[str, bytes], margin: float):
         for batch in steps(batches):
             preds, scores, sure = [], [], []
             for text in batch.column("text").to_pylist():
-                if text is None or not langs or not _LETTER.search(text.decode("utf-8", "replace")):
+                text = None if text is None else text.decode("utf-8", "replace")
+                if text is None or not langs or not _LETTER.search(text):
                     preds.append(UNKNOWN)
                     scores.append(0.0)
                     sure.append(False)
                     continue
-                sizes = np.zeros(len(langs))
+                text, sizes = plain(text), np.zeros(len(langs))
                 for at in range(0, len(text), CHUNK):
                     chunk = text[at : at + CHUNK]
                     sizes += [len(p(chunk)) for p in packers] - empty
@@ -87,7 +96,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], margin: float = MARGIN)
 
     A text is compressed whole, in chunks, with each language's dictionary, and chunk sizes are added. accepted is false
     where the margin is narrow. A text that is null or has no letter is `und` with score 0, and so is every text if no
-    language was learned; ties go to the first language by code point. Repeated rows are predicted alike; other columns
+    language was learned; ties go to the first in `content`, the commonest language. Case and ASCII signs are left out. Repeated rows are predicted alike; other columns
     stay behind; an empty table gives an empty one.
     """
     return id_and_text(docs).mapInArrow(_predict(content, margin), "doc_id long, lang_pred string, score double, accepted boolean")

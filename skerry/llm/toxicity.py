@@ -19,8 +19,8 @@ from .langid import fold
 SAMPLE = 20_000
 LEXICON = 500
 STEM = (4, 8)
-#: Least support in toxic documents, share of toxic among documents with the stem, and likelihood ratio.
-SUPPORT, PURITY, RATIO = 3, 0.7, 18.0
+#: Least support in toxic documents, in number and as a share of them; share of toxic among documents with the stem; likelihood ratio.
+SUPPORT, SHARE, PURITY, RATIO = 3, 0.004, 0.7, 18.0
 #: Phrases in which a lexicon word says nothing; others are learned.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "pond scum")
 
@@ -31,6 +31,9 @@ DIGITS = dict(zip("0134578926", "oieastbgzg"))
 SIGNS = dict(zip("@$!|", "asii"))
 _BETWEEN = re.compile(r"(?<=[^\W_])[@$!|]+(?=[^\W_])")
 _ANY_SIGN = re.compile(r"[^\W_][@$!|]")
+_ANY_DIGIT = re.compile("[0-9]")
+#: A number that touches no letter stands for itself.
+_NUMBER = re.compile(r"(?<![^\W_])[0-9]+(?![^\W_])")
 
 
 class Folding(dict):
@@ -55,6 +58,8 @@ FOLDING = Folding()
 def folded(text: str) -> str:
     if _ANY_SIGN.search(text):
         text = _BETWEEN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
+    if _ANY_DIGIT.search(text):
+        text = _NUMBER.sub(" ", text)
     return text.translate(FOLDING)
 
 
@@ -160,7 +165,7 @@ def learn(labelled: DataFrame) -> Model:
         rate = toxic / (toxic + clean)
         n = F.col("a") + F.col("b")
         ratio = 2 * (F.col("a") * F.log(F.col("a") / (n * rate)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (n * (1 - rate)))).otherwise(0))
-        good = terms.where((F.col("a") >= SUPPORT) & (F.col("a") >= PURITY * n)).withColumn("ratio", ratio).where(F.col("ratio") > RATIO)
+        good = terms.where((F.col("a") >= max(SUPPORT, SHARE * toxic)) & (F.col("a") >= PURITY * n)).withColumn("ratio", ratio).where(F.col("ratio") > RATIO)
         rows = good.orderBy(F.desc("ratio"), F.length("term"), "term").limit(20 * LEXICON).collect()
         # a stem that is the start of a longer one takes its place
         chosen = set()
