@@ -1,4 +1,6 @@
 """Registered queries and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import basics
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "basics"]
