@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB twins."""
 
-from . import basics
+from . import basics, scoring
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics"]
+__all__ = ["ORACLES", "QUERIES", "basics", "scoring"]
