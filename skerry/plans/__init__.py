@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB twins."""
 
-from . import basics, scoring
+from . import basics, features, scoring
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "basics", "features", "scoring"]
