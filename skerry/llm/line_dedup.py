@@ -143,7 +143,8 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_doc
 
     drops = keys.join(frequent, "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = written(drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__h")), "drops")
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(drops["__id"]), "left").select(*[docs[c] for c in docs.columns], "__h")
+    # dealt by id at every size: a choice by size would move no text on small inputs and all of it on large ones
+    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(drops["__id"]), "left").select(*[docs[c] for c in docs.columns], "__h")
     names = [f"c{i}" for i in range(len(docs.columns))]
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
     out = joined.mapInArrow(_kept(docs.columns.index("text"), min_code_points), f"{kinds}, c{len(names)} long, c{len(names) + 1} long")
