@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it; size-0 rows take no budget and stay once. All columns stay; rows with a shared doc_id share their turn count."""
     turns = mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int"))).alias("__turns")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(turns, docs["doc_id"].cast("long").eqNullSafe(turns["__id"])).where("__turns > 0")
+    joined = docs.join(turns.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(turns["__id"])).where("__turns > 0")
     copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__turns"))))
     return copies.select(*[docs[c] for c in docs.columns])
 

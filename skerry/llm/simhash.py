@@ -174,7 +174,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     """docs without near-copies: of each component the row with the smallest doc_id stays, once. Rows without a doc_id stay as they are."""
     kept = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
     kept = written(kept, "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
