@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB twins."""
 
-from . import basics, features, scoring
+from . import basics, expressions, features, feeds, scoring
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics", "features", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "basics", "expressions", "features", "feeds", "scoring"]
