@@ -9,6 +9,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import id_and_text, steps, table, written
@@ -68,7 +69,7 @@ def super_kmers(codes: np.ndarray, counts: np.ndarray, window: int, mer: int) ->
 
 
 def _pack(window: int, mer: int, buckets: int):
-    """(bucket, blob): the super-k-mers of a step of texts, by bucket; bucket -1 holds marks that need no more counting.
+    """(bucket, blob): the super-k-mers of a step of texts, by bucket; rows without a blob are marks that need no more counting.
 
     Of equal packed strings within the step one goes on, marked: all its places are repeats already, whatever else there
     is. So a hot passage costs its bucket a string for each step and not for each document.
@@ -118,14 +119,14 @@ def _pack(window: int, mer: int, buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(len(where), t) for t in (pa.binary(), pa.int32(), pa.int32())]], ["bucket", "blob", "rid", "start", "count"])
             if marks:
                 r, s, c = zip(*marks)
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(r), pa.int32()), pa.nulls(len(r), pa.binary()), pa.array(r, pa.binary()), pa.array(s, pa.int32()), pa.array(c, pa.int32())], ["bucket", "blob", "rid", "start", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:4], "big") % buckets for x in r], pa.int32()), pa.nulls(len(r), pa.binary()), pa.array(r, pa.binary()), pa.array(s, pa.int32()), pa.array(c, pa.int32())], ["bucket", "blob", "rid", "start", "count"])
 
     return run
 
 
 def squeezed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -194,6 +195,10 @@ def _count(window: int, group_bytes: int):
 
         here, blobs, out = None, [], []
         for batch in batches:
+            through = batch.filter(batch.column("blob").is_null())
+            if through.num_rows:
+                yield pa.RecordBatch.from_arrays([through.column("rid"), through.column("start"), through.column("count"), pa.nulls(through.num_rows, pa.binary())], ["rid", "start", "count", "packed"])
+            batch = batch.filter(batch.column("blob").is_valid())
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
                 if bucket != here and blobs:
                     for row in of_bucket(blobs):
@@ -221,22 +226,22 @@ def repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, group_bytes:
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, round(3.3 * size / BUCKET_BYTES))  # overlapping strings are about three times the text
     dealt = own.mapInArrow(_pack(window, mer, buckets), "bucket int, blob binary, rid binary, start int, count int")
-    dealt = written(dealt, "kmers")
-    counted = dealt.where("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, group_bytes), MARKS)
+    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, group_bytes), MARKS)
     counted = written(counted, "counted")
     apart = counted.where("packed IS NOT NULL")
     # a string that was marked before has no row id here, and counts for two
     twice = apart.groupBy("packed").agg(F.sum(F.when(F.col("rid").isNull(), 2).otherwise(1)).alias("n")).where("n > 1").select("packed")
     apart = apart.where("rid IS NOT NULL").join(twice, "packed", "left_semi")
-    return dealt.where("bucket < 0").select("rid", "start", "count").unionByName(counted.where("packed IS NULL").select("rid", "start", "count")).unionByName(apart.select("rid", "start", "count"))
+    return counted.where("packed IS NULL").select("rid", "start", "count").unionByName(apart.select("rid", "start", "count"))
 
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n_words, removed, kept = [], [], []
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
-                words = (text or b"").split()
+                words = unpack(text).split()
                 n = len(words)
                 n_words.append(n)
                 if marks:
@@ -253,9 +258,12 @@ def _cut(window: int):
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the row's id, and packs its text for the way to its marks."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in steps(batches):
-        rids = [row_id(i, t or b"") for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rids, pa.binary())], ["doc_id", "text", "rid"])
+        texts = [t or b"" for t in batch.column("text").to_pylist()]
+        rids = [row_id(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), texts)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack(t) for t in texts], pa.binary()), pa.array(rids, pa.binary())], ["doc_id", "text", "rid"])
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, mer: int = MER, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -268,7 +276,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, mer: int = MER, grou
     marks = repeats(docs, window, mer, group_bytes).groupBy(F.col("rid").alias("mark_rid")).agg(F.collect_list(F.struct("start", "count")).alias("marks"))
     marks = written(marks, "marks")
     rows = id_and_text(docs).mapInArrow(_keyed, "doc_id long, text binary, rid binary")
-    return rows.join(marks, rows.rid == marks.mark_rid, "left").select("doc_id", "text", "marks").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept binary")
+    # dealt by row id at every size, so that what moves grows with the input
+    return rows.join(marks.hint("shuffle_hash"), rows.rid == marks.mark_rid, "left").select("doc_id", "text", "marks").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
