@@ -19,8 +19,8 @@ TOKENIZER = "word_bpe_49k.json"
 ITEMS = 20_000
 ROUNDS = 6
 CACHE = 200_000
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
-_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile("[\n!-~À-ÖØ-öø-įı-ňŊ-ž]+")
+_PRETOKEN = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordCache(dict):
@@ -35,6 +35,7 @@ class WordCache(dict):
         import regex
         from tokenizers import Tokenizer
 
+        self.piece_most = 2 * most
         self.tokenizer, self.most, self.old, self.pieces, self.old_pieces = Tokenizer.from_file(path), most, {}, {}, {}
         self.cut = regex.compile(_PRETOKEN).findall
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -62,28 +63,39 @@ class WordCache(dict):
         return ids
 
     def learn(self, runs: set[bytes]) -> None:
-        """After this, every one of runs is in the cache, and what was in it is still found."""
+        """After this, every one of runs is found in the cache, and what was in it is still found."""
         if len(self) + len(runs) > self.most:
             self.old = dict(self)
             self.clear()
-        if len(self.pieces) > self.most:
+        if len(self.pieces) > self.piece_most:
             self.old_pieces, self.pieces = self.pieces, {}
-        new, known = {}, self.pieces
-        for run in runs:
-            if (ids := self.old.get(run)) is not None:
-                self[run] = ids
-            elif _PLAIN.fullmatch(text := run.decode("utf-8", "replace")) and "<|" not in text:
-                new[run] = self.cut(text.lower())
-            else:
-                self[run] = self._whole(run)
-        missing = {p for ps in new.values() for p in ps if p not in known}
-        for p in [p for p in missing if p in self.old_pieces]:
-            known[p] = self.old_pieces[p]
-            missing.discard(p)
-        missing = list(missing)
+        new = list(runs - self.old.keys())
+        text = b"\n".join(new).decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            plain = []
+            for run in new:
+                text = run.decode("utf-8", "replace")
+                if _PLAIN.fullmatch(text) and "<|" not in text:
+                    plain.append(run)
+                else:
+                    self[run] = self._whole(run)
+            new, text = plain, b"\n".join(plain).decode()
+        if not new:
+            return
+        cut, known, old = self.cut(text.lower()), self.pieces, self.old_pieces
+        missing = set(cut) - known.keys()
+        missing.discard("\n")
+        known.update((p, old[p]) for p in missing & old.keys())
+        missing = list(missing - old.keys())
         known.update(zip(missing, self._encode(missing)))
-        for run, ps in new.items():
-            self[run] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        at, ids = iter(new), []
+        for piece in cut:
+            if piece == "\n":
+                self[next(at)] = b"".join(ids)
+                ids = []
+            else:
+                ids.append(known[piece])
+        self[next(at)] = b"".join(ids)
 
 
 _CACHES: dict[str, WordCache] = {}
