@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB twins."""
 
-from . import basics, expressions, features, feeds, scoring
+from . import basics, expressions, features, feeds, scoring, training
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics", "expressions", "features", "feeds", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "basics", "expressions", "features", "feeds", "scoring", "training"]
