@@ -59,7 +59,7 @@ class Runs:
 
     def _merge(self, names: list[str]) -> DataFrame:
         # read as plain files: Spark 4.1 takes a union of bucketed tables for one that is dealt by h, and then splits keys
-        both = self.spark.read.parquet(*[self.paths[name] for name in names])
+        both = self.spark.read.schema("h binary, documents long, keeper long").parquet(*[self.paths[name] for name in names])
         return both.groupBy("h").agg(F.sum("documents").alias("documents"), F.max("keeper").alias("keeper"))
 
     def names(self) -> list[str]:
