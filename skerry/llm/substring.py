@@ -12,12 +12,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import id_and_text, steps, table, written
+from .common import id_and_text, slots, steps, table, written
 
 WINDOW = 35
 MER = 5
 #: Bytes of packed strings that a bucket should hold, before compression.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
+#: Bytes of text that are packed together.
+STEP = 2 << 20
 #: Bytes of packed strings with one minimiser that are counted in memory; a larger group's windows go by a shuffle of their own.
 GROUP_BYTES = 48 << 20
 _FIELDS = pa.schema([("mini", pa.int64()), ("packed", pa.binary()), ("rid", pa.binary()), ("start", pa.int32()), ("marked", pa.bool_())])
@@ -76,7 +78,7 @@ def _pack(window: int, mer: int, buckets: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, most=STEP):
             rids, joined, offsets, codes, counts = [], [], [], [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = (text or b"").split()
@@ -224,9 +226,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, group_bytes:
     """(rid, start, count): runs of windows, from place `start` of the row's words, that also start anywhere else."""
     own = id_and_text(docs)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, round(3.3 * size / BUCKET_BYTES))  # overlapping strings are about three times the text
+    parts = slots(docs.sparkSession)
+    buckets = max(4 * parts, round(3.3 * size / BUCKET_BYTES))  # overlapping strings are about three times the text
     dealt = own.mapInArrow(_pack(window, mer, buckets), "bucket int, blob binary, rid binary, start int, count int")
-    counted = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, group_bytes), MARKS)
+    counted = dealt.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, group_bytes), MARKS)
     counted = written(counted, "counted")
     apart = counted.where("packed IS NOT NULL")
     # a string that was marked before has no row id here, and counts for two
