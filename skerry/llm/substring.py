@@ -285,3 +285,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, mer: int = MER, grou
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM texts),
+windows AS (
+  SELECT rid, pos, word, string_agg(word, ' ') OVER w AS k, count(*) OVER w AS n
+  FROM words WINDOW w AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+often AS (SELECT k FROM windows WHERE n = 35 GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT a.rid, a.pos, a.word, CAST(a.n = 35 AND b.k IS NOT NULL AS INT) AS repeated FROM windows a LEFT JOIN often b ON a.k = b.k),
+judged AS (SELECT *, max(repeated) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM starts)
+SELECT any_value(t.doc_id) AS doc_id, count(j.pos) AS n_words, count(*) FILTER (gone = 1) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0), '')) AS kept_sha256
+FROM texts t LEFT JOIN judged j USING (rid) GROUP BY t.rid
+"""
