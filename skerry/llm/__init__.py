@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op5_source_mixing": mixing.OP5_SQL, "op7_substring_dedup": substring.OP7_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op5_source_mixing": mixing.OP5_SQL, "op6_quality_rules": quality.OP6_SQL, "op7_substring_dedup": substring.OP7_SQL}

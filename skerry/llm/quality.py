@@ -155,3 +155,34 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).select("doc_id", *[F.col(f"__{k}").alias(k) for k in (*MEASURES[:5], "base_failed", "kept")])
+
+
+OP6_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT rid, len(ws) AS n, greatest(16, CAST(floor(0.2::DOUBLE * len(ws)) AS BIGINT) + 1) AS m, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM texts),
+windows AS (
+  SELECT rid, n, m, pos, word,
+         string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS k8,
+         string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS k16,
+         string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND m - 1 FOLLOWING) AS km
+  FROM words),
+repeated AS (
+  SELECT rid, n, pos, word,
+         CAST(pos + 7 <= n AND count(*) FILTER (pos + 7 <= n) OVER (PARTITION BY rid, k8) > 1 AS INT) AS r8,
+         CAST(pos + 15 <= n AND count(*) FILTER (pos + 15 <= n) OVER (PARTITION BY rid, k16) > 1 AS INT) AS r16,
+         CAST(pos + m - 1 <= n AND count(*) FILTER (pos + m - 1 <= n) OVER (PARTITION BY rid, km) > 1 AS INT) AS rm
+  FROM windows),
+covered AS (
+  SELECT rid, n, word, rm, max(r8) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c8,
+         max(r16) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS c16
+  FROM repeated),
+sums AS (SELECT rid, sum(length(word))::BIGINT AS chars, sum(c8)::BIGINT AS c8, sum(c16)::BIGINT AS c16, max(rm) AS rm FROM covered GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS dups FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+base AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(dups, 0) AS n_dup_lines, coalesce(c8, 0) AS n_repeat_words, coalesce(c16, 0) AS c16, coalesce(rm, 0) AS rm
+  FROM texts LEFT JOIN sums USING (rid) LEFT JOIN lines USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND c16 <= 0.3::DOUBLE * n_words AND rm = 0 AS kept
+FROM base
+"""
