@@ -68,6 +68,8 @@ def ml3(spark: SparkSession, d: str) -> DataFrame:
     before = hourly(spark, d).where("hour(hour) < 9").groupBy("station", F.to_date("hour").alias("day")).agg(F.avg("v").alias("mean"), F.max("v").alias("top"), F.count("*").cast("double").alias("k"))
     rows = vectors(spells(spark, d).join(before, ["station", "day"], "left").withColumn("has", (F.col("longest") >= 3).cast("int")), ["mean", "top", "k"])
     rows = split_by_time(rows, ["station"], "day")
+    if rows.where("part <> 'test'").isEmpty():  # no whole day yet
+        return rows.select("station", "day", "has", F.lit(None).cast("double").alias("p"))
     model = GBTClassifier(featuresCol="x", labelCol="has", maxIter=8, maxDepth=2, seed=7).fit(rows.where("part <> 'test'"))
     return model.transform(rows.where("part = 'test'")).select("station", "day", "has", F.round(vector_to_array("probability")[1], 6).alias("p"))
 

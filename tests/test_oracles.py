@@ -63,4 +63,5 @@ def test_matches_its_twin(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_others_give_rows(spark, name):
-    assert plans.QUERIES[name](spark, DATA).limit(1).count() == 1
+    """On the next size, as the smallest has no whole days."""
+    assert plans.QUERIES[name](spark, DATA.replace("0.001", "0.01")).limit(1).count() == 1
