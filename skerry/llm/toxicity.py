@@ -20,7 +20,7 @@ SAMPLE = 20_000
 LEXICON = 500
 STEM = (4, 8)
 #: Least support in toxic documents, in number and as a share of them; share of toxic among documents with the stem; likelihood ratio.
-SUPPORT, SHARE, PURITY, RATIO = 3, 0.004, 0.7, 18.0
+SUPPORT, SHARE, PURITY, RATIO = 3, 0.02, 0.7, 18.0
 #: Phrases in which a lexicon word says nothing; others are learned.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "pond scum")
 
@@ -167,12 +167,14 @@ def learn(labelled: DataFrame) -> Model:
         ratio = 2 * (F.col("a") * F.log(F.col("a") / (n * rate)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (n * (1 - rate)))).otherwise(0))
         good = terms.where((F.col("a") >= max(SUPPORT, SHARE * toxic)) & (F.col("a") >= PURITY * n)).withColumn("ratio", ratio).where(F.col("ratio") > RATIO)
         rows = good.orderBy(F.desc("ratio"), F.length("term"), "term").limit(20 * LEXICON).collect()
-        # a stem that is the start of a longer one takes its place
-        chosen = set()
-        for row in sorted(rows, key=lambda r: (len(r.term), r.term)):
-            if not any(row.term[:k] in chosen for k in range(STEM[0], len(row.term))):
+        # best first; a stem that starts another, or is the start of one, is the same evidence again
+        best, chosen, starts = [], set(), set()
+        for row in rows:
+            own = {row.term[:k] for k in range(STEM[0], len(row.term))}
+            if len(best) < LEXICON and row.term not in starts and not own & chosen:
+                best.append(row)
                 chosen.add(row.term)
-        best = [r for r in rows if r.term in chosen][:LEXICON]
+                starts |= own
         weights = {r.term: math.log((r.a + 0.5) / (toxic + 1)) - math.log((r.b + 0.5) / (clean + 1)) for r in best}
         if weights:
             pairs = labelled.mapInArrow(_counted("phrases", tuple(weights)), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
