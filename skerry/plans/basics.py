@@ -36,10 +36,10 @@ def src3(spark: SparkSession, d: str) -> DataFrame:
     return events.unionByName(tree.read_or_empty(spark, f"{d}/no_such_table", events.schema)).groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("n"))
 
 
-@query("src4_optional_column", "SELECT event_id, 10000.0::DOUBLE AS visibility, value FROM events WHERE value > 200")
+@query("src4_optional_column", "SELECT event_id, 10000.0::DOUBLE AS visibility, value FROM events")
 def src4(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
-    return e.where("value > 200").select("event_id", tree.column_or(e, "visibility", 10000.0), tree.column_or(e, "value", 0.0).alias("value"))
+    return e.select("event_id", tree.column_or(e, "visibility", 10000.0), tree.column_or(e, "value", 0.0).alias("value"))
 
 
 @query("flt1_training_filter", f"SELECT station, model, lead, count(*) AS n FROM fcst WHERE list_contains({HIGH}, model) AND lead IN (24, 48) GROUP BY ALL")
@@ -230,11 +230,12 @@ def jn3(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("jn4_nearest", """SELECT a.event_id, arg_min(b.event_id, abs(epoch_us(b.ts) - epoch_us(a.ts)) * 1000000000000::HUGEINT + CASE WHEN b.ts > a.ts THEN 100000000000 ELSE 0 END + b.event_id) AS near_id
-FROM (SELECT * FROM obs WHERE station = 0 AND event_id % 3 = 0) a LEFT JOIN (SELECT * FROM obs WHERE station = 0 AND event_id % 3 <> 0) b ON a.station = b.station AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 3600000000 GROUP BY 1""")
+FROM (SELECT event_id, ts, user_id % 5 AS station FROM events WHERE event_type = 'view') a LEFT JOIN (SELECT event_id, ts, user_id % 5 AS station FROM events WHERE event_type <> 'view') b ON a.station = b.station AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 3600000000 GROUP BY 1""")
 def jn4(spark: SparkSession, d: str) -> DataFrame:
-    o = obs(spark, d).where("station = 0")
-    right = o.where("event_id % 3 <> 0").withColumn("near_id", F.col("event_id"))
-    return jn.nearest_join(o.where("event_id % 3 = 0"), right, ["station"], "ts", "ts", ["near_id"], 3600, ["event_id"], ["near_id"]).select("event_id", "near_id")
+    """One type of event next to all the others of its station."""
+    e = read(spark, d, "events").selectExpr("event_id", "ts", "CAST(user_id % 5 AS INT) AS station", "event_type")
+    right = e.where("event_type <> 'view'").withColumn("near_id", F.col("event_id"))
+    return jn.nearest_join(e.where("event_type = 'view'"), right, ["station"], "ts", "ts", ["near_id"], 3600, ["event_id"], ["near_id"]).select("event_id", "near_id")
 
 
 @query("jn5_persistence", "SELECT p.lead, count(*) AS n, count(*) - count(t.y) AS missed, round(avg(abs(t.y - p.y)), 6) AS mae FROM pred p LEFT JOIN truth t ON t.station = p.station AND t.valid = p.valid - to_hours(p.lead) GROUP BY 1")
@@ -281,11 +282,15 @@ def jn10(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["station", "valid", "lead"], "left").groupBy("station", "lead").agg(F.count("*").alias("anchors"), F.count("purchase").alias("present"))
 
 
-@query("jn11_two_stations", "SELECT a.hour, round(a.v, 6) AS v0, round(b.v, 6) AS v1 FROM hourly a JOIN hourly b USING (hour) WHERE a.station = 0 AND b.station = 1")
+def station_pairs(hours: DataFrame, *columns: str) -> DataFrame:
+    """(a, b, hour, <column>_a, <column>_b) for each two stations that both have the hour."""
+    one, two = (hours.select(F.col("station").alias(n), "hour", *[F.col(c).alias(f"{c}_{n}") for c in columns]) for n in "ab")
+    return one.join(two, "hour").where("a < b")
+
+
+@query("jn11_two_stations", "SELECT a.station AS a, b.station AS b, a.hour, round(a.v, 6) AS v_a, round(b.v, 6) AS v_b FROM hourly a JOIN hourly b USING (hour) WHERE a.station < b.station")
 def jn11(spark: SparkSession, d: str) -> DataFrame:
-    h = hourly(spark, d)
-    a, b = h.where("station = 0").select("hour", F.round("v", R6).alias("v0")), h.where("station = 1").select("hour", F.round("v", R6).alias("v1"))
-    return a.join(b, "hour")
+    return rounded(station_pairs(hourly(spark, d), "v"), "v_a", "v_b")
 
 
 @query("jn12_composite", "SELECT hour, round(sum(v * (station + 1)) / sum(station + 1), 6) AS v FROM hourly JOIN region ON r_regionkey = station GROUP BY hour HAVING count(DISTINCT station) = 5")
@@ -374,17 +379,16 @@ def agg12(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ag.null_shares(w, ["lead", "h"], MODELS), *[f"null_{m}" for m in MODELS]).join(both, ["lead", "h"])
 
 
-@query("agg13_agreement", """, j AS (SELECT a.v AS a, b.v AS b, a.v >= 45 AS wa, b.v >= 45 AS wb FROM hourly a JOIN hourly b USING (hour) WHERE a.station = 0 AND b.station = 1),
-c AS (SELECT count(*) FILTER (wa AND wb) AS both_wet, count(*) FILTER (wa AND NOT wb) AS only_a, count(*) FILTER (wb AND NOT wa) AS only_b, count(*) FILTER (NOT wa AND NOT wb) AS neither, count(*)::DOUBLE AS n, corr(a, b) AS r FROM j)
-SELECT both_wet, only_a, only_b, neither, round(r, 6) AS r, round(((both_wet + neither) / n - ((both_wet + only_a) * (both_wet + only_b) + (neither + only_b) * (neither + only_a)) / (n * n)) / (1 - ((both_wet + only_a) * (both_wet + only_b) + (neither + only_b) * (neither + only_a)) / (n * n)), 6) AS kappa FROM c""")
+@query("agg13_agreement", """, j AS (SELECT a.station AS a, b.station AS b, a.v AS va, b.v AS vb, a.v >= 45 AS wa, b.v >= 45 AS wb FROM hourly a JOIN hourly b USING (hour) WHERE a.station < b.station),
+c AS (SELECT a, b, count(*) FILTER (wa AND wb) AS both_wet, count(*) FILTER (wa AND NOT wb) AS only_a, count(*) FILTER (wb AND NOT wa) AS only_b, count(*) FILTER (NOT wa AND NOT wb) AS neither, count(*)::DOUBLE AS n, corr(va, vb) AS r FROM j GROUP BY ALL)
+SELECT a, b, both_wet, only_a, only_b, neither, round(r, 6) AS r, round(((both_wet + neither) / n - ((both_wet + only_a) * (both_wet + only_b) + (neither + only_b) * (neither + only_a)) / (n * n)) / (1 - ((both_wet + only_a) * (both_wet + only_b) + (neither + only_b) * (neither + only_a)) / (n * n)), 6) AS kappa FROM c""")
 def agg13(spark: SparkSession, d: str) -> DataFrame:
-    h = hourly(spark, d)
-    j = h.where("station = 0").select("hour", F.col("v").alias("a")).join(h.where("station = 1").select("hour", F.col("v").alias("b")), "hour")
-    wa, wb = F.col("a") >= WET, F.col("b") >= WET
-    c = j.agg(F.count_if(wa & wb).alias("both_wet"), F.count_if(wa & ~wb).alias("only_a"), F.count_if(wb & ~wa).alias("only_b"), F.count_if(~wa & ~wb).alias("neither"), F.corr("a", "b").alias("r"))
+    j = station_pairs(hourly(spark, d), "v")
+    wa, wb = F.col("v_a") >= WET, F.col("v_b") >= WET
+    c = j.groupBy("a", "b").agg(F.count_if(wa & wb).alias("both_wet"), F.count_if(wa & ~wb).alias("only_a"), F.count_if(wb & ~wa).alias("only_b"), F.count_if(~wa & ~wb).alias("neither"), F.corr("v_a", "v_b").alias("r"))
     n = F.expr("CAST(both_wet + only_a + only_b + neither AS DOUBLE)")
     chance = F.expr("(both_wet + only_a) * (both_wet + only_b) + (neither + only_b) * (neither + only_a)") / (n * n)
-    return c.select("both_wet", "only_a", "only_b", "neither", F.round("r", R6).alias("r"), F.round(F.try_divide((F.col("both_wet") + F.col("neither")) / n - chance, 1 - chance), R6).alias("kappa"))
+    return c.select("a", "b", "both_wet", "only_a", "only_b", "neither", F.round("r", R6).alias("r"), F.round(F.try_divide((F.col("both_wet") + F.col("neither")) / n - chance, 1 - chance), R6).alias("kappa"))
 
 
 @query("agg14_class_balance", "SELECT station, count(*) AS n, " + ", ".join(f"count(*) FILTER (y >= {t}) AS over_{t}" for t in (40, 45, 50, 60)) + " FROM truth GROUP BY 1")

@@ -9,7 +9,7 @@ from ..operators import aggregates as ag, audit as au, dedup as dd, joins as jn,
 from .basics import CELL, PIVOT_SQL, rounded, wide
 from .registry import query
 from .scoring import TS1_SQL, training_table
-from .views import MODELS, WET, fcst, hourly, obs, pred, read, truth
+from .views import MODELS, WET, fcst, hourly, pred, read, truth
 
 ANGLES_SQL = "round(sin(2 * pi() * hour(valid) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(valid) / 24), 6) AS hour_cos, round(sin(2 * pi() * (dayofyear(valid) - 1) / 365), 6) AS doy_sin, round(cos(2 * pi() * (dayofyear(valid) - 1) / 365), 6) AS doy_cos"
 
@@ -110,11 +110,12 @@ def ts20(spark: SparkSession, d: str) -> DataFrame:
     return leads.join(F.broadcast(anchor)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23)))).select("lead", (F.col("day") + F.make_dt_interval(F.lit(0), F.col("lead") + F.col("h"))).alias("valid"))
 
 
-@query("ts21_upper_air_age", """SELECT l.event_id, r.event_id AS used, date_diff('minute', r.ts, l.ts) AS age FROM (SELECT * FROM obs WHERE event_id % 2 = 0) l ASOF LEFT JOIN (SELECT * FROM obs WHERE event_id % 7 = 1) r ON l.station = r.station AND l.ts >= r.ts""")
+@query("ts21_upper_air_age", """, o AS (SELECT event_id, ts, user_id % 5 AS station, event_type FROM events), u AS (SELECT * FROM o WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY station, ts ORDER BY event_id DESC) = 1)
+SELECT l.event_id, r.event_id AS used, date_diff('minute', r.ts, l.ts) AS age FROM (SELECT * FROM o WHERE event_type <> 'view') l ASOF LEFT JOIN u r ON l.station = r.station AND l.ts >= r.ts""")
 def ts21(spark: SparkSession, d: str) -> DataFrame:
-    o = obs(spark, d)
-    right = dd.latest(o.where("event_id % 7 = 1"), ["station", "ts"], ["event_id"]).withColumn("used", F.col("event_id"))
-    out = jn.asof_join(o.where("event_id % 2 = 0"), right, ["station"], "ts", "ts", ["used"])
+    o = read(spark, d, "events").selectExpr("event_id", "ts", "CAST(user_id % 5 AS INT) AS station", "event_type")
+    right = dd.latest(o.where("event_type = 'view'"), ["station", "ts"], ["event_id"]).withColumn("used", F.col("event_id"))
+    out = jn.asof_join(o.where("event_type <> 'view'"), right, ["station"], "ts", "ts", ["used"])
     minute = lambda c: F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("MINUTE", F.col(c)).cast("timestamp_ntz"))
     return out.select("event_id", "used", (minute("ts") - minute("asof")).alias("age"))
 
@@ -174,11 +175,12 @@ def run6(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("run7_label_agreement", DAY_SQL + """, l AS (SELECT station, day, w, longest >= w AS has FROM sp, (VALUES (2), (3), (4)) t(w))
-SELECT a.w AS "window", count(*) AS n, count(*) FILTER (a.has = b.has) AS agree, count(*) FILTER (a.has AND NOT b.has) AS only_first FROM l a JOIN l b USING (day, w) WHERE a.station = 0 AND b.station = 1 GROUP BY 1""")
+SELECT a.station AS a, b.station AS b, a.w AS "window", count(*) AS n, count(*) FILTER (a.has = b.has) AS agree, count(*) FILTER (a.has AND NOT b.has) AS only_first FROM l a JOIN l b USING (day, w) WHERE a.station < b.station GROUP BY ALL""")
 def run7(spark: SparkSession, d: str) -> DataFrame:
     lab = sp.windows_of(spells(spark, d), (2, 3, 4))
-    a, b = (lab.where(F.col("station") == s).select("day", "window", F.col("has").alias(n)) for s, n in ((0, "a"), (1, "b")))
-    return a.join(b, ["day", "window"]).groupBy("window").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("only_first"))
+    one, two = (lab.select(F.col("station").alias(n), "day", "window", F.col("has").alias(f"has_{n}")) for n in "ab")
+    both = one.join(two, ["day", "window"]).where("a < b")
+    return both.groupBy("a", "b", "window").agg(F.count("*").alias("n"), F.count_if(F.col("has_a") == F.col("has_b")).alias("agree"), F.count_if((F.col("has_a") == 1) & (F.col("has_b") == 0)).alias("only_first"))
 
 
 @query("run8_simulated_windows")

@@ -78,15 +78,16 @@ def src10(spark: SparkSession, d: str) -> DataFrame:
     return out.select("station", "ts", "v")
 
 
-@query("src11_sectioned_csv", "SELECT hour AS ob_time, round(avg(v) * 0.514444::DOUBLE, 6) AS wind_ms FROM obs WHERE station = 0 AND hour(hour) % 2 = 0 GROUP BY 1")
+@query("src11_sectioned_csv", "SELECT hour AS ob_time, round(arg_min(v, station) * 0.514444::DOUBLE, 6) AS wind_ms FROM hourly WHERE hour(hour) % 2 = 0 GROUP BY 1")
 def src11(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each station and day; rows of every other hour are of a kind that is left out, and the first file wins."""
     path = folder(spark, "sections")
-    h = obs(spark, d).where("station = 0").groupBy("hour").agg(F.avg("v").alias("v"))
+    h = obs(spark, d).groupBy("station", "hour").agg(F.avg("v").alias("v"))
     kind = F.when(F.hour("hour") % 2 == 0, "SYNOP").otherwise("METAR")
     line = F.concat_ws(",", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"), kind, F.col("v").cast("string"), F.lit("NA"))
-    files = h.groupBy(F.to_date("hour").alias("day")).agg(F.array_join(F.concat(F.array(F.lit("title,x"), F.lit("data"), F.lit("ob_time,met_domain_name,wind_speed,wind_direction")), F.array_sort(F.collect_list(line)), F.array(F.lit("end data"), F.lit(""))), "\n").alias("value"))
-    files.repartition("day").write.partitionBy("day").option("lineSep", "\n").text(path)
-    return rounded(fd.sectioned_csv(spark, f"{path}/day=*").select("ob_time", "wind_ms"), "wind_ms")
+    files = h.groupBy("station", F.to_date("hour").alias("day")).agg(F.array_join(F.concat(F.array(F.lit("title,x"), F.lit("data"), F.lit("ob_time,met_domain_name,wind_speed,wind_direction")), F.array_sort(F.collect_list(line)), F.array(F.lit("end data"), F.lit(""))), "\n").alias("value"))
+    files.repartition("station", "day").write.partitionBy("station", "day").option("lineSep", "\n").text(path)
+    return rounded(fd.sectioned_csv(spark, f"{path}/station=*/day=*").select("ob_time", "wind_ms"), "wind_ms")
 
 
 @query("src12_report_lines", "SELECT 'S' || station AS station, time_bucket(INTERVAL 1 MINUTE, ts) AS ts, CAST(event_id % 360 AS DOUBLE) AS wind_dir, CAST(10 + event_id % 30 AS DOUBLE) AS wind_kt, CAST(event_id % 30 AS DOUBLE) AS temp_c, -CAST(event_id % 10 AS DOUBLE) AS dew_c FROM obs WHERE station = 2 AND event_id % 6 <> 0")
