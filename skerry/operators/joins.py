@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], within: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], part: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with the values of the latest right row at or before left_time, however old, and its time as `asof`.
 
     One union and one window: no row is paired with more than one other. right has one row for each key and time.
-    within: a column name of both sides that narrows the key, such as a month, where a key alone is too large for a task.
+    part: a function of time that never falls, such as its month. With it a key is not one task: windows are by key and
+    part, and each part takes over the last right row of the parts before it.
     """
-    keys = [*keys, *([within] if within else [])]
-    a = left.withColumns({"__t": F.col(left_time), "__side": F.lit(1), "__r": F.lit(None).cast(right.select(F.struct(F.col(right_time).alias("asof"), *values)).schema[0].dataType)})
-    own = {k: F.col(k) for k in keys}
-    b = right.select(*own.values(), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(F.col(right_time).alias("asof"), *values).alias("__r"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    past = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kind = right.select(F.struct(F.col(right_time).alias("asof"), *values)).schema[0].dataType
+    a = left.withColumns({"__t": F.col(left_time), "__side": F.lit(1), "__r": F.lit(None).cast(kind)})
+    b = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(F.col(right_time).alias("asof"), *values).alias("__r"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__part", part(F.col("__t")) if part else F.lit(0))
+    past = Window.partitionBy(*keys, "__part").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("__last", F.last("__r", ignorenulls=True).over(past)).where("__side = 1")
+    if part:
+        ends = both.groupBy(*keys, "__part").agg(F.max_by("__r", F.when(F.col("__side") == 0, F.col("__t"))).alias("__end"))
+        before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        own = [*keys, "__part"]
+        ends = ends.select(*[F.col(k).alias(f"__end_{k}") for k in own], F.last("__end", ignorenulls=True).over(before).alias("__earlier"))
+        same = [out[k].eqNullSafe(ends[f"__end_{k}"]) for k in own]
+        out = out.join(ends, same).withColumn("__last", F.coalesce("__last", "__earlier"))
     return out.select(*left.columns, F.col("__last.asof").alias("asof"), *[F.col(f"__last.{v}").alias(v) for v in values])
 
 

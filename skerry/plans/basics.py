@@ -226,7 +226,7 @@ ASOF LEFT JOIN (SELECT o_custkey % 10 AS k, o_orderdate AS t, o_orderkey, o_tota
 ON l.k = r.k AND l.l_shipdate >= r.t""")
 def jn3(spark: SparkSession, d: str) -> DataFrame:
     left, right = _asof_sides(spark, d)
-    return jn.asof_join(left, right, ["k"], "t", "t", ["price", "o_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "asof", "price", "o_orderkey")
+    return jn.asof_join(left, right, ["k"], "t", "t", ["price", "o_orderkey"], lambda t: F.trunc(t.cast("date"), "month")).select("l_orderkey", "l_linenumber", "l_partkey", "asof", "price", "o_orderkey")
 
 
 @query("jn4_nearest", """SELECT a.event_id, arg_min(b.event_id, abs(epoch_us(b.ts) - epoch_us(a.ts)) * 1000000000000::HUGEINT + CASE WHEN b.ts > a.ts THEN 100000000000 ELSE 0 END + b.event_id) AS near_id

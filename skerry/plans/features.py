@@ -115,7 +115,7 @@ SELECT l.event_id, r.event_id AS used, date_diff('minute', r.ts, l.ts) AS age FR
 def ts21(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "events").selectExpr("event_id", "ts", "CAST(user_id % 5 AS INT) AS station", "event_type")
     right = dd.latest(o.where("event_type = 'view'"), ["station", "ts"], ["event_id"]).withColumn("used", F.col("event_id"))
-    out = jn.asof_join(o.where("event_type <> 'view'"), right, ["station"], "ts", "ts", ["used"])
+    out = jn.asof_join(o.where("event_type <> 'view'"), right, ["station"], "ts", "ts", ["used"], lambda t: F.to_date(t))
     minute = lambda c: F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("MINUTE", F.col(c)).cast("timestamp_ntz"))
     return out.select("event_id", "used", (minute("ts") - minute("asof")).alias("age"))
 

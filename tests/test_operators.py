@@ -94,8 +94,9 @@ def test_merge_keeps_the_freshest(spark):
 def test_asof_has_no_tolerance_and_keeps_null_values(spark):
     left = spark.createDataFrame([("k", 1), ("k", 5), ("k", 9), ("m", 9)], "k string, t int")
     right = spark.createDataFrame([("k", 2, 1.0), ("k", 5, None)], "k string, t int, v double")
-    got = {(r.k, r.t): (r.asof, r.v) for r in jn.asof_join(left, right, ["k"], "t", "t", ["v"]).collect()}
-    assert got == {("k", 1): (None, None), ("k", 5): (5, None), ("k", 9): (5, None), ("m", 9): (None, None)}
+    for part in (None, lambda t: F.floor(t / 3), lambda t: t):
+        got = {(r.k, r.t): (r.asof, r.v) for r in jn.asof_join(left, right, ["k"], "t", "t", ["v"], part).collect()}
+        assert got == {("k", 1): (None, None), ("k", 5): (5, None), ("k", 9): (5, None), ("m", 9): (None, None)}
 
 
 def test_quintiles_of_seven(spark):
