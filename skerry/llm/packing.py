@@ -18,7 +18,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces that a partition packs at once, and rounds of exchange at most.
 ITEMS = 20_000
 ROUNDS = 6
-CACHE = 200_000
+CACHE = 400_000
 _PLAIN = re.compile("[\n!-~À-ÖØ-öø-įı-ňŊ-ž]+")
 _PRETOKEN = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -35,7 +35,7 @@ class WordCache(dict):
         import regex
         from tokenizers import Tokenizer
 
-        self.piece_most = 2 * most
+        self.piece_most = most
         self.tokenizer, self.most, self.old, self.pieces, self.old_pieces = Tokenizer.from_file(path), most, {}, {}, {}
         self.cut = regex.compile(_PRETOKEN).findall
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
