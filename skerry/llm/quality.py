@@ -17,6 +17,9 @@ MIN_WORDS = 20
 MIN_REPEAT = 16
 MAX_COVERED = 0.3
 MAX_LONGEST = 0.2
+#: Limits of keep_good, below what the base rule leaves: two copies of a passage of over 10 % cover over 20 %.
+KEEP_COVERED = 0.25
+KEEP_LONGEST = 0.1
 
 
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +150,9 @@ def quality(docs: DataFrame, window: int = WINDOW, min_repeat: int = MIN_REPEAT,
     return own.mapInArrow(_judge(window, min_repeat, max_covered, max_longest), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the rules reject."""
-    return quality(docs).where("__kept").select(docs.columns)
+def keep_good(docs: DataFrame, max_covered: float = KEEP_COVERED, max_longest: float = KEEP_LONGEST) -> DataFrame:
+    """docs without the rows that the rules reject, long repeats by limits of its own."""
+    return quality(docs, max_covered=max_covered, max_longest=max_longest).where("__kept").select(docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
