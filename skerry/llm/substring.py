@@ -20,9 +20,10 @@ MER = 5
 BUCKET_BYTES = 8 << 20
 #: Bytes of text that are packed together.
 STEP = 2 << 20
-#: Bytes of packed strings with one minimiser that are counted in memory; a larger group's windows go by a shuffle of their own.
+#: Bytes of packed strings with one minimiser that are counted in memory; a larger group's windows never meet there, but go by a shuffle of their own.
 GROUP_BYTES = 48 << 20
 _FIELDS = pa.schema([("mini", pa.int64()), ("packed", pa.binary()), ("rid", pa.binary()), ("start", pa.int32()), ("marked", pa.bool_())])
+_DEALT = ["bucket", "blob", "rid", "start", "count", "packed"]
 MARKS = "rid binary, start int, count int, packed binary"
 
 
@@ -70,25 +71,56 @@ def super_kmers(codes: np.ndarray, counts: np.ndarray, window: int, mer: int) ->
     return firsts, sizes, h[place[firsts]].view(np.int64)
 
 
-def _pack(window: int, mer: int, buckets: int):
-    """(bucket, blob): the super-k-mers of a step of texts, by bucket; rows without a blob are marks that need no more counting.
+def _read(batch: pa.RecordBatch, window: int) -> tuple[list, ...]:
+    """(row ids, texts, word offsets, word codes, word counts) of the texts that hold a window."""
+    rids, joined, offsets, codes, counts = [], [], [], [], []
+    for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        words = (text or b"").split()
+        if len(words) < window:
+            continue
+        rids.append(row_id(i, text))
+        joined.append(b" ".join(words))
+        codes.append(np.fromiter(map(crc32, words), np.uint64, len(words)))
+        offsets.append(np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+        counts.append(len(words))
+    return rids, joined, offsets, codes, counts
 
-    Of equal packed strings within the step one goes on, marked: all its places are repeats already, whatever else there
-    is. So a hot passage costs its bucket a string for each step and not for each document.
+
+def _weigh(window: int, mer: int):
+    """(mini, bytes): what _pack would send for each minimiser of a step; equal strings, told by a hash of their words, weigh once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, most=STEP):
+            _, _, offsets, codes, counts = _read(batch, window)
+            if not counts:
+                continue
+            codes = np.concatenate(codes)
+            firsts, sizes, minis = super_kmers(codes, np.array(counts), window, mer)
+            ends = firsts + sizes + window - 1
+            before = np.r_[0, np.cumsum(np.concatenate([np.diff(o) for o in offsets]))]
+            held = before[ends] - before[firsts] - 1
+            odd = 0x9E3779B97F4A7C15
+            power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(codes), x, np.uint64)], dtype=np.uint64) for x in (odd, pow(odd, -1, 1 << 64)))
+            total = np.r_[np.uint64(0), np.cumsum((codes + np.uint64(1)) * power[:-1], dtype=np.uint64)]
+            same = (total[ends] - total[firsts]) * back[firsts] ^ minis.view(np.uint64)
+            once = np.unique(same, return_index=True)[1]
+            names, own = np.unique(minis[once], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(own, held[once]).astype(np.int64))], ["mini", "bytes"])
+
+    return run
+
+
+def _pack(window: int, mer: int, buckets: int, hot: frozenset[int] = frozenset()):
+    """(bucket, blob): the super-k-mers of a step of texts, by bucket; rows without a blob need no counting here.
+
+    Those are marks, and the windows of hot minimisers, which are dealt by a hash of the window. Of equal packed strings
+    within the step one goes on, marked: all its places are repeats already, whatever else there is. So a hot passage costs
+    its bucket a string for each step and not for each document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, most=STEP):
-            rids, joined, offsets, codes, counts = [], [], [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = (text or b"").split()
-                if len(words) < window:
-                    continue
-                rids.append(row_id(i, text))
-                joined.append(b" ".join(words))
-                codes.append(np.fromiter(map(crc32, words), np.uint64, len(words)))
-                offsets.append(np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-                counts.append(len(words))
+            rids, joined, offsets, codes, counts = _read(batch, window)
             if not counts:
                 continue
             firsts, sizes, minis = super_kmers(np.concatenate(codes), np.array(counts), window, mer)
@@ -102,10 +134,12 @@ def _pack(window: int, mer: int, buckets: int):
             owners, starts, sizes, minis = owners.tolist(), starts.tolist(), sizes.tolist(), minis.tolist()
             packed = [joined[o][x:y] for o, x, y in zip(owners, a, b)]
             often = {p for p, c in Counter(packed).items() if c > 1}
-            marks, rows = [], defaultdict(list)
+            marks, apart, rows = [], [], defaultdict(list)
             for k, p in enumerate(packed):
                 if p in often:
                     marks.append((rids[owners[k]], starts[k], sizes[k]))
+                elif minis[k] in hot:
+                    apart.append((p, rids[owners[k]], starts[k]))
                 else:
                     rows[minis[k] % buckets].append((minis[k], p, rids[owners[k]], starts[k], False))
             first = {}
@@ -113,15 +147,21 @@ def _pack(window: int, mer: int, buckets: int):
                 if p in often:
                     first.setdefault(p, minis[k])
             for p, mini in first.items():
+                if mini in hot:
+                    apart.append((p, None, 0))
+                    continue
                 rows[mini % buckets].append((mini, p, b"", 0, True))
             where, blobs = list(rows), []
             for bucket in where:
                 part = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[bucket]), _FIELDS)], schema=_FIELDS)
                 blobs.append(squeezed(part))
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(len(where), t) for t in (pa.binary(), pa.int32(), pa.int32())]], ["bucket", "blob", "rid", "start", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(len(where), t) for t in (pa.binary(), pa.int32(), pa.int32(), pa.binary())]], _DEALT)
             if marks:
                 r, s, c = zip(*marks)
-                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:4], "big") % buckets for x in r], pa.int32()), pa.nulls(len(r), pa.binary()), pa.array(r, pa.binary()), pa.array(s, pa.int32()), pa.array(c, pa.int32())], ["bucket", "blob", "rid", "start", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:4], "big") % buckets for x in r], pa.int32()), pa.nulls(len(r), pa.binary()), pa.array(r, pa.binary()), pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.nulls(len(r), pa.binary())], _DEALT)
+            for at in range(0, len(apart), 500):  # strings whose windows are held together
+                r, s, w = zip(*((rid, start + i, w) for p, rid, start in apart[at : at + 500] for i, w in enumerate(windows_of(p, window))))
+                yield pa.RecordBatch.from_arrays([pa.array([crc32(x) % buckets for x in w], pa.int32()), pa.nulls(len(r), pa.binary()), pa.array(r, pa.binary()), pa.array(s, pa.int32()), pa.array([1] * len(r), pa.int32()), pa.array(w, pa.binary())], _DEALT)
 
     return run
 
@@ -153,7 +193,7 @@ def _flags(flags: list[bool], start: int) -> Iterator[tuple[int, int]]:
             at = None
 
 
-def _count(window: int, group_bytes: int):
+def _count(window: int):
     """Counts the windows of each minimiser in the bucket that a partition's blobs, sorted by bucket, belong to."""
 
     def of_bucket(blobs: list[bytes]) -> Iterator[tuple]:
@@ -172,11 +212,6 @@ def _count(window: int, group_bytes: int):
         for size in sizes[many].tolist():
             group = range(at, at + size)
             at += size
-            if sum(len(packed[k]) for k in group) > group_bytes:
-                for k in group:
-                    for i, w in enumerate(windows_of(packed[k], window)):
-                        yield (rid[k] if not marked[k] else None, start[k] + i, 1, w)
-                continue
             strings = Counter()
             for k in group:
                 strings[packed[k]] += 1 + marked[k]
@@ -199,7 +234,7 @@ def _count(window: int, group_bytes: int):
         for batch in batches:
             through = batch.filter(batch.column("blob").is_null())
             if through.num_rows:
-                yield pa.RecordBatch.from_arrays([through.column("rid"), through.column("start"), through.column("count"), pa.nulls(through.num_rows, pa.binary())], ["rid", "start", "count", "packed"])
+                yield pa.RecordBatch.from_arrays([through.column("rid"), through.column("start"), through.column("count"), through.column("packed")], ["rid", "start", "count", "packed"])
             batch = batch.filter(batch.column("blob").is_valid())
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
                 if bucket != here and blobs:
@@ -228,8 +263,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, group_bytes:
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = slots(docs.sparkSession)
     buckets = max(4 * parts, round(3.3 * size / BUCKET_BYTES))  # overlapping strings are about three times the text
-    dealt = own.mapInArrow(_pack(window, mer, buckets), "bucket int, blob binary, rid binary, start int, count int")
-    counted = dealt.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, group_bytes), MARKS)
+    weights = own.mapInArrow(_weigh(window, mer), "mini long, bytes long").groupBy("mini").agg(F.sum("bytes").alias("bytes"))
+    hot = frozenset(r.mini for r in weights.where(F.col("bytes") > group_bytes).select("mini").collect())  # at most all packed bytes / group_bytes
+    dealt = own.mapInArrow(_pack(window, mer, buckets, hot), "bucket int, blob binary, rid binary, start int, count int, packed binary")
+    counted = dealt.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window), MARKS)
     counted = written(counted, "counted")
     apart = counted.where("packed IS NOT NULL")
     # a string that was marked before has no row id here, and counts for two
