@@ -19,6 +19,8 @@ TABLES, HASHES, WIDTH, SEED = 4, 9, 2.0, 20
 FIT_QUERIES, REACH = 128, 0.96
 #: Vectors that a shard of the index holds, about, and the least number of shards.
 SHARD, SHARDS = 50_000, 12
+#: Queries that one task holds against a shard, about.
+QUERIES = 5_000
 _BLOCK = 512
 
 
@@ -128,7 +130,7 @@ def fit(index: DataFrame, queries: DataFrame, hashing: Hashing, k: int) -> tuple
 
 
 def _search(hashing: Hashing, rho: float, threshold: float, k: int, dim: int):
-    """A shard of one table's vectors against all queries, a block of them at a time."""
+    """A shard of one table's vectors against a block of the queries, a few of them at a time."""
 
     def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         kinds = [("query_id", pa.int64()), ("rep", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))]
@@ -166,13 +168,22 @@ def _search(hashing: Hashing, rho: float, threshold: float, k: int, dim: int):
     return run
 
 
-def nearest(df: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFrame:
+def dealt(index: DataFrame, queries: DataFrame, shards: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Entries and queries with the keys t, shard and block: each shard of each table meets each block of queries once."""
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    tables = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t")
+    stored = index.select("*", tables).withColumn("shard", F.pmod(F.xxhash64("rep", "t"), F.lit(shards))).withColumn("block", every(blocks))
+    asked = queries.select("*", tables).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", every(shards))
+    return stored, asked
+
+
+def nearest(df: DataFrame, every: int = EVERY, k: int = NEAREST, at_once: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found by inner product, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows but a query's own. Equal vectors are
     one entry of the index, with the k + 1 smallest of their ids, which is all that a result can hold. Each table's
-    entries are dealt over shards by a hash, so a hot cell is spread; each shard sees all queries, in blocks, and scores
-    only the cells whose estimated success reaches the fitted threshold. Vectors that are null, empty, zero or hold a null
+    entries are dealt over shards by a hash, so a hot cell is spread; each shard meets each block of about `at_once` queries in
+    a group of its own, so that what a task holds does not grow with the table, and scores only the cells whose estimated success reaches the fitted threshold. Vectors that are null, empty, zero or hold a null
     or non-finite component take no part, nor do rows without a vec_id; repeated rows count once; vectors of another
     length are a space of their own; an empty table gives an empty one.
     """
@@ -189,10 +200,8 @@ def nearest(df: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFrame:
         hashing = Hashing(dim, norm)
         rho, threshold = fit(index, queries, hashing, k) if not queries.isEmpty() else (0.5, 0.0)
         each = max(SHARDS // TABLES, -(-n // SHARD))
-        tables = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t")
-        stored = index.select("*", tables).withColumn("shard", F.pmod(F.xxhash64("rep", "t"), F.lit(each)))
-        asked = queries.select("*", tables).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(each - 1).cast("long"))))
-        found = stored.groupBy("t", "shard").cogroup(asked.groupBy("t", "shard")).applyInArrow(_search(hashing, rho, threshold, k, dim), "query_id long, rep long, score double, ids array<long>")
+        stored, asked = dealt(index, queries, each, max(1, -(-queries.count() // at_once)))
+        found = stored.groupBy("t", "shard", "block").cogroup(asked.groupBy("t", "shard", "block")).applyInArrow(_search(hashing, rho, threshold, k, dim), "query_id long, rep long, score double, ids array<long>")
         found = found.groupBy("query_id", "rep").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rep"))
         found = found.withColumn("n", best).where(F.col("n") <= k + 1).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
