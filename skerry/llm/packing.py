@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import re
+import json
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import id_and_text, steps, table, written
+from .common import WHITE, id_and_text, steps, table, written
 
 CAPACITY = 4096
 END = 1
@@ -18,132 +21,173 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces that a partition packs at once, and rounds of exchange at most.
 ITEMS = 20_000
 ROUNDS = 6
-CACHE = 400_000
-_PLAIN = re.compile("[\n!-~À-ÖØ-öø-įı-ňŊ-ž]+")
-_PRETOKEN = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of text whose words are held at once; a longer text is cut between words.
+SEGMENT = 4 << 20
+#: Pieces that are kept from one segment to the next, in each of two generations.
+PIECES = 100_000
+#: What cuts a text into pieces, in the tokenizer's own file; runs of the characters below are cut by the kinds of bytes instead.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Finds runs with an apostrophe, a special token, or a character that lower-casing or composition treats in a way of its own.
+ODD = r"[^!-&(-~À-ÖØ-öø-įı-ňŊ-ž]|<\|"
+#: Letters (every byte of a longer character is of a letter here), digits and signs.
+_KINDS = np.array([0 if b > 127 or chr(b).isalpha() else 1 if chr(b).isdigit() else 2 for b in range(256)], np.uint8)
 
 
-class WordCache(dict):
-    """Bytes of a run without white space -> its ids, little-endian 32-bit, of a tokenizer that drops white space and lower-cases.
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
 
-    White space ends every piece that its model sees, so runs are independent and a frequent one is encoded once. A plain
-    run is cut into the tokenizer's own pieces, which are encoded many at a time; others go through it whole. Two
-    generations of bounded size: the older one is dropped when the younger is full.
-    """
+    return public_tokenizers.path(name)
 
-    def __init__(self, path: str, most: int = CACHE) -> None:
-        import regex
-        from tokenizers import Tokenizer
 
-        self.piece_most = most
-        self.tokenizer, self.most, self.old, self.pieces, self.old_pieces = Tokenizer.from_file(path), most, {}, {}, {}
-        self.cut = regex.compile(_PRETOKEN).findall
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.closes[i] = token.endswith("</w>")
+def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of the rows asked for; row i of the input is values[offsets[i] : offsets[i + 1]]."""
+    sizes = offsets[rows + 1] - offsets[rows]
+    ends = np.cumsum(sizes)
+    return values[np.repeat(offsets[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], np.r_[0, ends]
+
+
+def segments(text: bytes, most: int = SEGMENT) -> Iterator[bytes]:
+    """The text in slices of at most `most` bytes, cut at white space; only a longer run without any makes a longer slice."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(bytes([c]), at + 1, at + most) for c in WHITE)
+        if cut < 0:
+            cut = min((k for c in WHITE if (k := text.find(bytes([c]), at + most)) >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+@lru_cache(maxsize=1)
+def loaded(path: str):
+    """(tokenizer, the same for pieces that are cut and folded already, or None where its file does not cut by PATTERN, which tokens end a piece)."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    parts = json.loads(tokenizer.to_str())
+    first, *rest = (parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    bare = None
+    if first.get("pattern") == {"Regex": PATTERN}:
+        parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
+        bare = Tokenizer.from_str(json.dumps(parts))
+    closes = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        closes[i] = token.endswith("</w>")
+    return tokenizer, bare, closes
+
+
+def as_text(values: list[bytes]) -> pa.Array:
+    """The values as strings; what is no UTF-8 is replaced."""
+    raw = pa.array(values, pa.binary())
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
+
+
+class Encoder:
+    """Ids of a tokenizer that drops white space and lower-cases, many texts at once.
+
+    White space ends every piece that its model sees, so runs between it are independent: each distinct run of a segment
+    is cut once, and each distinct piece of these goes through the model once. Odd runs go through it whole. Pieces
+    that come more than once are kept for the next segment, in two generations of bounded size: the older one is
+    dropped when the younger is full. An encoder, and what it keeps, ends with its task.
+    """
+
+    def __init__(self, path: str, most: int = PIECES) -> None:
+        self.tokenizer, self.bare, self.closes = loaded(path)
+        self.most, self.young, self.old = most, {}, {}
 
-    def _whole(self, run: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        groups = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces, a few hundred of them in one text; a piece is ended by its last id alone."""
+        groups = [b" ".join(pieces[i : i + 200]).decode() for i in range(0, len(pieces), 200)]
         out = []
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) == len(group):
-                raw = ids.tobytes()
-                out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-            else:
-                out += [self._whole(p.encode()) for p in group]
+        for e in self.bare.encode_batch_fast(groups, add_special_tokens=False) if groups else ():
+            ids = np.array(e.ids, np.uint32)
+            ends, raw = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def __missing__(self, run: bytes) -> bytes:
-        ids = self[run] = self.old[run]
-        return ids
-
-    def learn(self, runs: set[bytes]) -> None:
-        """After this, every one of runs is found in the cache, and what was in it is still found."""
-        if len(self) + len(runs) > self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(self.pieces) > self.piece_most:
-            self.old_pieces, self.pieces = self.pieces, {}
-        new = list(runs - self.old.keys())
-        text = b"\n".join(new).decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            plain = []
-            for run in new:
-                text = run.decode("utf-8", "replace")
-                if _PLAIN.fullmatch(text) and "<|" not in text:
-                    plain.append(run)
-                else:
-                    self[run] = self._whole(run)
-            new, text = plain, b"\n".join(plain).decode()
-        if not new:
-            return
-        cut, known, old = self.cut(text.lower()), self.pieces, self.old_pieces
-        missing = set(cut) - known.keys()
-        missing.discard("\n")
-        known.update((p, old[p]) for p in missing & old.keys())
-        missing = list(missing - old.keys())
-        known.update(zip(missing, self._encode(missing)))
-        at, ids = iter(new), []
-        for piece in cut:
-            if piece == "\n":
-                self[next(at)] = b"".join(ids)
-                ids = []
-            else:
-                ids.append(known[piece])
-        self[next(at)] = b"".join(ids)
-
-
-_CACHES: dict[str, WordCache] = {}
-
-
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def encoded(texts: list[bytes], path: str) -> list[bytes]:
-    """The ids of each text, little-endian 32-bit, without an end mark."""
-    cache = _CACHES.get(path)
-    if cache is None:
-        cache = _CACHES[path] = WordCache(path)
-    # a special token's own string must keep its case
-    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    out, at = [], 0
-    while at < len(split):
-        upto, held = at, 0
-        while upto < len(split) and (upto == at or held + len(split[upto]) <= cache.most // 2):
-            held += len(split[upto])
-            upto += 1
-        parts = []
-        for k in range(0, max(held, 1), cache.most // 2):  # a very long text goes a part at a time
-            for ws in split[at:upto] if held <= cache.most // 2 else [split[at][k : k + cache.most // 2]]:
-                parts.append(ws)
-            cache.learn(set().union(*parts[-(upto - at) :]) - cache.keys())
-            parts[-(upto - at) :] = [b"".join(map(cache.__getitem__, ws)) for ws in parts[-(upto - at) :]]
-        out += parts if held <= cache.most // 2 else [b"".join(parts)]
-        at = upto
-    return out
+    def pieces(self, names: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct pieces; those that come often are kept."""
+        keys, young, old = names.to_pylist(), self.young, self.old
+        found = [young.get(k) or old.get(k) for k in keys]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missing, self._new([keys[i] for i in missing])):
+            found[i] = ids
+        for i in np.flatnonzero(often).tolist():
+            young[keys[i]] = found[i]
+            if len(young) >= self.most:
+                self.old, young = young, {}
+        self.young = young
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), np.r_[0, np.cumsum(sizes)]
+
+    def runs(self, runs: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct runs without white space, each of which comes counts times."""
+        odd = np.ones(len(runs), bool)
+        if self.bare:
+            odd = pc.match_substring_regex(runs, ODD).to_numpy(zero_copy_only=False)
+        plain = pc.utf8_lower(runs.filter(pa.array(~odd)))
+        at = np.flatnonzero(~odd)
+        ends = np.frombuffer(plain.buffers()[1], np.int32)[plain.offset : plain.offset + len(plain) + 1].astype(np.int64) if len(plain) else np.zeros(1, np.int64)
+        raw = np.frombuffer(plain.buffers()[2], np.uint8)[: ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
+        kinds = _KINDS[raw]
+        new = np.ones(len(raw), bool)
+        new[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 1)
+        new[ends[:-1][np.diff(ends) > 0]] = True
+        starts = np.flatnonzero(new)
+        cut = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(raw)].astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        codes = cut.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        own = np.searchsorted(ends, starts, side="right") - 1
+        ids, offsets = self.pieces(cut.dictionary, np.bincount(codes, counts[at][own], len(cut.dictionary)) > 1)
+        flat, bounds = ragged(ids, offsets, codes)
+        sizes = np.zeros(len(runs), np.int64)
+        sizes[at] = np.bincount(own, np.diff(bounds), len(at)).astype(np.int64)
+        if not odd.any():
+            return flat, np.r_[0, np.cumsum(sizes)]
+        alone = self._whole(runs.filter(pa.array(odd)).to_pylist())
+        sizes[odd] = [len(x) for x in alone]
+        # plain runs first, odd ones behind them, and then all in their order
+        order = np.r_[at, np.flatnonzero(odd)]
+        place = np.empty(len(runs), np.int64)
+        place[order] = np.arange(len(runs))
+        return ragged(np.concatenate([flat, *alone]), np.r_[0, np.cumsum(sizes[order])], place)
+
+    def _held(self, texts: list[bytes]) -> list[np.ndarray]:
+        text = as_text(texts)
+        special = pc.match_substring(text, "<|")  # a special token's own string must keep its case
+        text = pc.if_else(special, text, pc.ascii_lower(text)) if pc.any(special).as_py() else pc.ascii_lower(text)
+        split = pc.ascii_split_whitespace(text)
+        coded = split.flatten().dictionary_encode()
+        where = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, bounds = ragged(*self.runs(coded.dictionary, np.bincount(where, minlength=len(coded.dictionary))), where)
+        ends = bounds[np.r_[0, np.cumsum(split.value_lengths().to_numpy())]]
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, without an end mark."""
+        if sum(map(len, texts)) <= SEGMENT:
+            return self._held(texts)
+        return [np.concatenate([self._held([part])[0] for part in segments(t)]) for t in texts]
 
 
 def _pieces(path: str | None, capacity: int):
     """(doc_id, piece, start, length, ids_crc32) of each piece of at most `capacity` ids, the end mark included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = path or tokenizer_path()
-        end = np.array([END], "<u4").tobytes()
-        for batch in steps(batches, most=1 << 20):
+        encoder, end = Encoder(path or tokenizer_path()), np.array([END], "<u4")
+        for batch in steps(batches, most=SEGMENT):
             rows = []
-            for i, ids in zip(batch.column("doc_id").to_pylist(), encoded([t or b"" for t in batch.column("text").to_pylist()], place)):
-                ids += end
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, crc32(part)))
+            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or b"" for t in batch.column("text").to_pylist()])):
+                ids = np.append(ids, end).astype("<u4")
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    rows.append((i, k, at, len(part), crc32(part.tobytes())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -262,18 +262,24 @@ def test_lower_bounds_hold():
     assert packing.lower_bound(np.array([51] * 7), 100) == 7
 
 
-def test_tokenizer_cache_is_exact():
+@pytest.mark.parametrize("segment, pieces", [(4 << 20, 100_000), (700, 50), (30, 3)])
+def test_tokenizer_cache_is_exact(monkeypatch, segment, pieces):
     from tokenizers import Tokenizer
 
     path, rng = packing.tokenizer_path(), random.Random(3)
     tok = Tokenizer.from_file(path)
-    packing._CACHES[path] = packing.WordCache(path, 300)
+    monkeypatch.setattr(packing, "SEGMENT", segment)
+    encoder = packing.Encoder(path, pieces)
+    assert encoder.bare is not None  # the file cuts texts as the fast path does
     texts = ["".join(rng.choice("aB'sŉİΣςéÉ<|>  \x1c\x0b\t\n0١½!?é😀don't I'LL ßⅧ́") for _ in range(rng.randrange(60))) for _ in range(800)]
     texts += ["<|endoftext|>", "<|ENDOFTEXT|> a<|startoftext|>b", "", " ", "x " * 900, " ".join(f"q{i}" for i in range(900))]
     for i in range(0, len(texts), 29):
-        for t, ids in zip(texts[i : i + 29], packing.encoded([t.encode() for t in texts[i : i + 29]], path)):
-            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
-    packing._CACHES.clear()
+        for t, ids in zip(texts[i : i + 29], encoder.encode([t.encode() for t in texts[i : i + 29]])):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(encoder.young) < pieces + 1 and len(encoder.old) <= pieces
+    assert encoder.encode([b"bad \xff byte"])[0].tolist() == tok.encode("bad \ufffd byte", add_special_tokens=False).ids
+    encoder.bare = None  # a file that cuts in another way: all runs go through it whole
+    assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_toxicity(spark, docs, none):
