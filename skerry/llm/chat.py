@@ -12,9 +12,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import slots, table
 
-#: Turns that are rendered together; a longer conversation is rendered in parts of so many, one after another.
+#: Turns of a Turnwise template's output row; it makes no difference to the output.
 PART = 256
 Turn = tuple[str, str]
+Template = Callable[[list[Turn]], str]
+
+
+class Turnwise:
+    """A template that writes a header and then each turn by itself: any cut of its output between turns is the output of a cut list."""
+
+    def __init__(self, turn: Callable[[Turn], str], header: str = "") -> None:
+        self.turn, self.header = turn, header
+
+    def __call__(self, turns: list[Turn]) -> str:
+        return self.header + "".join(map(self.turn, turns))
+
+    def after_header(self) -> Turnwise:
+        return Turnwise(self.turn)
+
 
 _ESCAPES = {"\\": "\\\\", "###": "\\h", "</turn>": "\\t"}
 _ROLE_ESCAPES = _ESCAPES | {":": "\\c", "\n": "\\n"}
@@ -29,9 +44,12 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: _BACK[m[1]], text, flags=re.S)
 
 
-def render(turns: list[Turn]) -> str:
-    """The template: `### role:`, the text, `</turn>`. Neither mark, nor a backslash, is left as it is inside a text."""
-    return "".join(f"### {escape(role, _ROLE_ESCAPES)}:\n{escape(text)}</turn>\n" for role, text in turns)
+def _turn(turn: Turn) -> str:
+    return f"### {escape(turn[0], _ROLE_ESCAPES)}:\n{escape(turn[1])}</turn>\n"
+
+
+#: The template: `### role:`, the text, `</turn>`. Neither mark, nor a backslash, is left as it is inside a text.
+render = Turnwise(_turn)
 
 
 def parse(formatted: str) -> list[Turn]:
@@ -43,13 +61,14 @@ def parse(formatted: str) -> list[Turn]:
     return out
 
 
-def locate(turns: list[Turn], template: Callable[[list[Turn]], str], trained: str = "assistant") -> tuple[str, list[tuple[int, int]], bool]:
-    """(output, spans of the trained role's texts in it, whether the template rewrites history), for any template.
+def locate(turns: list[Turn], template: Template, trained: str = "assistant") -> tuple[str, list[tuple[int, int]], bool, int]:
+    """(output, spans of the trained role's texts in it, whether the template rewrites history, texts that have no span), for any template.
 
     Each prefix of the turns is rendered and compared with the one before: what came is the turn's span, unless what was
-    there has changed. Within the span, the template's own text around the turn's is what two probes have in common.
+    there has changed. Within the span, the template's own text around the turn's is what two probes have in common; where
+    that does not fit, as round a text whose length is written before it, the span is the one place where the text stands.
     """
-    before, spans, rewrites = template([]) if turns else "", [], False
+    before, spans, rewrites, lost = template([]) if turns else "", [], False, 0
     for k, (role, text) in enumerate(turns):
         now = template(turns[: k + 1])
         if not now.startswith(before):
@@ -61,29 +80,37 @@ def locate(turns: list[Turn], template: Callable[[list[Turn]], str], trained: st
             start, end = len(before) + head, len(now) - tail
             if start <= end and now[len(before) : start] == one[:head] and now[end:] == one[len(one) - tail :]:
                 spans.append((start, end))
+            elif text and now.count(text, len(before)) == 1:
+                at = now.index(text, len(before))
+                spans.append((at, at + len(text)))
+            else:
+                lost += 1
         before = now
-    return before, [] if rewrites else spans, rewrites
+    if rewrites:
+        return before, [], True, sum(role == trained for role, _ in turns)
+    return before, spans, False, lost
 
 
-FORMATTED = "conv_id long, part long, turns long, formatted string, loss array<struct<start: long, end: long>>, rewrites boolean"
+FORMATTED = "conv_id long, part long, turns long, formatted string, loss array<struct<start: long, end: long>>, rewrites boolean, unplaced long"
 
 
-def _format(template: Callable[[list[Turn]], str], trained: str, most: int):
+def _format(template: Template, trained: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         out, here, part, turns, held = [], None, 0, [], 0
+        cuts = isinstance(template, Turnwise)
 
         def close() -> None:
-            formatted, spans, rewrites = locate(turns, template, trained)
-            out.append((here[0], part, len(turns), formatted, [{"start": a, "end": b} for a, b in spans], rewrites))
+            formatted, spans, rewrites, lost = locate(turns, template.after_header() if part else template, trained)
+            out.append((here[0], part, len(turns), formatted, [{"start": a, "end": b} for a, b in spans], rewrites, lost))
 
         def flush() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind, pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["conv_id", "part", "turns", "formatted", "loss", "rewrites"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind, pa.bool_(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["conv_id", "part", "turns", "formatted", "loss", "rewrites", "unplaced"])
 
         for batch in batches:
             for conv, role, text in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "text")]):
-                if turns and ((conv,) != here or len(turns) == most):
+                if turns and ((conv,) != here or cuts and len(turns) == most):
                     close()
                     held += len(out[-1][3])
                     part, turns = (part + 1 if (conv,) == here else 0), []
@@ -100,13 +127,16 @@ def _format(template: Callable[[list[Turn]], str], trained: str, most: int):
     return run
 
 
-def format_conversations(turns: DataFrame, template: Callable[[list[Turn]], str] = render, trained: str = "assistant", most: int = PART) -> DataFrame:
-    """Rows (conv_id, part, turns, formatted, loss, rewrites), a conversation's parts in order and in one partition.
+def format_conversations(turns: DataFrame, template: Template = render, trained: str = "assistant", most: int = PART) -> DataFrame:
+    """Rows (conv_id, part, turns, formatted, loss, rewrites, unplaced), a conversation's parts in order and in one partition.
 
     turns: conv_id, turn, role, text; rows go by turn, then role and text; a null turn is first, a null role or text is
     empty, rows without a conv_id are one conversation, repeated rows are turns of their own. loss holds the spans of the
-    trained role's texts as the template wrote them; it is empty where the template rewrites history. Other columns stay
-    behind; an empty table gives an empty one. A conversation is read in a stream, `most` turns at a time.
+    trained role's texts as the template wrote them, unplaced counts those it does not hold: all, where the template
+    rewrites history. Other columns stay behind; an empty table gives an empty one.
+
+    Any template is rendered for each prefix of the whole conversation, which is one row, in memory, at a cost of the
+    square of its turns. A Turnwise one gives the same output in rows of `most` turns, read in a stream.
     """
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     dealt = own.repartition(slots(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

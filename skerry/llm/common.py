@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute
@@ -20,14 +21,20 @@ STEP_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one where the setting is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where it is unset, a folder of this machine, in local mode alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-skerry-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@lru_cache(maxsize=1)
+def local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-skerry-")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     path = shared_folder(df.sparkSession, name)
@@ -44,6 +51,22 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed to c0, c1, ..., so that no helper column can clash with one; and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a column has already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows again, in slices of about `most` bytes of a binary column (one row at least)."""
     for batch in batches:

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import id_and_text, steps, table
 
-#: The bounded sample that the dictionaries are made of: documents a language, and bytes a language.
+#: The bounded sample that the dictionaries are made of: different texts a language at most, and bytes a language.
 SAMPLE_DOCUMENTS = 800
 DICTIONARY_BYTES = 256 << 10
+#: Texts over this share of a dictionary are taken only where there are too few others.
+LONGEST = 1 / 32
 CHUNK = 4096
 LEVEL = 5
 #: The least share by which the best size must beat the second.
@@ -35,25 +37,26 @@ def fold(column: Column, parts: int) -> Column:
 
 
 def dictionaries(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """By language, raw content of at most `size` bytes: the first `documents` labelled texts in order of a hash, an equal part of each.
+    """By language, raw content of about `size` bytes: whole texts, each once, in order of a hash, up to `documents` of them.
 
-    labelled has text and lang; rows with a null in either are left out. What the driver gets is bounded by languages x size.
+    labelled has text and lang; rows with a null in either are left out, copies of a text count once, and long texts come
+    after the others. A text is taken whole or not at all, the first in any case. What the driver gets is bounded by languages x size.
     """
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("text", "lang").alias("order"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("order").alias("texts")).collect()  # a row for each language
+    if not found:
         return {}
     space = 1 << 30  # draw about twice as many as are needed, before texts are sorted
-    limit = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(space, space * 2 * documents // n))]), F.col("lang"))
-    drawn = rows.withColumn("order", F.xxhash64("text", "lang")).where(F.pmod("order", F.lit(space)) < limit)
-    first = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("n") <= documents)
-    first = first.withColumn("docs", F.count("*").over(Window.partitionBy("lang")))
-    share = F.greatest(F.lit(256), F.ceil(F.lit(size) / F.col("docs"))).cast("int")
-    texts: dict[str, list[bytes]] = {}
-    for row in first.select("lang", "n", F.substring(F.col("text").cast("binary"), F.lit(1), share).alias("text")).orderBy("lang", "n").collect():
-        texts.setdefault(row.lang, []).append(bytes(row.text))
+    limit = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(space, space * 2 * documents // r.texts))]), F.col("lang"))
+    drawn = rows.where(F.pmod("order", F.lit(space)) < limit).groupBy("lang", "order").agg(F.first("text").alias("text"))
+    drawn = drawn.withColumn("bytes", F.octet_length("text")).withColumn("long", F.col("bytes") > int(size * LONGEST))
+    by = Window.partitionBy("lang").orderBy("long", "order")
+    taken = drawn.withColumns({"n": F.row_number().over(by), "held": F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    texts: dict[str, list[str]] = {}
+    for row in taken.where((F.col("n") == 1) | (F.col("n") <= documents) & (F.col("held") <= size)).select("lang", "n", "text").orderBy("lang", "n").collect():
+        texts.setdefault(row.lang, []).append(row.text)
     # languages in order of their number of documents: ties go to the first
-    return {lang: b"\n".join(plain(t.decode("utf-8", "ignore")) for t in texts[lang])[:size] for lang in sorted(texts, key=lambda k: (-counts[k], k))}
+    return {r.lang: b"\n".join(map(plain, texts[r.lang])) for r in sorted(found, key=lambda r: (-r.rows, r.lang))}
 
 
 def _predict(content: dict[str, bytes], margin: float):

@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LOWER, WHITE, id_and_text, shared_folder, slots, steps, table, written
+from .common import LOWER, WHITE, numbered, shared_folder, slots, steps, table, unused, written
 
 MIN_CODE_POINTS = 40
 MIN_DOCUMENTS = 5
@@ -29,12 +30,13 @@ def line_hash(line: bytes, least: int) -> bytes | None:
 def _hashes(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            ids, keys = [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            at, keys = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 own = {h for line in (text or b"").split(b"\n") if len(line) >= least and (h := line_hash(line, least))}
-                ids += [i] * len(own)
+                at += [i] * len(own)
                 keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "h"])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(keys, pa.binary())], ["doc_id", "row", "h"])
 
     return run
 
@@ -92,32 +94,27 @@ class Runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _kept(column_at: int, least: int):
+def _kept(least: int):
     """Takes the lines whose hash the row's list holds out of its text; adds the lines before, and the lines taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drops, columns = batch.column(batch.num_columns - 1).to_pylist(), list(batch.columns[:-1])
-            texts = columns[column_at]
-            lines = pc.add(pc.fill_null(pc.count_substring(texts, "\n"), 0), 1).cast(pa.int64())
-            gone = [0] * batch.num_rows
-            if any(drops):
-                out = []
-                for i, (text, hs) in enumerate(zip(texts, drops)):
-                    if hs:
-                        hs, old = set(hs), text.as_py().encode().split(b"\n")
-                        new = [line for line in old if len(line) < least or line_hash(line, least) not in hs]
-                        gone[i] = len(old) - len(new)
-                        text = pa.scalar(b"\n".join(new).decode() if new else "", texts.type)
-                    out.append(text)
-                columns[column_at] = pa.array([x.as_py() for x in out], texts.type)
-            yield pa.RecordBatch.from_arrays([*columns, lines, pa.array(gone, pa.int64())], [f"c{i}" for i in range(len(columns) + 2)])
+        for batch in steps(batches):
+            text, drops = batch.column("text"), batch.column("drops")
+            lines = pc.add(pc.fill_null(pc.count_substring(text, b"\n"), 0), 1).cast(pa.int64())
+            gone, kept = np.zeros(batch.num_rows, np.int64), text.to_pylist()
+            for i in np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                hs, old = set(drops[i].as_py()), kept[i].split(b"\n")
+                new = [line for line in old if len(line) < least or line_hash(line, least) not in hs]
+                gone[i], kept[i] = len(old) - len(new), b"\n".join(new)
+            out = pa.array(kept, pa.binary()) if gone.any() else text
+            rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "drops")]
+            yield pa.RecordBatch.from_arrays([*rest, out, lines, pa.array(gone)], [*[c for c in batch.schema.names if c not in ("text", "drops")], "text", "lines", "gone"])
 
     return run
 
 
 def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """docs with a shorter text, and two columns more: __n_lines (before), __n_dropped.
+    """docs with a shorter text, and two columns more: __n_lines (before), __n_dropped, each with more underscores where docs has one of that name.
 
     A line's key is the line without white space at both ends, A-Z lower-cased. Keys of at least `min_code_points` in at
     least `min_documents` documents lose their lines in all documents but the largest doc_id. A document is a doc_id:
@@ -125,14 +122,17 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_doc
     is one empty line and stays null. All columns of docs stay, whatever their names; an empty table stays empty.
     """
     spark = docs.sparkSession
-    keys = id_and_text(docs).mapInArrow(_hashes(min_code_points), "doc_id long, h binary")
-    bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
+    plain, columns = numbered(docs)
+    text = columns["text"]
+    rows = plain.withColumn("doc_id", F.col(columns["doc_id"]).cast("long")).withColumn("row", F.xxhash64("doc_id", text))
+    keys = rows.select("doc_id", "row", F.col(text).cast("binary").alias("text")).mapInArrow(_hashes(min_code_points), "doc_id long, row long, h binary")
+    bounds = rows.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     number = F.lit(0)
     for bound in bounds or []:
         number = number + F.when(F.col("doc_id") > bound, 1).otherwise(0)
     path = shared_folder(spark, "keys")
     keys.withColumn("batch", number).write.partitionBy("batch").parquet(path)
-    keys = spark.read.schema("doc_id long, h binary, batch int").parquet(path)
+    keys = spark.read.schema("doc_id long, row long, h binary, batch int").parquet(path)
 
     runs = Runs(spark, fanout)
     for i in reversed(range(batches)):  # largest doc_id first, so that the first to bring a line is the one that keeps it
@@ -141,14 +141,16 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_doc
     frequent = written(runs.merged().where(F.col("documents") >= min_documents).select("h", "keeper"), "frequent")
     runs.drop(runs.names())
 
+    # by row and not by doc_id: a list is never longer than its own text's lines, whatever rows share an id or have none
     drops = keys.join(frequent, "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = written(drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__h")), "drops")
-    # dealt by id at every size: a choice by size would move no text on small inputs and all of it on large ones
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(drops["__id"]), "left").select(*[docs[c] for c in docs.columns], "__h")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
-    out = joined.mapInArrow(_kept(docs.columns.index("text"), min_code_points), f"{kinds}, c{len(names)} long, c{len(names) + 1} long")
-    return out.toDF(*docs.columns, "__n_lines", "__n_dropped")
+    drops = written(drops.groupBy("row").agg(F.collect_set("h").alias("drops")), "drops")
+    # dealt by row at every size: a choice by size would move no text on small inputs and all of it on large ones
+    joined = rows.join(drops.hint("shuffle_hash"), "row", "left")
+    rest = [c for c in columns.values() if c != text]
+    kinds = [f"{c} {plain.schema[c].dataType.simpleString()}" for c in rest] + ["text binary", "lines long", "gone long"]
+    out = joined.select(*rest, F.col(text).cast("binary").alias("text"), "drops").mapInArrow(_kept(min_code_points), ", ".join(kinds))
+    out = out.select(*[F.col("text").cast(plain.schema[text].dataType) if c == text else F.col(c) for c in columns.values()], "lines", "gone")
+    return out.toDF(*docs.columns, *unused(docs.columns, "__n_lines", "__n_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, table, written
+from .common import WORD, numbered, table, written
 
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
-#: Hex digits of the shuffling hash that name a source's block, and equal steps of virtual time.
+#: Hex digits of the shuffling hash that name a source's block.
 BLOCK_DIGITS = 3
-TICKS = 4096
 
 
 def ranked(values: DataFrame, column: str) -> DataFrame:
@@ -72,15 +71,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
     rounds = queued.where("size > 0").withColumn("turn", F.explode(F.array(*map(F.lit, range(repeats)))))
     rounds = rounds.select("size", "key", finish(F.col("turn")).alias("finish")).where("finish < 2")
-    tick = F.floor(F.col("finish") * TICKS)
-    ticks = rounds.groupBy(tick.alias("tick")).agg(F.sum("size").alias("words"))  # at most 2 * TICKS rows
-    run = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = ticks.withColumn("total", F.sum("words").over(run)).where(F.col("total") > budget).orderBy("tick").select("tick", F.col("total") - F.col("words")).first()
+    order = written(rounds.sort("finish", "key").withColumn("at", F.monotonically_increasing_id()), "order")
+    part = F.shiftright("at", 33)
+    sums = order.groupBy(part.alias("part")).agg(F.sum("size").alias("words"))  # a row for each range of the sort
+    run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = sums.withColumn("total", F.sum("words").over(run)).where(F.col("total") > budget).orderBy("part").select("part", F.col("total") - F.col("words")).first()
     end = None
-    if over:  # the tick in which the budget ends: one of equal steps of virtual time, each with about the same words
-        last = rounds.where(tick == over[0])
-        order = Window.orderBy("finish", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        end = last.withColumn("total", F.lit(over[1]) + F.sum("size").over(order)).where(F.col("total") > budget).agg(F.min(F.struct("finish", "key"))).first()[0]
+    if over:  # the range in which the budget ends
+        upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        last = order.where(part == over[0]).withColumn("total", F.lit(over[1]) + F.sum("size").over(upto))
+        end = last.where(F.col("total") > budget).agg(F.min(F.struct("finish", "key"))).first()[0]
     copies = F.lit(0)
     for turn in range(repeats):
         inside = F.struct(finish(turn).alias("finish"), F.col("key")) < F.struct(F.lit(end[0]).alias("finish"), F.lit(end[1]).alias("key")) if end else F.lit(True)
@@ -89,11 +89,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it; size-0 rows take no budget and stay once. All columns stay; rows with a shared doc_id share their turn count."""
-    turns = mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int"))).alias("__turns")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(turns.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(turns["__id"])).where("__turns > 0")
-    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__turns"))))
-    return copies.select(*[docs[c] for c in docs.columns])
+    """docs with each row as often as the mix takes it; size-0 rows take no budget and stay once. All columns stay, whatever their names; rows with a shared doc_id share their turn count."""
+    turns = mix(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max(F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int"))).alias("turns"))
+    plain, columns = numbered(docs)
+    joined = plain.join(turns.hint("shuffle_hash"), F.col(columns["doc_id"]).cast("long").eqNullSafe(F.col("of"))).where("turns > 0")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("turns")))).select(*columns.values()).toDF(*docs.columns)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import STEP_BYTES, WHITE, table
+from .common import WHITE, numbered, steps, table, unused
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -119,40 +119,42 @@ def measures(texts: list[bytes], window: int = WINDOW, min_repeat: int = MIN_REP
 
 def _judge(window: int, min_repeat: int, max_covered: float, max_longest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            parts, start, held = [], 0, 0
-            for i, t in enumerate([*texts, None]):
-                if t is None or i > start and held + len(t) > STEP_BYTES:
-                    parts.append(measures(texts[start:i], window, min_repeat)) if i > start else None
-                    start, held = i, 0
-                held += len(t or b"")
-            if not parts:
-                continue
-            m = {k: np.concatenate([p[k] for p in parts]) for k in MEASURES}
+        for batch in steps(batches):
+            m = measures([t or b"" for t in batch.column("text").to_pylist()], window, min_repeat)
             failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
             kept = ~failed & (m["n_long_repeat_words"] <= max_covered * m["n_words"]) & ((m["longest_repeat"] < min_repeat) | (m["longest_repeat"] <= max_longest * m["n_words"]))
-            columns = [*batch.columns[:-1], *[pa.array(m[k], pa.int64()) for k in MEASURES], pa.array(failed), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+            columns = [*batch.columns, *[pa.array(m[k], pa.int64()) for k in MEASURES], pa.array(failed), pa.array(kept)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *MEASURES, "base_failed", "kept"])
 
     return run
 
 
+def _judged(docs: DataFrame, window: int, min_repeat: int, max_covered: float, max_longest: float) -> tuple[DataFrame, dict[str, str]]:
+    """docs with numbered columns, the measures and verdicts behind them; a text travels once."""
+    plain, columns = numbered(docs)
+    text = columns["text"]
+    rest = [c for c in columns.values() if c != text]
+    kinds = [f"{c} {plain.schema[c].dataType.simpleString()}" for c in rest] + ["text binary"] + [f"{k} long" for k in MEASURES] + ["base_failed boolean", "kept boolean"]
+    out = plain.select(*rest, F.col(text).cast("binary").alias("text")).mapInArrow(_judge(window, min_repeat, max_covered, max_longest), ", ".join(kinds))
+    return out.withColumn(text, F.col("text").cast(plain.schema[text].dataType)), columns
+
+
 def quality(docs: DataFrame, window: int = WINDOW, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
     """docs with the columns __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __n_long_repeat_words, __longest_repeat, __base_failed, __kept.
 
     One pass without a shuffle: a text is judged by itself. Null and blank texts have no words and fail. All columns of
-    docs stay, whatever their names; repeated rows are judged alike; an empty table stays empty.
+    docs stay, whatever their names (a new column whose name is taken gets more underscores); repeated rows are judged
+    alike; an empty table stays empty.
     """
-    names = [*docs.columns, *[f"__{k}" for k in MEASURES], "__base_failed", "__kept"]
-    kinds = [f.dataType.simpleString() for f in docs.schema] + ["long"] * len(MEASURES) + ["boolean"] * 2
-    own = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs["text"].cast("binary").alias("__bytes"))
-    return own.mapInArrow(_judge(window, min_repeat, max_covered, max_longest), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names)
+    out, columns = _judged(docs, window, min_repeat, max_covered, max_longest)
+    new = (*MEASURES, "base_failed", "kept")
+    return out.select(*columns.values(), *new).toDF(*docs.columns, *unused(docs.columns, *[f"__{k}" for k in new]))
 
 
 def keep_good(docs: DataFrame, max_covered: float = KEEP_COVERED, max_longest: float = KEEP_LONGEST) -> DataFrame:
     """docs without the rows that the rules reject, long repeats by limits of its own."""
-    return quality(docs, max_covered=max_covered, max_longest=max_longest).where("__kept").select(docs.columns)
+    out, columns = _judged(docs, WINDOW, MIN_REPEAT, max_covered, max_longest)
+    return out.where("kept").select(*columns.values()).toDF(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import LOWER, id_and_text, slots, steps, table, written
 from .components import components
@@ -85,17 +85,26 @@ class BKTree:
             parent[at] = at = parent[parent[at]]
         return at
 
-    def add(self, item: int) -> None:
+    def put(self, item: int) -> int:
+        """The item's place; one that is there already keeps its own."""
         own = len(self.items)
-        links = self.near(item)
         if own:
             at = 0
-            while (d := (self.items[at] ^ item).bit_count()) in self.children[at]:
+            while d := (self.items[at] ^ item).bit_count():
+                if d not in self.children[at]:
+                    self.children[at][d] = own
+                    break
                 at = self.children[at][d]
-            self.children[at][d] = own
+            else:
+                return at
         self.items.append(item)
         self.children.append({})
         self.parent.append(own)
+        return own
+
+    def add(self, item: int) -> None:
+        links = self.near(item)
+        own = self.put(item)
         for x in links:
             a, b = self.root(x), self.root(own)
             self.parent[max(a, b)] = min(a, b)
@@ -135,21 +144,41 @@ def _link(radius: int):
     return run
 
 
+def ways(bits: list[int], radius: int) -> list[int]:
+    """Masks of the bits such that two items within the radius agree under one of them at least: two of radius + 2 equal parts each."""
+    edges = [len(bits) * i // (radius + 2) for i in range(radius + 3)]
+    parts = [sum(1 << b for b in bits[low:high]) for low, high in zip(edges, edges[1:])]
+    return [_signed(a | b) for a, b in combinations(parts, 2)]
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """(a, b) such that the links reach exactly the pairs of distinct fingerprints within the radius, and their like.
 
     Fingerprints that differ in `radius` bits agree in two of `radius + 2` equal parts: each pair of parts makes a way to
-    shard, and a shard's tree is looked up by its own shard alone. A tree gives a link to the root of what it has found,
-    so a dense group costs a link for each member and not for each pair.
+    shard, and a shard's tree is looked up by its own shard alone. A shard of over `tree` items is cut once more, in as many
+    ways of its other bits. What is left has few free bits (16 of 64 for a radius of 2, so 65,536 items at most); over
+    `tree` items are dealt over several trees, each asked by all of them. A tree gives a link to the root of what it has
+    found, so a dense group costs a link for each member and not for each pair.
     """
-    parts = radius + 2
-    edges = [64 * i // parts for i in range(parts + 1)]
-    masks = [_signed(sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in pair)) for pair in combinations(range(parts), 2)]
-    dealt = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("shard")) for i, m in enumerate(masks)])).alias("s")).select("s.way", "s.shard", "fp")
-    sizes = dealt.groupBy("way", "shard").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = dealt.join(sizes, ["way", "shard"]).withColumn("blocks", F.ceil(F.col("size") / tree).cast("long"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.col("block") != own)
+    masks = ways(list(range(64)), radius)
+    free = [[b for b in range(64) if not (m >> b) & 1] for m in masks]
+    further = [[_signed((m | n) & ((1 << 64) - 1)) for n in ways(bits, radius)] for m, bits in zip(masks, free)]
+
+    def sharded(items: DataFrame) -> DataFrame:
+        """Items (way, mask, fp) with the size of their shard; those alone in one are left out."""
+        items = items.withColumn("shard", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
+        return items.join(items.groupBy("way", "shard").agg(F.count("*").alias("size")).where("size > 1"), ["way", "shard"])
+
+    def each(options: Column) -> Column:
+        return F.posexplode(options).alias("k", "mask")
+
+    whole = sharded(fps.select("fp", each(F.array(*map(F.lit, masks)))).withColumnRenamed("k", "way"))
+    own = F.element_at(F.array(*[F.array(*map(F.lit, row)) for row in further]), F.col("way") + 1)
+    cut = whole.where(F.col("size") > tree).select("way", "fp", each(own))
+    cut = sharded(cut.select((F.col("way") * len(further[0]) + F.col("k") + len(masks)).alias("way"), "mask", "fp"))
+    dealt = whole.where(F.col("size") <= tree).unionByName(cut).withColumn("blocks", F.ceil(F.col("size") / tree).cast("long"))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.col("block") != block)
     dealt = dealt.select("way", "shard", "block", "asks", "fp")
     n = slots(fps.sparkSession)
     return dealt.repartition(n, "way", "shard", "block").sortWithinPartitions("way", "shard", "block", "asks", "fp").mapInArrow(_link(radius), "a long, b long")
@@ -170,12 +199,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs without near-copies: of each component the row with the smallest doc_id stays, once. Rows without a doc_id stay as they are."""
-    kept = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    kept = written(kept, "kept")
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
-
-
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -313,7 +313,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, mer: int = MER, grou
     another, a repeated row being another. Null and blank texts have no words; texts shorter than a window lose none; rows
     without a doc_id are treated like any other; other columns of docs stay behind; an empty table gives an empty one.
     """
-    marks = repeats(docs, window, mer, group_bytes).groupBy(F.col("rid").alias("mark_rid")).agg(F.collect_list(F.struct("start", "count")).alias("marks"))
+    marks = repeats(docs, window, mer, group_bytes).groupBy(F.col("rid").alias("mark_rid")).agg(F.collect_set(F.struct("start", "count")).alias("marks"))
     marks = written(marks, "marks")
     rows = id_and_text(docs).mapInArrow(_keyed, "doc_id long, text binary, rid binary")
     # dealt by row id at every size, so that what moves grows with the input

@@ -101,7 +101,7 @@ class Model:
         for stem, w in self.weights.items():
             found.add_word(f" {stem}", (len(stem) + 1, w))
         for phrase in self.exceptions:
-            found.add_word(f" {phrase}", (len(phrase) + 1, 0.0))
+            found.add_word(f" {phrase} ", (len(phrase) + 2, 0.0))
         if len(found):
             found.make_automaton()
         return found
@@ -112,9 +112,10 @@ class Model:
         if not len(automaton) or not text:
             return 0.0, 0.0
         flat = " " + folded(text.decode("utf-8", "replace"))
-        hits = list(automaton.iter(flat))
-        if not hits:
+        if next(automaton.iter(flat), None) is None:
             return 0.0, 0.0
+        flat = f" {' '.join(flat.split())} "  # a phrase's words are next to each other, whatever was between them
+        hits = list(automaton.iter(flat))
         inside = [(e - n, e) for e, (n, w) in hits if not w]
         total = sum(w for e, (n, w) in hits if w and not any(a <= e - n and e <= b for a, b in inside))
         return math.log1p(total), math.log1p(100 * total / len(flat.split()))

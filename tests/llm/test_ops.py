@@ -18,8 +18,8 @@ from skerry import llm
 from skerry.llm import ann, chat, langid, line_dedup, mixing, packing, quality, simhash, substring, toxicity
 
 WHITE = " \t\n\r\x0b\x0c"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, fp long, marks string, __kept int"
-EXTRA = (1, "x", 2, "y", 3)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, fp long, marks string, __kept int, __h int, __n_lines int, __n_dropped int, __n_words int, __turns int, __copy int, __id int, __key int, c1 int, `a.b` int"
+EXTRA = (1, "x", 2, "y", 3, *range(10))
 
 
 def words(text):
@@ -80,11 +80,7 @@ def test_simhash(docs, rows, none):
         least[g] += [r[0]] if r[0] is not None else []
     want = Counter((r[0], f"{f:016x}", min(least[g], default=None)) for r, f, g in zip(rows, fps, group))
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
-    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).columns == none.columns
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in want}) and ids.count(None) == 2
+    assert simhash.near_duplicates(none).count() == 0
 
 
 def test_links_of_any_shard_size(spark):
@@ -110,6 +106,27 @@ def test_links_of_any_shard_size(spark):
         assert len({(got[f], want[f]) for f in fps}) == len(set(got.values())) == len(set(want.values()))
 
 
+def test_a_dense_shard_is_cut(spark):
+    """Items that agree in 32 bits: each is dealt a few times, however many they are, and links are those of brute force."""
+    rng = random.Random(12)
+    fps = sorted({(7 << 32) | rng.getrandbits(32) for _ in range(1500)} | {(7 << 32) | 3, (7 << 32) | 1, 7 << 32, (7 << 32) | (1 << 31) | 1})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {tuple(sorted(map(int, r))) for r in simhash.links(df, 2, 100).collect()}
+    parent = {f: f for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in got:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 2:
+                assert root(a) == root(b)
+
+
 def dropped_lines(rows):
     fold = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s.strip(WHITE))
     seen = defaultdict(set)
@@ -124,8 +141,8 @@ def dropped_lines(rows):
 
 def test_line_dedup(docs, rows, none):
     out = line_dedup.dedup_lines(docs)
-    assert out.columns == [*docs.columns, "__n_lines", "__n_dropped"]
-    got = Counter((r.doc_id, r["__n_lines"], r["__n_dropped"], r.text or "") for r in out.collect())
+    assert out.columns == [*docs.columns, "___n_lines", "___n_dropped"]
+    got = Counter((r.doc_id, r["___n_lines"], r["___n_dropped"], r.text or "") for r in out.collect())
     assert got == Counter(dropped_lines(rows)) and sum(r[2] for r in dropped_lines(rows)) > 5
     assert line_dedup.dedup_lines(none).count() == 0
     few = line_dedup.dedup_lines(docs, batches=1).select("doc_id", "text")
@@ -170,12 +187,12 @@ def measured(text):
 
 
 def test_quality(docs, rows, none):
-    out = quality.quality(docs.drop("__kept"))
-    got = Counter((r.doc_id, r["__n_words"], r["__word_chars"], r["__n_symbols"], r["__n_dup_lines"], r["__n_repeat_words"], r["__base_failed"]) for r in out.collect())
+    out = quality.quality(docs)
+    got = Counter((r.doc_id, r["___n_words"], r["__word_chars"], r["__n_symbols"], r["__n_dup_lines"], r["__n_repeat_words"], r["__base_failed"]) for r in out.collect())
     assert got == Counter((r[0], *measured(r[1])) for r in rows)
-    assert out.where("__base_failed AND __kept").count() == 0
-    good = quality.keep_good(docs.drop("__kept"))
-    assert good.columns == docs.drop("__kept").columns and 10 < good.count() < docs.count() and quality.quality(none.drop("__kept")).count() == 0
+    assert out.where("__base_failed AND ___kept").count() == 0
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns and 10 < good.count() < docs.count() and quality.quality(none).count() == 0
 
 
 def test_longest_repeats():
@@ -219,6 +236,12 @@ def test_substrings(docs, rows, none, window, mer, group):
     assert substring.dedup_substrings(none).count() == 0
 
 
+def test_marks_of_repeated_rows_are_few(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    marks = substring.repeats(spark.createDataFrame([(1, text)] * 300, "doc_id long, text string"))
+    assert marks.count() >= 300 and marks.distinct().count() <= 60
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
@@ -329,10 +352,40 @@ def test_chat(spark):
 def test_templates_that_rewrite_history():
     turns = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
     last_only = lambda ts: "".join(f"[{r}]{t if i == len(ts) - 1 else '...'}" for i, (r, t) in enumerate(ts))
-    assert chat.locate(turns, last_only) == (last_only(turns), [], True)
+    assert chat.locate(turns, last_only) == (last_only(turns), [], True, 2)
     upper = lambda ts: "<s>" + "".join(f"[{r}]{t}<e>" for r, t in ts)
-    out, spans, rewrites = chat.locate(turns, upper)
-    assert not rewrites and [out[a:b] for a, b in spans] == ["b", "d"]
+    out, spans, rewrites, lost = chat.locate(turns, upper)
+    assert not rewrites and not lost and [out[a:b] for a, b in spans] == ["b", "d"]
+
+
+def test_texts_that_probes_do_not_place():
+    sized = lambda ts: "".join(f"<{r}:{len(t)}>{t}" for r, t in ts)
+    turns = [("user", "hi"), ("assistant", "a longer text"), ("assistant", "x"), ("assistant", "i"), ("assistant", "")]
+    out, spans, rewrites, lost = chat.locate(turns, sized)
+    assert not rewrites and [out[a:b] for a, b in spans] == ["a longer text", "x", "i"] and lost == 1
+    mangled = lambda ts: "".join(f"<{r}:{len(t)}>{t[::-1]}" for r, t in ts)
+    assert chat.locate([("assistant", "abc")], mangled)[1:] == ([], False, 1)
+
+
+def test_long_conversations(spark):
+    """300 turns: a header is written once, turn numbers run on, and a template that rewrites from turn 300 on is found out."""
+    rows = [(c, i, "assistant" if i % 2 else "user", f"t{i} of {c}") for c in (1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    said = {c: [(r, t) for k, _, r, t in rows if k == c] for c in (1, 2)}
+    header = chat.Turnwise(lambda t: f"[{t[0]}]{t[1]}<e>", "<s>")
+    count = lambda ts: "<s>" + "".join(f"{i}[{r}]{t}" for i, (r, t) in enumerate(ts))
+    late = lambda ts: ("<long>" if len(ts) >= 300 else "<s>") + "".join(f"[{r}]{t}<e>" for r, t in ts)
+    for template, most in ((header, 256), (header, 7), (lambda ts: header(ts), 256), (count, 256), (late, 256)):
+        got = {}
+        for r in chat.format_conversations(df, template, most=most).orderBy("conv_id", "part").collect():
+            got.setdefault(r.conv_id, []).append(r)
+        for c, parts in got.items():
+            assert "".join(p.formatted for p in parts) == template(said[c])
+            texts = [p.formatted[s["start"] : s["end"]] for p in parts for s in p.loss]
+            if template is late:
+                assert parts[0].rewrites and not texts and parts[0].unplaced == 150
+            else:
+                assert texts == [t for r, t in said[c] if r == "assistant"] and not any(p.rewrites or p.unplaced for p in parts)
 
 
 def vectors():
