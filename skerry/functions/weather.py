@@ -82,11 +82,13 @@ def uplift(u: Column, v: Column, dx: Column, dy: Column) -> Column:
     return F.greatest(F.lit(0.0), u * dx + v * dy)
 
 
+# fixed values: the radiation constant, emissivities of ground and person, and the share of shortwave that counts
 SIGMA, GROUND, HUMAN, SHORTWAVE = 5.67e-8, 0.97, 0.97, 0.30
 
 
 def longwave_down(temp: Column, cloud: Column, vapour: Column) -> Column:
     k = temp + 273.15
+    # fixed values: Brutsaert's clear-sky emissivity
     clear = 1.24 * F.pow(F.greatest(vapour, F.lit(0.01)) / k, F.lit(1 / 7))
     cc = F.least(F.lit(1.0), F.greatest(F.lit(0.0), cloud))
     return ((1 - cc) * clear + cc) * SIGMA * F.pow(k, F.lit(4.0))
@@ -112,6 +114,7 @@ def capped_shortwave(sw: Column, cloud: Column, sine: Column) -> Column:
     """Shortwave no larger than a clear sky lets through, less 65 % under full cloud; as it is at night."""
     cc = F.least(F.lit(1.0), F.greatest(F.lit(0.0), cloud))
     some = F.greatest(sw, F.lit(0.0))
+    # fixed values: flux above the air, share that a clear sky lets through, share that full cloud takes
     return F.when(sine <= 0, some).otherwise(F.least(some, 1100 * 0.75 * sine * (1 - 0.65 * cc)))
 
 
@@ -161,6 +164,36 @@ def smoothstep(x: Column, low: float, high: float) -> Column:
     return t * t * (3 - 2 * t)
 
 
+#: fixed values of the scoring curves: knots (input, score) of the straight ones
+FRICTION = ((5 - 1 / 0.17, 0.0), (5.0, 1.0), (10.0, 1.0), (25.0, 0.25))
+AIR = ((5 - 0.4 / 0.12, 0.0), (5.0, 0.4), (8.0, 1.0), (10.0, 1.0), (20.0, 0.15), (25.0, 0.0))
+WIND = ((0.0, 0.6), (5.0, 1.0), (10.0, 1.0), (15.0, 0.5), (35.0, 0.1))
+#: fixed values of the smooth ones: (input of score 1, input of the floor, floor)
+DEW, SALT, FILM = (3.0, 0.0, 0.15), (85.0, 100.0, 0.35), (0.01, 0.05, 0.08)
+#: fixed values: least score of a tier
+TIERS = ((0.70, "prime"), (0.50, "good"), (0.30, "marginal"))
+
+
+def smooth_penalty(x: Column, curve: tuple[float, float, float]) -> Column:
+    """1 at the curve's first input, smoothly down to its floor at the second, flat outside."""
+    none, full, floor = curve
+    share = smoothstep(x, none, full) if full > none else 1 - smoothstep(x, full, none)
+    return 1 - (1 - floor) * share
+
+
+def blended(scores: Column) -> Column:
+    """Square root of geometric mean times least, of an array of scores from 0 to 1."""
+    logs = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.log(F.greatest(x, F.lit(1e-6))))
+    return F.sqrt(F.exp(logs / F.size(scores)) * F.array_min(scores))
+
+
+def tier(score: Column) -> Column:
+    out = F.when(score >= TIERS[0][0], TIERS[0][1])
+    for least, name in TIERS[1:]:
+        out = out.when(score >= least, name)
+    return out.otherwise("poor")
+
+
 #: Factors of units into the ones used here.
 KNOTS, MPH, INHG, MILES = 0.514444, 0.44704, 33.8639, 1609.344
 

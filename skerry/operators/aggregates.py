@@ -36,9 +36,16 @@ def spread(value: str) -> list[Column]:
     return [F.avg(v).alias("mean"), dev.alias("std"), (F.max(v) - F.min(v)).alias("range"), F.max(v).alias("largest")]
 
 
-def null_shares(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Share of nulls of each column by key."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(F.col(c).isNull().cast("double")).alias(f"null_{c}") for c in columns])
+def null_shares(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *others: Column) -> DataFrame:
+    """(keys, n, null_<column>, others): share of nulls of each column by key, and whatever else one pass can count."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(F.col(c).isNull().cast("int")).alias(f"null_{c}") for c in columns], *others)
+
+
+def null_shares_by_each(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *others: Column) -> DataFrame:
+    """null_shares by each key alone, in one pass: the other keys of a row are null, and `by` names the key."""
+    sets = df.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys])
+    by = F.element_at(F.array(*map(F.lit, keys)), (F.log2((2 ** len(keys) - 1) - F.grouping_id()).cast("int") * -1 + len(keys)))
+    return sets.agg(by.alias("by"), F.count("*").alias("n"), *[F.avg(F.col(c).isNull().cast("int")).alias(f"null_{c}") for c in columns], *others)
 
 
 def correlation_table(df: DataFrame, day: str, slot: str, value: str, floor: float = 1e-12) -> DataFrame:

@@ -35,3 +35,14 @@ def coverage(expected: DataFrame, actual: DataFrame, keys: Sequence[str], fresh:
     newest = actual.groupBy(*keys).agg(F.max(fresh).alias("__newest"))
     state = F.when(F.col("__newest").isNull(), "missing").when(F.col("__newest") < after, "stale").otherwise("ok")
     return expected.join(newest, list(keys), "left").withColumn("state", state).drop("__newest")
+
+
+def changed(current: DataFrame, previous: DataFrame, keys: Sequence[str], checks: dict[str, tuple[str, float | None]]) -> DataFrame:
+    """(keys, check, old, new), values as text: each check that two summaries break. A check is a column and the share that it may change by; None: it must be the same. Keys without an old summary pass."""
+    j = current.alias("c").join(previous.alias("p"), list(keys))
+    rows = []
+    for name, (column, share) in checks.items():
+        old, new = F.col(f"p.{column}"), F.col(f"c.{column}")
+        broken = ~old.eqNullSafe(new) if share is None else F.abs(F.try_divide(new, old) - 1) > share
+        rows.append(F.when(broken, F.struct(F.lit(name).alias("check"), old.cast("string").alias("old"), new.cast("string").alias("new"))))
+    return j.select(*keys, F.explode(F.array_compact(F.array(*rows))).alias("b")).select(*keys, "b.*")

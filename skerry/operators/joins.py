@@ -30,23 +30,30 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     return out.select(*left.columns, F.col("__last.asof").alias("asof"), *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
-def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], seconds: int, ident: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
-    """left (one row for each ident) with the values of the right row that is nearest in time within `seconds`; earlier wins a tie, then `ties`.
+def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], seconds: int, ties: Sequence[str] = ()) -> DataFrame:
+    """left with the values of the right row that is nearest in time within `seconds`, and its time as `near`; earlier wins a tie, then `ties`.
 
-    Times are dealt into buckets as wide as the tolerance; a left row meets its own bucket and both neighbours.
+    No row is paired with another: of the right rows of one time the first stays, and two windows give each left row the
+    last before and the first after it. Time is cut into parts 24 times as wide as the tolerance; a right row is in each
+    part that it can matter to, so no window holds more than a part. Rows without a time or key match nothing.
     """
-    def epoch(c: str):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c})")
-
-    width = seconds * 1_000_000
-    a = left.withColumn("__lt", epoch(left_time)).withColumn("__b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("__lt") / width) + d)))
-    r = right.select(*keys, epoch(right_time).alias("__rt"), F.col(right_time).alias("__time"), *[F.col(v).alias(f"__{v}") for v in values], *[F.col(t).alias(f"__t_{t}") for t in ties])
-    r = r.withColumn("__b", F.floor(F.col("__rt") / width))
-    gap = F.abs(F.col("__rt") - F.col("__lt"))
-    hits = a.join(r, [*keys, "__b"]).where(gap <= width)
-    order = F.struct(gap.alias("g"), F.col("__rt").alias("t"), *[F.col(f"__t_{t}") for t in ties])
-    best = hits.groupBy(*ident).agg(F.min_by(F.struct(F.col("__time").alias("near"), *[F.col(f"__{v}").alias(v) for v in values]), order).alias("__m"))
-    return left.join(best, list(ident), "left").select(*left.columns, F.col("__m.near").alias("near"), *[F.col(f"__m.{v}").alias(v) for v in values])
+    epoch = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c})")
+    reach, width = seconds * 1_000_000, 24 * seconds * 1_000_000
+    kind = right.select(F.struct(F.col(right_time).alias("near"), *values)).schema[0].dataType
+    part = lambda t: F.floor(t / width)
+    first = Window.partitionBy(*keys, right_time).orderBy(*[F.col(t) for t in ties or values])
+    r = right.where(F.col(right_time).isNotNull()).withColumn("__first", F.row_number().over(first)).where("__first = 1")
+    r = r.select(*keys, epoch(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(F.col(right_time).alias("near"), *values).alias("__r"))
+    r = r.withColumn("__part", F.explode(F.sequence(part(F.col("__t") - reach), part(F.col("__t") + reach))))
+    a = left.withColumns({"__t": epoch(left_time), "__side": F.lit(1), "__r": F.lit(None).cast(kind)}).withColumn("__part", part(F.col("__t")))
+    both = a.unionByName(r, allowMissingColumns=True).withColumn("__x", F.when(F.col("__side") == 0, F.struct("__t", "__r")))
+    w = Window.partitionBy(*keys, "__part").orderBy("__t", "__side")
+    both = both.withColumns({"__before": F.last("__x", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.first("__x", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    back, on = F.col("__t") - F.col("__before.__t"), F.col("__after.__t") - F.col("__t")
+    known = F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x) & F.col("__t").isNotNull()
+    pick = F.when(known & (back <= reach) & (on.isNull() | (back <= on)), F.col("__before.__r")).when(known & (on <= reach), F.col("__after.__r"))
+    out = both.where("__side = 1").withColumn("__m", pick)
+    return out.select(*left.columns, F.col("__m.near").alias("near"), *[F.col(f"__m.{v}").alias(v) for v in values])
 
 
 def lagged(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, hours, name: str) -> DataFrame:

@@ -46,3 +46,23 @@ def decide_band(scores: DataFrame, keys: Sequence[str], incumbent: str, margin:
     best = scores.groupBy(*keys).agg(F.min(F.struct("score", "candidate")).alias("b"), F.min(F.when(F.col("candidate") == F.col(incumbent), F.col("score"))).alias("own"), F.first(incumbent).alias("inc"))
     keep = F.col("own").isNotNull() & (F.col("b.score") > F.col("own") * (1 - margin))
     return best.select(*keys, F.when(keep, F.col("inc")).otherwise(F.col("b.candidate")).alias("chosen"), F.when(keep, F.col("own")).otherwise(F.col("b.score")).alias("score"), (~keep & ~F.col("b.candidate").eqNullSafe(F.col("inc"))).alias("changed"))
+
+
+def decide_with_incumbent(scores: DataFrame, keys: Sequence[str], base: str, incumbent: str, margin: float, hysteresis: float) -> DataFrame:
+    """(keys, pick, graded, percent, passes) from (keys, candidate, selected_on, graded_on, base, incumbent), margins as shares.
+
+    The candidate with the least selected_on is picked. Another incumbent, if it is a candidate with a grade, stays unless
+    the pick's grade beats its own by the hysteresis. The pick passes if it is not the base and beats the base's grade by
+    the margin, which is less by the hysteresis for the incumbent. Ties go to the first name; a missing selected_on is
+    never picked, and keys whose base has no grade pass nothing.
+    """
+    own = lambda name, value: F.max(F.when(F.col("candidate") == F.col(name), F.col(value)))
+    g = scores.groupBy(*keys).agg(
+        F.min(F.when(F.col("selected_on").isNotNull(), F.struct("selected_on", "candidate", "graded_on"))).alias("best"),
+        own(incumbent, "graded_on").alias("__inc"), own(base, "graded_on").alias("__base"), F.first(base).alias("__b"), F.first(incumbent).alias("__i"),
+    )
+    stays = F.col("__inc").isNotNull() & (F.col("best.candidate") != F.col("__i")) & ~F.coalesce(F.col("best.graded_on") <= F.col("__inc") * (1 - hysteresis), F.lit(False))
+    g = g.withColumns({"pick": F.when(stays, F.col("__i")).otherwise(F.col("best.candidate")), "graded": F.when(stays, F.col("__inc")).otherwise(F.col("best.graded_on"))})
+    needed = F.when(F.col("pick").eqNullSafe(F.col("__i")), max(0.0, margin - hysteresis)).otherwise(margin)
+    passes = F.coalesce((F.col("pick") != F.col("__b")) & (F.col("graded") <= F.col("__base") * (1 - needed)), F.lit(False))
+    return g.select(*keys, "pick", "graded", (100 * F.try_divide(F.col("__base") - F.col("graded"), F.col("__base"))).alias("percent"), passes.alias("passes"))

@@ -84,3 +84,25 @@ def mixed_crps(pi: Column, quantiles: Column, y: Column, draws: int) -> Column:
     k = F.size(quantiles)
     members = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.when(i <= draws - wet, F.lit(0.0)).otherwise(F.element_at(quantiles, F.least(k, F.floor((i - (draws - wet) - 1) * k / F.greatest(wet, F.lit(1))) + 1).cast("int"))))
     return crps_ensemble(members, y)
+
+
+def mixture_crps(pi: Column, quantiles: Column, y: Column) -> Column:
+    """CRPS, in closed form, of an amount that is nil with probability 1 - pi and else one of equally likely quantiles; y is 0 or more."""
+    k, dry = F.size(quantiles), 1 - pi
+    wet = pi / k
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    ordered = F.array_sort(quantiles)
+    apart = 2 * add(F.transform(ordered, lambda x, i: x * (2 * i + 1 - k)))
+    near = dry * y + wet * add(F.transform(quantiles, lambda x: F.abs(x - y)))
+    return near - dry * wet * add(quantiles) - wet * wet * apart / 2
+
+
+def histogram(value: Column, bins: int) -> Column:
+    """Counts of values from 0 to 1 in equal bins, as an array; 1 is in the last. Combined before any shuffle."""
+    at = F.least(F.lit(bins - 1), F.floor(value * bins))
+    return F.array(*[F.count_if(at == i) for i in range(bins)])
+
+
+def pool_bins(column: str, bins: int) -> Column:
+    """Element-wise sums of arrays of counts."""
+    return F.array(*[F.sum(F.col(column)[i]) for i in range(bins)])

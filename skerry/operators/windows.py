@@ -46,14 +46,37 @@ def forward_fill(df: DataFrame, keys: Sequence[str], time: str, columns: Sequenc
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
-def hourly_line(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
-    """(keys, hour, value): a straight line between neighbours in time, on every whole hour from the first to the last."""
+def hourly_line(df: DataFrame, keys: Sequence[str], time: str, *values: str) -> DataFrame:
+    """(keys, hour, values): straight lines between neighbours in time, on every whole hour from the first to the last.
+
+    A null value is where a line ends: between it and its neighbours the line is flat at the earlier value.
+    """
     w = Window.partitionBy(*keys).orderBy(time)
     seconds = F.expr(f"timestampdiff(SECOND, {time}, __next)")
-    pairs = df.withColumns({"__next": F.lead(time).over(w), "__value": F.lead(value).over(w)}).withColumn("__k", F.explode(F.sequence(F.lit(0), F.coalesce((seconds / 3600).cast("int") - 1, F.lit(0)))))
+    pairs = df.withColumns({"__next": F.lead(time).over(w), **{f"__{v}": F.lead(v).over(w) for v in values}})
+    pairs = pairs.withColumn("__k", F.explode(F.sequence(F.lit(0), F.coalesce((seconds / 3600).cast("int") - 1, F.lit(0)))))
     share = F.when(seconds > 0, F.col("__k") * 3600 / seconds).otherwise(0.0)
-    line = F.when(F.col("__value").isNull(), F.col(value)).otherwise(F.col(value) + (F.col("__value") - F.col(value)) * share)
-    return pairs.select(*keys, (F.col(time) + F.make_dt_interval(F.lit(0), F.col("__k"))).alias("hour"), line.alias(value))
+    line = lambda v: F.when(F.col(f"__{v}").isNull(), F.col(v)).otherwise(F.col(v) + (F.col(f"__{v}") - F.col(v)) * share)
+    return pairs.select(*keys, (F.col(time) + F.make_dt_interval(F.lit(0), F.col("__k"))).alias("hour"), *[line(v).alias(v) for v in values])
+
+
+def hourly_direction(df: DataFrame, keys: Sequence[str], time: str, degrees: str) -> DataFrame:
+    """(keys, hour, degrees): directions between neighbours in time by straight lines of sine and cosine, so that 350 and 10 meet at north."""
+    rad = F.radians(degrees)
+    line = hourly_line(df.select(*keys, time, F.sin(rad).alias("__sin"), F.cos(rad).alias("__cos")), keys, time, "__sin", "__cos")
+    return line.select(*keys, "hour", F.pmod(F.degrees(F.atan2("__sin", "__cos")), F.lit(360.0)).alias(degrees))
+
+
+def split_checked(df: DataFrame, keys: Sequence[str], time: str, train: float = 0.7, validation: float = 0.15, least: int = 10) -> DataFrame:
+    """df with part (train, validation, test, in order of time within a key) and ok: the key has `least` rows, no part is empty, and no two parts share a time."""
+    w = Window.partitionBy(*keys)
+    first = F.floor(F.col("__n") * F.lit(train))
+    second = first + F.floor(F.col("__n") * F.lit(validation))
+    part = F.when(F.col("__k") <= first, "train").when(F.col("__k") <= second, "validation").otherwise("test")
+    out = df.withColumns({"__k": F.row_number().over(w.orderBy(time)), "__n": F.count("*").over(w)}).withColumn("part", part)
+    edge = lambda f, name: f(F.when(F.col("part") == name, F.col(time))).over(w)
+    ok = (F.col("__n") >= least) & (edge(F.max, "train") < edge(F.min, "validation")) & (edge(F.max, "validation") < edge(F.min, "test"))
+    return out.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("__k", "__n")
 
 
 def trailing(df: DataFrame, keys: Sequence[str], hour: str, value: str, hours: int, wet: float) -> DataFrame:

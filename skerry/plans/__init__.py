@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB twins."""
 
-from . import basics, elements, expressions, features, feeds, scoring, training
+from . import basics, details, elements, expressions, features, feeds, scoring, training
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics", "elements", "expressions", "features", "feeds", "scoring", "training"]
+__all__ = ["ORACLES", "QUERIES", "basics", "details", "elements", "expressions", "features", "feeds", "scoring", "training"]

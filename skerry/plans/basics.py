@@ -235,7 +235,7 @@ def jn4(spark: SparkSession, d: str) -> DataFrame:
     """One type of event next to all the others of its station."""
     e = read(spark, d, "events").selectExpr("event_id", "ts", "CAST(user_id % 5 AS INT) AS station", "event_type")
     right = e.where("event_type <> 'view'").withColumn("near_id", F.col("event_id"))
-    return jn.nearest_join(e.where("event_type = 'view'"), right, ["station"], "ts", "ts", ["near_id"], 3600, ["event_id"], ["near_id"]).select("event_id", "near_id")
+    return jn.nearest_join(e.where("event_type = 'view'"), right, ["station"], "ts", "ts", ["near_id"], 3600, ["near_id"]).select("event_id", "near_id")
 
 
 @query("jn5_persistence", "SELECT p.lead, count(*) AS n, count(*) - count(t.y) AS missed, round(avg(abs(t.y - p.y)), 6) AS mae FROM pred p LEFT JOIN truth t ON t.station = p.station AND t.valid = p.valid - to_hours(p.lead) GROUP BY 1")
@@ -244,42 +244,37 @@ def jn5(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.groupBy("lead").agg(F.count("*").alias("n"), (F.count("*") - F.count("before")).alias("missed"), F.avg(F.abs(F.col("before") - F.col("y"))).alias("mae")), "mae")
 
 
-def by_model(spark: SparkSession, d: str, *models: str) -> list[DataFrame]:
-    cells = dd.latest(fcst(spark, d), CELL, ["run", "event_id"])
-    return [cells.where(F.col("model") == m).select("station", "lead", "valid", F.col("x").alias(m)) for m in models]
+def side_by_side(spark: SparkSession, d: str, *models: str) -> DataFrame:
+    """(station, lead, valid, one column a model) of cells that have all of the models: one scan, one window, one pivot."""
+    w = ag.pivot_max(dd.latest(fcst(spark, d).where(F.col("model").isin(*models)), CELL, ["run", "event_id"]), ["station", "lead", "valid"], "model", models, "x")
+    return w.dropna(subset=list(models))
 
 
 @query("jn6_five_way", f"SELECT station, lead, valid, round(click + error + purchase + signup + view, 6) AS total FROM (SELECT station, valid, lead, {PIVOT_SQL} FROM latest GROUP BY ALL) WHERE click + error + purchase + signup + view IS NOT NULL")
 def jn6(spark: SparkSession, d: str) -> DataFrame:
-    first, *rest = by_model(spark, d, *MODELS)
-    for other in rest:
-        first = first.join(other, ["station", "lead", "valid"])
-    return first.select("station", "lead", "valid", F.round(sum((F.col(m) for m in MODELS[1:]), F.col(MODELS[0])), R6).alias("total"))
+    return side_by_side(spark, d, *MODELS).select("station", "lead", "valid", F.round(sum((F.col(m) for m in MODELS[1:]), F.col(MODELS[0])), R6).alias("total"))
 
 
 @query("jn7_three_way", f"SELECT station, lead, valid, click, error, view FROM (SELECT station, valid, lead, {PIVOT_SQL} FROM latest GROUP BY ALL) WHERE click IS NOT NULL AND error IS NOT NULL AND view IS NOT NULL")
 def jn7(spark: SparkSession, d: str) -> DataFrame:
-    a, b, c = by_model(spark, d, "click", "error", "view")
-    return a.join(b, ["station", "lead", "valid"]).join(c, ["station", "lead", "valid"])
+    return side_by_side(spark, d, "click", "error", "view")
 
 
 @query("jn8_equal_mean", "SELECT a.station, a.lead, a.valid, round((a.x + b.x) / 2, 6) AS mean FROM latest a JOIN latest b USING (station, lead, valid) WHERE a.model = 'click' AND b.model = 'error'")
 def jn8(spark: SparkSession, d: str) -> DataFrame:
-    a, b = by_model(spark, d, "click", "error")
-    return a.join(b, ["station", "lead", "valid"]).select("station", "lead", "valid", F.round((F.col("click") + F.col("error")) / 2, R6).alias("mean"))
+    return side_by_side(spark, d, "click", "error").select("station", "lead", "valid", F.round((F.col("click") + F.col("error")) / 2, R6).alias("mean"))
 
 
 @query("jn9_full_outer", """SELECT station, valid, lead, a.x AS click, b.x AS view FROM (SELECT * FROM latest WHERE model = 'click') a FULL JOIN (SELECT * FROM latest WHERE model = 'view') b USING (station, valid, lead)""")
 def jn9(spark: SparkSession, d: str) -> DataFrame:
-    a, b = by_model(spark, d, "click", "view")
-    return a.join(b, ["station", "valid", "lead"], "full_outer")
+    w = wide(spark, d)
+    return w.select("station", "valid", "lead", "click", "view").where("click IS NOT NULL OR view IS NOT NULL")
 
 
 @query("jn10_presence", """SELECT a.station, a.lead, count(*) AS anchors, count(b.x) AS present FROM (SELECT * FROM latest WHERE model = 'click') a
 LEFT JOIN (SELECT * FROM latest WHERE model = 'purchase') b USING (station, valid, lead) GROUP BY ALL""")
 def jn10(spark: SparkSession, d: str) -> DataFrame:
-    a, b = by_model(spark, d, "click", "purchase")
-    return a.join(b, ["station", "valid", "lead"], "left").groupBy("station", "lead").agg(F.count("*").alias("anchors"), F.count("purchase").alias("present"))
+    return wide(spark, d).where("click IS NOT NULL").groupBy("station", "lead").agg(F.count("*").alias("anchors"), F.count("purchase").alias("present"))
 
 
 def station_pairs(hours: DataFrame, *columns: str) -> DataFrame:
@@ -375,8 +370,8 @@ def agg11(spark: SparkSession, d: str) -> DataFrame:
 @query("agg12_null_shares", f"SELECT lead, hour(valid) AS h, count(*) AS n, " + ", ".join(f"round(avg(CAST({m} IS NULL AS INT)), 6) AS null_{m}" for m in MODELS) + ", count(*) FILTER (click IS NULL AND error IS NULL) AS both_null" + f" FROM (SELECT station, valid, lead, {PIVOT_SQL} FROM latest GROUP BY ALL) GROUP BY ALL")
 def agg12(spark: SparkSession, d: str) -> DataFrame:
     w = wide(spark, d).withColumn("h", F.hour("valid").cast("long"))
-    both = w.groupBy("lead", "h").agg(F.count_if(F.col("click").isNull() & F.col("error").isNull()).alias("both_null"))
-    return rounded(ag.null_shares(w, ["lead", "h"], MODELS), *[f"null_{m}" for m in MODELS]).join(both, ["lead", "h"])
+    both = F.count_if(F.col("click").isNull() & F.col("error").isNull()).alias("both_null")
+    return rounded(ag.null_shares(w, ["lead", "h"], MODELS, both), *[f"null_{m}" for m in MODELS])
 
 
 @query("agg13_agreement", """, j AS (SELECT a.station AS a, b.station AS b, a.v AS va, b.v AS vb, a.v >= 45 AS wa, b.v >= 45 AS wb FROM hourly a JOIN hourly b USING (hour) WHERE a.station < b.station),

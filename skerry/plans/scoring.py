@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import calibrate as cal, dedup as dd, joins as jn, pooling as po, verify as vf, windows as wn
-from .basics import PIVOT_SQL, ROLLING, by_model, rounded, wide
+from .basics import PIVOT_SQL, ROLLING, rounded, side_by_side, wide
 from .registry import query
 from .views import MODELS, WET, hourly, pred, prob, truth
 
@@ -239,10 +239,7 @@ WIDE_SQL = f", w AS (SELECT station, valid, lead, {PIVOT_SQL} FROM latest GROUP
 
 def three(spark: SparkSession, d: str, *models: str) -> DataFrame:
     """Probabilities of some models side by side, with the outcome."""
-    first, *rest = by_model(spark, d, *models)
-    for other in rest:
-        first = first.join(other, ["station", "lead", "valid"])
-    first = first.withColumns({f"p{'abc'[i]}": F.col(m) / (F.col(m) + 50) for i, m in enumerate(models)})
+    first = side_by_side(spark, d, *models).withColumns({f"p{'abc'[i]}": F.col(m) / (F.col(m) + 50) for i, m in enumerate(models)})
     return first.join(truth(spark, d), ["station", "valid"]).withColumn("wet", (F.col("y") >= WET).cast("int"))
 
 
