@@ -26,6 +26,8 @@ ROWS, BANDS = 4, 20
 RADIUS = 22
 #: Equal minima, of 80, below which a pair's texts are not read; at 0.8 they are 64, give or take 3.6.
 LIKELY = 46
+#: Candidates of an item that are looked at one by one; of more, shared shingles are counted first.
+FEW = 32
 #: Items and bytes of text that are held in one tree with their texts.
 TREE_TEXTS, TREE_BYTES = 4_000, 16 << 20
 #: Members that are held against one copy of a hub's text.
@@ -47,25 +49,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """A number for each shingle of the text, repeats included: equal for equal shingles, and hardly ever else."""
+    words = (text or b"").translate(LOWER).split()
+    codes = np.fromiter(map(crc32, words), np.uint64, len(words)) if words else np.zeros(1, np.uint64)
+    width = min(size, len(codes))
+    h = np.zeros(len(codes) - width + 1, np.uint64)
+    for j in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : len(codes) - width + 1 + j] + np.uint64(1)
+    return _mix(h)
+
+
 def sketches(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Texts x (ROWS * BANDS), the least value of each hash over a text's shingles; and fingerprints: bits that over half of its shingles' hashes set."""
-    hashes, sizes = [], []
-    for t in texts:
-        words = (t or b"").translate(LOWER).split()
-        codes = np.fromiter(map(crc32, words), np.uint64, len(words)) if words else np.zeros(1, np.uint64)
-        width = min(size, len(codes))
-        h = np.zeros(len(codes) - width + 1, np.uint64)
-        for j in range(width):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : len(codes) - width + 1 + j] + np.uint64(1)
-        hashes.append(h)
-        sizes.append(len(h))
-    h = _mix(np.concatenate(hashes))
+    hashes = [shingle_hashes(t, size) for t in texts]
+    sizes = np.array([len(h) for h in hashes])
+    h = np.concatenate(hashes)
     starts = np.cumsum(sizes) - sizes
     least = np.stack([np.minimum.reduceat(_mix(h ^ s) * f, starts) for f, s in zip(_FACTORS, _SHIFTS)], axis=1)
     fps = np.zeros(len(texts), np.uint64)
     h = _mix(h * np.uint64(0x9E3779B97F4A7C15))
     for k in range(64):
-        over = 2 * np.add.reduceat((h >> np.uint64(k)) & np.uint64(1), starts) > np.array(sizes)
+        over = 2 * np.add.reduceat((h >> np.uint64(k)) & np.uint64(1), starts) > sizes
         fps |= over.astype(np.uint64) << np.uint64(k)
     return least, fps
 
@@ -130,23 +135,6 @@ def _stars(radius: int):
     return run
 
 
-class Shingled:
-    """Shingle sets of texts, the last ones kept."""
-
-    def __init__(self, size: int, most: int = 300_000) -> None:
-        self.size, self.most, self.sets, self.held = size, most, {}, 0
-
-    def __call__(self, i: int, text: bytes) -> set[bytes]:
-        own = self.sets.get(i)
-        if own is None:
-            own = shingles(text, self.size)
-            if self.held + len(own) > self.most:
-                self.sets, self.held = {}, 0
-            self.sets[i] = own
-            self.held += len(own)
-        return own
-
-
 def alike(x: set[bytes], y: set[bytes], similar: float) -> bool:
     if min(len(x), len(y)) < similar * max(len(x), len(y)):
         return False
@@ -154,39 +142,75 @@ def alike(x: set[bytes], y: set[bytes], similar: float) -> bool:
     return both >= similar * (len(x) + len(y) - both)
 
 
-def _across(radius: int, size: int, similar: float):
-    """Links (a, b) between components, from rows sorted by shard, those that build the tree before those that ask it.
-
-    What an item finds in other components is held against it, the nearest first; a component that it has been linked to
-    is left alone, and so are all that were linked to either before.
-    """
+class Shard:
+    """The items of one tree: ids, components and texts by place, and where each shingle's hash occurs."""
+
+    def __init__(self, radius: int, size: int, similar: float) -> None:
+        self.tree, self.size, self.similar = BKTree(radius), size, similar
+        self.at, self.items, self.parent, self.index = [], [], {}, None
+
+    def put(self, fp: int, i: int, component: int, text: bytes) -> None:
+        place = self.tree.put(fp)
+        if place == len(self.at):
+            self.at.append([])
+        self.at[place].append(len(self.items))
+        self.items.append((i, component, text))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def _sharing(self, text: bytes) -> np.ndarray:
+        """Which items share enough of the text's shingles, by their hashes: counted for all items at once."""
+        if self.index is None:
+            hashes = [np.unique(shingle_hashes(t, self.size)) for _, _, t in self.items]
+            sizes = np.array([len(h) for h in hashes])
+            flat = np.concatenate(hashes)
+            order = np.argsort(flat, kind="stable")
+            self.index = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+        flat, owners, sizes = self.index
+        own = np.unique(shingle_hashes(text, self.size))
+        low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+        n = high - low
+        ends = np.cumsum(n)
+        both = np.bincount(owners[np.repeat(high - ends, n) + np.arange(ends[-1])], minlength=len(sizes))
+        return both >= self.similar * (len(own) + sizes - both) - 1e-6
+
+    def links(self, fp: int, i: int, component: int, text: bytes) -> list[int]:
+        """Ids of other components' items that are similar to the text, one for each component that it is not linked to yet."""
+        near = [k for x in self.tree.near(fp) for k in self.at[x] if self.root(self.items[k][1]) != self.root(component)]
+        if len(near) > FEW:
+            enough = self._sharing(text)
+            near = [k for k in near if enough[k]]
+        out, own = [], None
+        for k in near:
+            j, other, theirs = self.items[k]
+            if self.root(other) == self.root(component):
+                continue
+            own = own or shingles(text, self.size)
+            if alike(own, shingles(theirs, self.size), self.similar):
+                self.parent[self.root(other)] = self.root(component)
+                out.append(j)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, tree, held, parent, sets = None, BKTree(radius), [], {}, Shingled(size)
 
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
+def _across(radius: int, size: int, similar: float):
+    """Links (a, b) between components, from rows sorted by shard, those that build the tree before those that ask it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, shard = None, None
         for batch in steps(batches):
             out = []
             for bucket, block, asks, component, i, fp, text in zip(*[batch.column(c).to_pylist() for c in ("bucket", "block", "asks", "component", "id", "fp", "text")]):
                 if (bucket, block) != here:
-                    here, tree, held, parent = (bucket, block), BKTree(radius), [], {}
+                    here, shard = (bucket, block), Shard(radius, size, similar)
                 fp &= (1 << 64) - 1
-                if not asks:
-                    place = tree.put(fp)
-                    if place == len(held):
-                        held.append([])
-                    held[place].append((i, component, text))
-                    continue
-                own = sets(i, text)
-                for x in sorted(tree.near(fp), key=lambda x: (tree.items[x] ^ fp).bit_count()):  # noqa: B023
-                    for j, c, other in held[x]:
-                        if root(c) != root(component) and alike(own, sets(j, other), similar):
-                            parent[root(c)] = root(component)
-                            out.append((i, j))
+                if asks:
+                    out += [(i, j) for j in shard.links(fp, i, component, text)]
+                else:
+                    shard.put(fp, i, component, text)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
