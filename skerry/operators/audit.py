@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .windows import ranked
 
 
 def feature_summary(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """(keys, feature, n, missing, mean, std, p01, p99): missing share, sample deviation, exact quantiles."""
+    """(keys, feature, n, missing, mean, std, p01, p99): missing share, sample deviation, exact quantiles between neighbours.
+
+    Quantiles are read off ranks, nulls behind all values, so no task holds the values of a group; a feature that is
+    always null has no quantiles. NaN counts as a value.
+    """
     long = df.unpivot(list(keys), list(features), "feature", "value")
-    return long.groupBy(*keys, "feature").agg(
-        F.count("*").alias("n"), F.avg(F.col("value").isNull().cast("double")).alias("missing"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.percentile("value", 0.01).alias("p01"), F.percentile("value", 0.99).alias("p99"),
-    )
+    own = [*keys, "feature"]
+    stats = long.groupBy(*own).agg(F.count("*").alias("n"), F.count("value").alias("__v"), F.avg(F.col("value").isNull().cast("double")).alias("missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    r = ranked(long.where("value IS NOT NULL"), own, ["value"])
+
+    def quantile(q: float) -> Column:
+        place = q * (F.col("n") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        a, b = F.max(F.when(F.col("rank") == low, F.col("value"))), F.max(F.when(F.col("rank") == high, F.col("value")))
+        share = F.first(place - low)
+        return a + (b - a) * share
+
+    quantiles = r.groupBy(*[F.col(k).alias(f"__k_{k}") for k in own]).agg(quantile(0.01).alias("p01"), quantile(0.99).alias("p99"))
+    joined = stats.join(quantiles, [stats[k].eqNullSafe(quantiles[f"__k_{k}"]) for k in own], "left")
+    return joined.select(*own, "n", "missing", "mean", "std", "p01", "p99")
 
 
 def retrain_guard(current: DataFrame, previous: DataFrame, keys: Sequence[str], rows: float = 0.3, missing: float = 0.2, label: float = 0.1) -> DataFrame:

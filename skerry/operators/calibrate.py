@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .windows import ranked
+
 
 def conformal_thresholds(df: DataFrame, keys: Sequence[str], p: str, wet: str, alpha: float, ties: Sequence[str] = ()) -> DataFrame:
     """(keys, n, threshold): the split-conformal order statistic of 1 - p (wet) or p (dry), the ceil(q n)-th with q = min(1, ceil((1 - alpha)(n + 1)) / n)."""
     score = F.when(F.col(wet) == 1, 1 - F.col(p)).otherwise(F.col(p))
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("__s", score).withColumns({"__r": F.row_number().over(w.orderBy("__s", *ties)), "n": F.count("*").over(w)})
-    rank = F.least(F.col("n"), F.ceil((1 - alpha) * (F.col("n") + 1)))
-    return ranked.where(F.col("__r") == rank).select(*keys, "n", F.col("__s").alias("threshold"))
+    r = ranked(df.select(*keys, score.alias("threshold"), *[F.col(t).alias(f"__tie_{i}") for i, t in enumerate(ties)]), keys, ["threshold", *[f"__tie_{i}" for i in range(len(ties))]])
+    at = F.least(F.col("n"), F.ceil((1 - alpha) * (F.col("n") + 1)))
+    return r.where(F.col("rank") + 1 == at).select(*keys, "n", "threshold")
 
 
 def conformal_tag(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], p: str) -> DataFrame:

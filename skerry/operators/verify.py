@@ -24,8 +24,8 @@ def brier_scores(df: DataFrame, keys: Sequence[str], p: str, wet: str, reference
 
 
 def reliability(df: DataFrame, keys: Sequence[str], p: str, wet: str, bins: int) -> DataFrame:
-    """(keys, bin, n, mean_p, observed): every bin of every key, empty ones with n 0 and nulls."""
-    binned = df.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col(p) * bins)).cast("int"))
+    """(keys, bin, n, mean_p, observed): every bin of every key, empty ones with n 0 and nulls; rows without p are left out."""
+    binned = df.where(F.col(p).isNotNull()).withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col(p) * bins)).cast("int"))
     found = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(wet).alias("observed"))
     spine = df.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return spine.join(found, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -99,7 +99,7 @@ def mixture_crps(pi: Column, quantiles: Column, y: Column) -> Column:
 
 def histogram(value: Column, bins: int) -> Column:
     """Counts of values from 0 to 1 in equal bins, as an array; 1 is in the last. Combined before any shuffle."""
-    at = F.least(F.lit(bins - 1), F.floor(value * bins))
+    at = F.when(value.isNotNull(), F.least(F.lit(bins - 1), F.floor(value * bins)))  # least passes over a null
     return F.array(*[F.count_if(at == i) for i in range(bins)])
 
 

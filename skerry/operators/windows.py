@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.shared import written
+
 
 def islands(df: DataFrame, keys: Sequence[str], time: str, flag: str, step_seconds: int) -> DataFrame:
     """(keys, start, end, n) of each run of rows with a true flag and no gap in time."""
@@ -22,11 +24,28 @@ def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Col
     return marked.withColumn("streak", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__state")
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """df with rank (from 0, in order within the keys) and n (rows of the keys), nulls first as in any ascending sort.
+
+    One sort of all rows by keys and order, cut into as many partitions as it likes: a row's rank is its place in its
+    partition plus what its key has in the partitions before. So a key with most of the rows is not one task. The sorted
+    rows are written once; the offsets are a row for each key and partition. Equal rows get ranks in any order.
+    """
+    at = "__at"
+    placed = written(df.sort(*keys, *order).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(at, 33)
+    own = placed.groupBy(*keys, part.alias("__part")).agg(F.count("*").alias("__c"), F.min(at).alias("__first"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__c").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__part", "__first", before.alias("__before"), F.sum("__c").over(w).alias("n"))
+    same = [placed[k].eqNullSafe(own[f"__k_{k}"]) for k in keys]
+    joined = placed.join(own, [part == own["__part"], *same])
+    return joined.select(*df.columns, (F.col("__before") + F.col(at) - F.col("__first")).alias("rank"), "n")
+
+
 def quintile(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """df with `quintile`: min(4, floor(rank * 5 / n)), rank from 0."""
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(*order)) - 1
-    return df.withColumn("quintile", F.least(F.lit(4), F.floor(rank * 5 / F.count("*").over(w))).cast("int"))
+    return ranked(df, keys, order).withColumn("quintile", F.least(F.lit(4), F.floor(F.col("rank") * 5 / F.col("n"))).cast("int")).drop("rank", "n")
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], time: str, value: Column, days: int) -> DataFrame:
@@ -69,14 +88,14 @@ def hourly_direction(df: DataFrame, keys: Sequence[str], time: str, degrees: str
 
 def split_checked(df: DataFrame, keys: Sequence[str], time: str, train: float = 0.7, validation: float = 0.15, least: int = 10) -> DataFrame:
     """df with part (train, validation, test, in order of time within a key) and ok: the key has `least` rows, no part is empty, and no two parts share a time."""
-    w = Window.partitionBy(*keys)
-    first = F.floor(F.col("__n") * F.lit(train))
-    second = first + F.floor(F.col("__n") * F.lit(validation))
-    part = F.when(F.col("__k") <= first, "train").when(F.col("__k") <= second, "validation").otherwise("test")
-    out = df.withColumns({"__k": F.row_number().over(w.orderBy(time)), "__n": F.count("*").over(w)}).withColumn("part", part)
-    edge = lambda f, name: f(F.when(F.col("part") == name, F.col(time))).over(w)
-    ok = (F.col("__n") >= least) & (edge(F.max, "train") < edge(F.min, "validation")) & (edge(F.max, "validation") < edge(F.min, "test"))
-    return out.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("__k", "__n")
+    first = F.floor(F.col("n") * F.lit(train))
+    second = first + F.floor(F.col("n") * F.lit(validation))
+    part = F.when(F.col("rank") < first, "train").when(F.col("rank") < second, "validation").otherwise("test")
+    out = ranked(df, keys, [time]).withColumn("part", part)
+    edge = lambda f, name: f(F.when(F.col("part") == name, F.col(time)))
+    ok = (F.count("*") >= least) & (edge(F.max, "train") < edge(F.min, "validation")) & (edge(F.max, "validation") < edge(F.min, "test"))
+    edges = out.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.coalesce(ok, F.lit(False)).alias("ok"))
+    return out.join(edges, [out[k].eqNullSafe(edges[f"__k_{k}"]) for k in keys]).select(*df.columns, "part", "ok")
 
 
 def trailing(df: DataFrame, keys: Sequence[str], hour: str, value: str, hours: int, wet: float) -> DataFrame:

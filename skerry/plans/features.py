@@ -69,9 +69,9 @@ def ts15(spark: SparkSession, d: str) -> DataFrame:
 
 def split_by_time(df: DataFrame, keys: list[str], time: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """df with part: train, validation or test, in order of time within each key."""
-    w = Window.partitionBy(*keys)
-    k, n = F.row_number().over(w.orderBy(time)), F.count("*").over(w)
-    return df.withColumns({"__k": k, "__c": n}).withColumn("part", F.when(F.col("__k") <= F.floor(F.col("__c") * F.lit(train)), "train").when(F.col("__k") <= F.floor(F.col("__c") * F.lit(train + validation)), "validation").otherwise("test")).drop("__k", "__c")
+    r = wn.ranked(df, keys, [time])
+    part = F.when(F.col("rank") < F.floor(F.col("n") * F.lit(train)), "train").when(F.col("rank") < F.floor(F.col("n") * F.lit(train + validation)), "validation").otherwise("test")
+    return r.withColumn("part", part).drop("rank", "n")
 
 
 @query("ts16_cutoff_split", "SELECT CASE WHEN valid >= TIMESTAMP '2024-01-23' THEN 'test' WHEN valid >= TIMESTAMP '2024-01-08' THEN 'recent' ELSE 'old' END AS part, count(*) AS n FROM latest GROUP BY 1")

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import feeds as fd, tree
+from ..sources.shared import shared_folder
 from ..streaming import arrivals
 from .basics import rounded
 from .registry import query
 from .views import obs, read, truth
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all machines share; a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-skerry-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 ISO = "yyyy-MM-dd'T'HH:mm"
 
 
@@ -68,20 +60,16 @@ def src9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src10_flagged_csv", "SELECT station, ts, v FROM obs WHERE event_id % 4 <> 0")
 def src10(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark, "csv")
+    path = shared_folder(spark, "csv")
     o = obs(spark, d).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("v").alias("v"), F.when(F.col("event_id") % 4 == 0, 4).otherwise(1).alias("flag"), "station")
     o.write.partitionBy("station").csv(path, header=True)
-    parts = [fd.flagged_csv(spark, f"{path}/station={s}", "v").withColumn("station", F.lit(s)) for s in range(5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("station", "ts", "v")
+    return fd.flagged_csv(spark, path, "v", "station int").select("station", "ts", "v")
 
 
 @query("src11_sectioned_csv", "SELECT hour AS ob_time, round(arg_min(v, station) * 0.514444::DOUBLE, 6) AS wind_ms FROM hourly WHERE hour(hour) % 2 = 0 GROUP BY 1")
 def src11(spark: SparkSession, d: str) -> DataFrame:
     """A file for each station and day; rows of every other hour are of a kind that is left out, and the first file wins."""
-    path = folder(spark, "sections")
+    path = shared_folder(spark, "sections")
     h = obs(spark, d).groupBy("station", "hour").agg(F.avg("v").alias("v"))
     kind = F.when(F.hour("hour") % 2 == 0, "SYNOP").otherwise("METAR")
     line = F.concat_ws(",", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"), kind, F.col("v").cast("string"), F.lit("NA"))
@@ -109,7 +97,7 @@ def src13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk1_partitioned_write", "SELECT station, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(v), 6) AS total FROM obs GROUP BY ALL")
 def snk1(spark: SparkSession, d: str) -> DataFrame:
-    path, o = folder(spark, "days"), obs(spark, d)
+    path, o = shared_folder(spark, "days"), obs(spark, d)
     tree.write_days(o, path, ["station"], "ts")
     tree.write_days(o.where("station = 1"), path, ["station"], "ts")  # replaces its own partitions and no other
     return rounded(tree.read_tree(spark, path).groupBy("station", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum("v").alias("total")), "total")
@@ -117,7 +105,7 @@ def snk1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk2_merge_write", "SELECT event_id, station, ts, v + 1 AS v FROM obs WHERE event_id % 2 = 0 UNION ALL SELECT event_id, station, ts, v FROM obs WHERE event_id % 2 = 1")
 def snk2(spark: SparkSession, d: str) -> DataFrame:
-    path, o = folder(spark, "merged"), obs(spark, d).drop("hour")
+    path, o = shared_folder(spark, "merged"), obs(spark, d).drop("hour")
     tree.merge_days(o.withColumn("batch", F.lit(1)), path, ["station"], "ts", ["event_id"], "batch")
     tree.merge_days(o.where("event_id % 2 = 0").withColumns({"v": F.col("v") + 1, "batch": F.lit(2)}), path, ["station"], "ts", ["event_id"], "batch")
     return tree.read_tree(spark, path).select("event_id", "station", "ts", "v")
@@ -140,7 +128,7 @@ def snk4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk5_staged_copy", "SELECT station, count(*) AS n, min(ts) AS first_ts FROM obs WHERE station IN (0, 1) GROUP BY 1")
 def snk5(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark, "staged")
+    path = shared_folder(spark, "staged")
     obs(spark, d).where("station IN (0, 1)").write.parquet(path)
     return spark.read.parquet(path).groupBy("station").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
@@ -149,7 +137,7 @@ def snk5(spark: SparkSession, d: str) -> DataFrame:
 def snk6(spark: SparkSession, d: str) -> DataFrame:
     from .views import hourly
 
-    path = folder(spark, "history")
+    path = shared_folder(spark, "history")
     tree.write_history(hourly(spark, d), path, ["station"])
     back = spark.read.schema("station int, rows array<struct<hour: string, v: double, n: long>>").json(path)
     return rounded(back.select("station", F.size("rows").cast("long").alias("n"), F.array_max(F.transform("rows", lambda r: r["v"])).alias("top")), "top")
@@ -157,7 +145,7 @@ def snk6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("st1_merge_stream", "SELECT event_id, station, ts, v FROM obs")
 def st1(spark: SparkSession, d: str) -> DataFrame:
-    source, path, checkpoint = folder(spark, "arriving"), folder(spark, "table"), folder(spark, "progress")
+    source, path, checkpoint = shared_folder(spark, "arriving"), shared_folder(spark, "table"), shared_folder(spark, "progress")
     o = obs(spark, d).drop("hour")
     o.unionByName(o.where("event_id % 10 = 0")).write.parquet(source)
     stream = spark.readStream.schema(o.schema).parquet(source)
@@ -168,7 +156,7 @@ def st1(spark: SparkSession, d: str) -> DataFrame:
 @query("st2_complete_hours_stream", """, o AS (SELECT station, time_bucket(INTERVAL 1 HOUR, ts) AS hour, sum(v) AS total, count(v) AS n FROM obs GROUP BY ALL), m AS (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) - INTERVAL 2 HOURS AS mark FROM obs)
 SELECT station, hour, round(total, 6) AS total FROM o, m WHERE n = 4 AND hour + INTERVAL 1 HOUR <= mark""")
 def st2(spark: SparkSession, d: str) -> DataFrame:
-    source, path, checkpoint = folder(spark, "readings"), folder(spark, "hours"), folder(spark, "progress")
+    source, path, checkpoint = shared_folder(spark, "readings"), shared_folder(spark, "hours"), shared_folder(spark, "progress")
     o = obs(spark, d).select("station", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("+00:00"))).alias("ts"), "v")
     o.write.parquet(source)
     stream = arrivals.complete_hours(spark.readStream.schema(o.schema).parquet(source), ["station"], "ts", "v", 4)

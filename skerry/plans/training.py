@@ -10,12 +10,14 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import verify as vf
+from ..sources.shared import written
 from .basics import rounded
 from .features import split_by_time, spells
 from .registry import query
 from .scoring import WIDE_SQL, three, training_table
 from .views import MODELS, WET, hourly
 
+LEADS = (24, 48, 72)
 CALENDAR = ("hour_sin", "hour_cos", "doy_sin", "doy_cos")
 
 
@@ -27,14 +29,21 @@ def vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=[*filled, *gaps], outputCol="x").transform(out).drop(*filled, *gaps)
 
 
+FEATURES = (*MODELS, "f_mean", "f_std", "f_range", *CALENDAR)
+
+
 def split_table(spark: SparkSession, d: str) -> DataFrame:
+    """The training table with vectors and parts, written once for the fits that read it; a lead that LEADS does not name is an error."""
     t = training_table(spark, d).withColumn("wet", (F.col("y") >= WET).cast("int"))
     t = split_by_time(t, ["station", "lead"], "valid").withColumn("held", F.col("part") == "validation")
-    return vectors(t, [*MODELS, "f_mean", "f_std", "f_range", *CALENDAR])
+    t = written(t, "training")
+    if unknown := [r.lead for r in t.where(~F.col("lead").isin(*LEADS)).select("lead").distinct().limit(5).collect()]:
+        raise ValueError(f"leads without a model: {unknown}")
+    return vectors(t, FEATURES)
 
 
-def regressor(trees: int = 12) -> GBTRegressor:
-    return GBTRegressor(featuresCol="x", labelCol="y", lossType="absolute", validationIndicatorCol="held", validationTol=1e-4, maxIter=trees, maxDepth=3, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=7)
+def regressor(trees: int = 12, seed: int = 7) -> GBTRegressor:
+    return GBTRegressor(featuresCol="x", labelCol="y", lossType="absolute", validationIndicatorCol="held", validationTol=1e-4, maxIter=trees, maxDepth=3, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
 
 
 def fitted_by_lead(table: DataFrame, leads: Sequence[int], build, label: str) -> list[tuple[int, object]]:
@@ -44,9 +53,9 @@ def fitted_by_lead(table: DataFrame, leads: Sequence[int], build, label: str) ->
 
 @query("ml1_boosted_regression")
 def ml1(spark: SparkSession, d: str) -> DataFrame:
-    t = split_table(spark, d).persist()
+    t = split_table(spark, d)
     out = None
-    for lead, model in fitted_by_lead(t, (24, 48, 72), regressor, "y"):
+    for lead, model in fitted_by_lead(t, LEADS, regressor, "y"):
         p = model.transform(t.where((F.col("lead") == lead) & (F.col("part") == "test"))).select("lead", "station", "valid", "y", F.round("prediction", 6).alias("f"))
         out = p if out is None else out.unionByName(p)
     return out
@@ -77,9 +86,9 @@ def ml3(spark: SparkSession, d: str) -> DataFrame:
 @query("ml4_train_report")
 def ml4(spark: SparkSession, d: str) -> DataFrame:
     """By lead: rows of each part, range of the label, test error of the model and of the best single source on validation."""
-    t = split_table(spark, d).persist()
+    t = split_table(spark, d)
     scored = None
-    for lead, model in fitted_by_lead(t, (24, 48, 72), lambda: regressor(6), "y"):
+    for lead, model in fitted_by_lead(t, LEADS, lambda: regressor(6), "y"):
         p = model.transform(t.where((F.col("lead") == lead) & (F.col("part") == "test"))).select("lead", "y", "prediction")
         scored = p if scored is None else scored.unionByName(p)
     test = scored.groupBy("lead").agg(F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("test_mae"))
@@ -91,11 +100,11 @@ def ml4(spark: SparkSession, d: str) -> DataFrame:
 @query("ml5_score_live")
 def ml5(spark: SparkSession, d: str) -> DataFrame:
     """The newest day scored with the model of each row's lead; rows that lack a required source are left out."""
-    t = split_table(spark, d).persist()
+    t = split_table(spark, d)
     last = t.agg(F.max("valid").alias("newest"))
     live = t.join(F.broadcast(last)).where((F.col("valid") > F.col("newest") - F.expr("INTERVAL 24 HOURS")) & F.col("click").isNotNull()).drop("newest")
     out = None
-    for lead, model in fitted_by_lead(t, (24, 48, 72), lambda: regressor(6), "y"):
+    for lead, model in fitted_by_lead(t, LEADS, lambda: regressor(6), "y"):
         p = model.transform(live.where(F.col("lead") == lead)).select("station", "lead", "valid", F.round("prediction", 6).alias("f"))
         out = p if out is None else out.unionByName(p)
     return out
@@ -166,3 +175,55 @@ def ml10(spark: SparkSession, d: str) -> DataFrame:
     return rounded(t.groupBy("lead").agg(F.count("*").alias("n"), *[F.avg(F.abs(F.col(m) - F.col("y"))).alias(m) for m in ("click", "error", "view")]), "click", "error", "view")
 
 
+@query("ml1_importance")
+def ml1_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each feature in the splits of each lead's model, the mark of a missing value counted with it; the features' shares add up to one."""
+    rows = []
+    for lead, model in fitted_by_lead(split_table(spark, d), LEADS, regressor, "y"):
+        shares = model.featureImportances.toArray()  # two a feature
+        rows += [(lead, f, float(shares[i] + shares[i + len(FEATURES)])) for i, f in enumerate(FEATURES)]
+    return spark.createDataFrame(rows, "lead int, feature string, importance double")
+
+
+def by_seed(spark: SparkSession, d: str, seeds: Sequence[int], trees: int) -> DataFrame:
+    """(lead, seed, station, valid, y, f, best): test forecasts of a model a seed, beside the mean of the sources."""
+    t, out = split_table(spark, d), None
+    for seed in seeds:
+        for lead, model in fitted_by_lead(t, LEADS, lambda: regressor(trees, seed), "y"):  # noqa: B023
+            p = model.transform(t.where((F.col("lead") == lead) & (F.col("part") == "test"))).select("lead", F.lit(seed).alias("seed"), "station", "valid", "y", F.col("prediction").alias("f"), F.col("f_mean").alias("mean"))
+            out = p if out is None else out.unionByName(p)
+    return written(out, "seeds")
+
+
+@query("ml8_seed_stability")
+def ml8_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Error by seed and lead, its sample deviation over the seeds, and the change against the mean of the sources."""
+    p = by_seed(spark, d, (1, 2, 3), 4)
+    e = p.groupBy("lead", "seed").agg(F.avg(F.abs(F.col("f") - F.col("y"))).alias("mae"), F.avg(F.abs(F.col("mean") - F.col("y"))).alias("base"))
+    g = e.groupBy("lead").agg(F.avg("mae").alias("mae"), F.stddev_samp("mae").alias("spread"), F.avg(F.col("mae") - F.col("base")).alias("delta"), F.stddev_samp(F.col("mae") - F.col("base")).alias("delta_spread"), F.count("*").alias("seeds"))
+    return rounded(g, "mae", "spread", "delta", "delta_spread")
+
+
+@query("ml8_bagging_grid")
+def ml8_bags(spark: SparkSession, d: str) -> DataFrame:
+    """Error of the mean of the first 1, 2 and 3 seeds' forecasts, by lead."""
+    p = by_seed(spark, d, (1, 2, 3), 4)
+    bags = p.withColumn("bag", F.explode(F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda k: k >= F.col("seed"))))
+    f = bags.groupBy("lead", "bag", "station", "valid").agg(F.avg("f").alias("f"), F.first("y").alias("y"))
+    return rounded(f.groupBy("lead", "bag").agg(F.avg(F.abs(F.col("f") - F.col("y"))).alias("mae"), F.count("*").alias("n")), "mae")
+
+
+@query("ml7_seed_delta")
+def ml7_delta(spark: SparkSession, d: str) -> DataFrame:
+    """What a candidate feature takes off the error of a linear model of the residuals: mean and sample deviation over resampled training parts."""
+    t = three(spark, d, "click", "error", "view").withColumn("res", F.col("y") - (F.col("click") + F.col("error")) / 2)
+    rows = written(split_by_time(t, ["station", "lead"], "valid").select("station", "lead", "valid", "res", "view", "part"), "residuals")
+    out = None
+    for seed in (1, 2, 3):
+        own = vectors(rows, ["view"])
+        kept = own.where("part = 'train'").where(F.pmod(F.xxhash64("station", "lead", "valid", F.lit(seed)), F.lit(10)) < 8)
+        model = LinearRegression(featuresCol="x", labelCol="res", solver="normal").fit(kept)
+        gain = F.avg(F.abs("res")) - F.avg(F.abs(F.col("res") - F.col("prediction")))
+        p = model.transform(own.where("part <> 'train'")).groupBy("lead").agg(gain.alias("delta")).withColumn("seed", F.lit(seed))
+        out = p if out is None else out.unionByName(p)
+    return rounded(out.groupBy("lead").agg(F.avg("delta").alias("delta"), F.stddev_samp("delta").alias("spread"), F.count("*").alias("seeds")), "delta", "spread")

@@ -53,9 +53,9 @@ def buoy_results(df: DataFrame, keys: Sequence[str], time: str, name: str, names
     return own.groupBy(*keys, time).agg(*[F.max_by(F.when(F.col(name) == n, F.col(value)), F.when(F.col(name) == n, F.col(order))).alias(n) for n in names])
 
 
-def flagged_csv(spark: SparkSession, path: str, variable: str) -> DataFrame:
-    """(ts, variable) of a CSV time, value, flag with header: flag 1 alone, NaN left out."""
-    rows = spark.read.csv(path, header=True, schema=f"ts timestamp_ntz, `{variable}` double, flag int")
+def flagged_csv(spark: SparkSession, path: str, variable: str, *partitions: str) -> DataFrame:
+    """(ts, variable, partitions) of CSV files time, value, flag with header: flag 1 alone, NaN left out. partitions: columns in the directories' names, with types."""
+    rows = spark.read.csv(path, header=True, schema=", ".join([f"ts timestamp_ntz, `{variable}` double, flag int", *partitions]))
     return rows.where((F.col("flag") == 1) & ~F.isnan(variable) & F.col(variable).isNotNull()).drop("flag")
 
 

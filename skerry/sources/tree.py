@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.dedup import latest
+from .shared import written
 
 
 def read_tree(spark: SparkSession, *roots: str) -> DataFrame:
@@ -47,18 +48,17 @@ def merge_days(df: DataFrame, path: str, keys: Sequence[str], time: str, unique:
     """Joins df to what its partitions hold: of rows with equal `unique` columns the one with the largest `order` stays."""
     spark = df.sparkSession
     names = [*[f"p_{k}" for k in keys], "p_date"]
-    incoming = df.withColumns({**{f"p_{k}": F.col(k) for k in keys}, "p_date": F.to_date(time)})
+    # written first: its rows and the partitions that it touches are then read, not computed twice
+    incoming = written(df.withColumns({**{f"p_{k}": F.col(k) for k in keys}, "p_date": F.to_date(time)}), "incoming")
     try:
-        before = spark.read.parquet(path).join(F.broadcast(incoming.select(*names).distinct()), names, "left_semi")
+        before = spark.read.parquet(path).join(incoming.select(*names).distinct(), names, "left_semi")  # broadcast only where Spark finds it small
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         before = None
     rows = incoming if before is None else before.unionByName(incoming, allowMissingColumns=True)
-    merged = latest(rows, unique, [order])
-    staged = f"{path}__staged"  # what is read must not be what is overwritten
-    merged.write.mode("overwrite").parquet(staged)
-    spark.read.schema(merged.schema).parquet(staged).repartition(*names).write.partitionBy(*names).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    merged = written(latest(rows, unique, [order]), "merged")  # what is read must not be what is overwritten
+    merged.repartition(*names).write.partitionBy(*names).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def with_any(df: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
