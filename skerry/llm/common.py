@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,7 +28,40 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = local_root()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+_SCRATCH: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends: results that are read lazily need it till then."""
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that shared_folder gives inside the block are deleted at its end: what is read later must be written to one that was taken before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
 
 
 @lru_cache(maxsize=1)
@@ -39,6 +73,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LOWER, WHITE, numbered, shared_folder, slots, steps, table, unused, written
+from .common import LOWER, WHITE, numbered, shared_folder, slots, steps, table, until_exit, unused, written
 
 MIN_CODE_POINTS = 40
 MIN_DOCUMENTS = 5
@@ -57,6 +57,7 @@ class Runs:
         self.paths[name] = shared_folder(self.spark, "run")
         placed = df.repartition(self.buckets, "h")
         placed.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.paths[name]).format("parquet").saveAsTable(name)
+        until_exit(self.spark, self.paths[name])
         return name
 
     def _merge(self, names: list[str]) -> DataFrame:
@@ -89,7 +90,7 @@ class Runs:
         return self._merge(self.names())
 
     def drop(self, names: list[str]) -> None:
-        """From the catalog; the files lie in the shared folder."""
+        """From the catalog; the files stay in the shared folder until the driver ends, or the block of `scratch` around it."""
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -132,6 +133,7 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_doc
         number = number + F.when(F.col("doc_id") > bound, 1).otherwise(0)
     path = shared_folder(spark, "keys")
     keys.withColumn("batch", number).write.partitionBy("batch").parquet(path)
+    until_exit(spark, path)
     keys = spark.read.schema("doc_id long, row long, h binary, batch int").parquet(path)
 
     runs = Runs(spark, fanout)

@@ -206,9 +206,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     over capacity - t as whole bins and leaves out those under t. A dual feasible function maps any full bin to a volume of at
     most one bin, so the mapped volume bounds the bins.
     """
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """lower_bound, from the number of items of each length from 0 to the capacity."""
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((counts * x).sum()) // capacity)
     for k in range(1, 21):
@@ -273,7 +275,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, rounds
     Pieces as long as the capacity are sequences by themselves. The others are dealt over partitions of about `items`
     pieces, packed and certified: a partition with as many bins as its lower bound is settled, and so is every full bin.
     What is left in partitions with a gap is dealt anew, over fewer partitions, and packed again, until nothing is left,
-    one partition has taken all that is left, or the rounds are over.
+    one partition has taken all that is left, or the rounds are over: `certificate` tells what gap is left then.
     """
     spark = pieces.sparkSession
     pieces = written(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
@@ -298,6 +300,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, rounds
     return out.drop("uid")
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences used, sequences that any packing needs at least); equal, where no better packing exists. The driver gets a row for each length."""
+    used = packed.select("sequence_id").distinct().count()
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():
+        counts[length] = n
+    return used, bound_of_counts(counts, capacity)
+
+
 def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 

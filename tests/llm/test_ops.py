@@ -262,6 +262,7 @@ def test_packing(docs, rows, none):
         assert all(b[i][0] + b[i][1] == b[i + 1][0] for i in range(len(b) - 1)) and b[0][0] == 0 and sum(b[-1]) <= 256
     lengths = np.array([r.length for r in got])
     assert len(bins) <= packing.lower_bound(lengths, 256) + 1
+    assert packing.certificate(packing.packed_documents(docs, capacity=256), 256) == (len(bins), packing.lower_bound(lengths, 256))
     assert packing.packed_documents(none).count() == 0
 
 
