@@ -34,15 +34,22 @@ def with_climatology(df: DataFrame, clim: DataFrame, keys: Sequence[str], fallba
     return df.join(clim, list(keys), "left").join(F.broadcast(fallback)).withColumn("clim", F.coalesce("clim", "clim_all")).drop("clim_all")
 
 
-def isotonic_knots(df: DataFrame, p: str, y: str) -> DataFrame:
+#: Steps of probability that an isotonic fit sees: its knots are no more than these, at any number of rows.
+CELLS = 10_000
+
+
+def isotonic_knots(df: DataFrame, p: str, y: str, cells: int = CELLS) -> DataFrame:
     """(x, value) knots of an isotonic fit: the mid-point of each block of equal value; one block gives a flat line over 0..1.
 
-    The fit is pyspark.ml's; what leaves it are its boundaries, as many as there are blocks.
+    Rows are averaged by steps of p first, and weighted by their number, so the fit, and what leaves it for the driver, is
+    bounded by the steps. The fit is pyspark.ml's. Rows with a null in p or y are left out.
     """
     from pyspark.ml.regression import IsotonicRegression
 
     spark = df.sparkSession
-    model = IsotonicRegression(featuresCol="__x", labelCol="__y").fit(df.select(F.col(p).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")))
+    steps = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.floor(F.col(p) * cells).alias("__c"))
+    steps = steps.agg(F.avg(F.col(p).cast("double")).alias("__x"), F.avg(F.col(y).cast("double")).alias("__y"), F.count("*").cast("double").alias("__w"))
+    model = IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w").fit(steps)
     rows = list(zip((float(x) for x in model.boundaries), (float(v) for v in model.predictions)))
     table = spark.createDataFrame(rows, "x double, value double")
     knots = table.groupBy("value").agg(((F.min("x") + F.max("x")) / 2).alias("x")).select("x", "value")
@@ -51,13 +58,29 @@ def isotonic_knots(df: DataFrame, p: str, y: str) -> DataFrame:
     return knots
 
 
-def apply_knots(df: DataFrame, knots: DataFrame, p: str) -> DataFrame:
-    """df with `calibrated`: straight lines between knots, flat outside."""
-    w = Window.orderBy("x")  # over the knots alone
-    bands = knots.withColumns({"x1": F.lead("x").over(w), "v1": F.lead("value").over(w), "__first": F.row_number().over(w) == 1})
-    low = F.when(F.col("__first"), F.lit(float("-inf"))).otherwise(F.col("x"))
-    bands = bands.withColumns({"__low": low, "__high": F.coalesce("x1", F.lit(float("inf")))})
-    joined = df.join(F.broadcast(bands), (F.col(p) >= F.col("__low")) & (F.col(p) < F.col("__high")))
-    share = F.greatest(F.lit(0.0), (F.col(p) - F.col("x")) / (F.col("x1") - F.col("x")))
-    value = F.when(F.col("x1").isNull(), F.col("value")).otherwise(F.col("value") + (F.col("v1") - F.col("value")) * share)
-    return joined.withColumn("calibrated", value).select(*df.columns, "calibrated")
+def apply_knots(df: DataFrame, knots: DataFrame, p: str, cells: int = CELLS) -> DataFrame:
+    """df with `calibrated`: straight lines between knots, flat outside; null where p is null.
+
+    knots: a bounded table, as isotonic_knots gives. It becomes a table of `cells` rows, each with the lines that cross its
+    step of p, so a row looks its line up by its step.
+    """
+    points = sorted((r.x, r.value) for r in knots.collect())
+    lines = [(points[i], points[i + 1]) for i in range(len(points) - 1)]
+    flat = [(float("-inf"), points[0][0], points[0][1], 0.0, points[0][0]), (points[-1][0], float("inf"), points[-1][1], 0.0, points[-1][0])]
+    bands = sorted([*flat, *[(a, b, va, (vb - va) / (b - a), a) for (a, va), (b, vb) in lines if b > a]])
+    rows, first = [], 0
+    for c in range(cells + 1):
+        low = float("-inf") if c == 0 else c / cells
+        high = float("inf") if c == cells else (c + 1) / cells
+        while first < len(bands) - 1 and bands[first][1] <= low:
+            first += 1
+        last = first
+        while last < len(bands) and bands[last][0] < high:
+            last += 1
+        rows.append((c, bands[first : max(last, first + 1)]))
+    table = df.sparkSession.createDataFrame(rows, "__c long, __bands array<struct<low: double, high: double, value: double, slope: double, x: double>>")
+    at = F.least(F.lit(cells), F.greatest(F.lit(0), F.floor(F.col(p) * cells)))
+    joined = df.withColumn("__c", F.when(F.col(p).isNotNull(), at)).join(F.broadcast(table), "__c", "left")
+    band = F.get(F.filter("__bands", lambda b: (F.col(p) >= b["low"]) & ((F.col(p) < b["high"]) | (b["high"] == float("inf")))), F.lit(0))
+    out = joined.withColumn("__b", band)
+    return out.withColumn("calibrated", F.col("__b.value") + F.when(F.col("__b.slope") != 0, F.col("__b.slope") * (F.col(p) - F.col("__b.x"))).otherwise(0.0)).select(*df.columns, "calibrated")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import weather as we
-from skerry.operators import audit as au, joins as jn, pooling as po, spells as sp, verify as vf, windows as wn
+from skerry.operators import audit as au, calibrate as ca, joins as jn, pooling as po, spells as sp, verify as vf, windows as wn
 
 
 def at(hour: float, day: int = 1) -> dt.datetime:
@@ -177,3 +177,23 @@ def test_coverage(spark):
     expected = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     actual = spark.createDataFrame([(1, at(5)), (2, at(1)), (2, None)], "k int, t timestamp_ntz")
     assert {r.k: r.state for r in au.coverage(expected, actual, ["k"], "t", F.lit(at(4))).collect()} == {1: "ok", 2: "stale", 3: "missing"}
+
+
+def test_knots_are_lines(spark):
+    knots = spark.createDataFrame([(0.2, 0.1), (0.4, 0.5), (0.40005, 0.6), (0.9, 0.6)], "x double, value double")
+    ps = [0.0, 0.2, 0.3, 0.4, 0.400025, 0.40005, 0.5, 0.9, 1.0, None]
+    got = {r.p: r.calibrated for r in ca.apply_knots(spark.createDataFrame([(p,) for p in ps], "p double"), knots, "p").collect()}
+    want = [0.1, 0.1, 0.3, 0.5, 0.55, 0.6, 0.6, 0.6, 0.6, None]
+    assert [got[p] for p in ps] == [w if w is None else pytest.approx(w) for w in want]
+    flat = ca.apply_knots(spark.createDataFrame([(0.0,), (0.7,), (1.0,)], "p double"), spark.createDataFrame([(0.0, 0.3), (1.0, 0.3)], "x double, value double"), "p")
+    assert {r.calibrated for r in flat.collect()} == {0.3}
+
+
+def test_isotonic_fit_rises(spark):
+    rows = [(i / 100, int(i > 30) if i % 7 else 1 - int(i > 30)) for i in range(101)] + [(None, 1), (0.5, None)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    points = sorted((r.x, r.value) for r in ca.isotonic_knots(df, "p", "y").collect())
+    assert len(points) > 1 and [v for _, v in points] == sorted(v for _, v in points) and all(0 <= v <= 1 for _, v in points)
+    out = ca.apply_knots(df, ca.isotonic_knots(df, "p", "y"), "p")
+    brier = out.agg(vf.brier("p", "y"), vf.brier("calibrated", "y")).first()
+    assert brier[1] < brier[0]
