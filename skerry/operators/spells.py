@@ -76,3 +76,30 @@ def simulated_windows(days: DataFrame, keys: Sequence[str], hours: int, lengths:
     run = F.aggregate(wet, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, w: F.struct(F.when(w, 0).otherwise(a["now"] + 1).alias("now"), F.greatest(a["best"], F.when(w, 0).otherwise(a["now"] + 1)).alias("best")), lambda a: a["best"])
     longest = drawn.withColumn("__run", run)
     return longest.withColumn("window", F.explode(F.array(*map(F.lit, lengths)))).groupBy(*keys, "window").agg(F.avg((F.col("__run") >= F.col("window")).cast("double")).alias("probability"))
+
+
+def exact_windows(days: DataFrame, keys: Sequence[str], hours: int, lengths: Sequence[int], start_of: int, rho: float, p: str = "p") -> DataFrame:
+    """(keys, p_<w>, longest_mean, start_<h>): chance of a dry run of each length, mean of the longest dry run, and chance that the first run of `start_of` hours begins at each hour.
+
+    days: one row a key with an array p of `hours` wet probabilities. Hours are a chain of two states in which neighbours
+    correlate by rho, as far as their probabilities allow. Nothing is drawn: each day meets all 2 ** hours outcomes, and
+    their probabilities are added up. Days with another number of hours, or a null among them, are left out.
+    """
+    sound = days.where((F.size(p) == hours) & F.forall(p, lambda x: x.isNotNull()))
+    q = [F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col(p)[h])) for h in range(hours)]
+    names = [f"__q{h}" for h in range(hours)]
+    rows = sound.select(*keys, *[c.alias(n) for c, n in zip(q, names)]).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(2**hours - 1))))
+    wet = [F.shiftright("__s", h).bitwiseAND(F.lit(1)) == 1 for h in range(hours)]
+    clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    chance = F.when(wet[0], F.col(names[0])).otherwise(1 - F.col(names[0]))
+    for h in range(1, hours):
+        a, b = F.col(names[h]), F.col(names[h - 1])
+        spread = rho * F.sqrt(a * (1 - a))
+        given = F.when(wet[h - 1], clamp(a + spread * F.sqrt((1 - b) / b))).otherwise(clamp(a - spread * F.sqrt(b / (1 - b))))
+        chance = chance * F.when(wet[h], given).otherwise(1 - given)
+    run = F.aggregate(F.array(*wet), F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, w: F.struct(F.when(w, 0).otherwise(a["now"] + 1).alias("now"), F.greatest(a["best"], F.when(w, 0).otherwise(a["now"] + 1)).alias("best")), lambda a: a["best"])
+    dry_from = [sum((w.cast("int") for w in wet[h + 1 : h + start_of]), wet[h].cast("int")) == 0 for h in range(hours - start_of + 1)]
+    first = F.coalesce(*[F.when(c, h) for h, c in enumerate(dry_from)])
+    out = rows.withColumns({"__p": chance, "__run": run, "__first": first})
+    add = lambda c, name: F.sum(F.when(c, F.col("__p")).otherwise(0.0)).alias(name)
+    return out.groupBy(*keys).agg(*[add(F.col("__run") >= w, f"p_{w}") for w in lengths], F.sum(F.col("__p") * F.col("__run")).alias("longest_mean"), *[add(F.col("__first") == h, f"start_{h}") for h in range(hours - start_of + 1)])

@@ -346,3 +346,25 @@ def pool2_full(spark: SparkSession, d: str) -> DataFrame:
     j = j.withColumns({"pool": F.col("weight") * F.col("pa") + (1 - F.col("weight")) * F.col("pb"), "half": (F.col("pa") + F.col("pb")) / 2})
     scores = [vf.brier(c, "wet").alias(n) for c, n in (("pool", "fitted"), ("half", "equal"), ("pa", "a"), ("pb", "b"))]
     return rounded(j.groupBy("station", "lead").agg(F.first("weight").alias("weight"), F.count("*").alias("n"), *scores), "weight", "fitted", "equal", "a", "b")
+
+
+def _chain_sql(hours: int, rho: float) -> str:
+    parts = ["CASE WHEN s & 1 = 1 THEN q[1] ELSE 1 - q[1] END"]
+    for h in range(1, hours):
+        a, b, r = f"q[{h + 1}]", f"q[{h}]", f"{rho}::DOUBLE * sqrt(q[{h + 1}] * (1 - q[{h + 1}]))"
+        given = f"CASE WHEN (s >> {h - 1}) & 1 = 1 THEN least(1, greatest(0, {a} + {r} * sqrt((1 - {b}) / {b}))) ELSE least(1, greatest(0, {a} - {r} * sqrt({b} / (1 - {b})))) END"
+        parts.append(f"CASE WHEN (s >> {h}) & 1 = 1 THEN {given} ELSE 1 - ({given}) END")
+    return " * ".join(f"({p})" for p in parts)
+
+
+def _dry_sql(start: int, length: int) -> str:
+    return f"(s & {((1 << length) - 1) << start} = 0)"
+
+
+@query("run8_exact_windows", ", h AS (SELECT station, CAST(hour AS DATE) AS day, list(least(0.99::DOUBLE, greatest(0.01::DOUBLE, v / (v + 50))) ORDER BY hour) AS q FROM hourly WHERE hour(hour) BETWEEN 9 AND 14 GROUP BY ALL HAVING count(*) = 6), o AS (SELECT *, " + _chain_sql(6, 0.5) + " AS p FROM h, range(64) r(s)) SELECT station, day, " + ", ".join(f"round(sum(p) FILTER ({' OR '.join(_dry_sql(k, w) for k in range(7 - w))}), 6) AS p_{w}" for w in (2, 3, 4)) + ", round(" + " + ".join(f"coalesce(sum(p) FILTER ({' OR '.join(_dry_sql(k, w) for k in range(7 - w))}), 0)" for w in range(1, 7)) + ", 6) AS longest_mean, " + ", ".join(f"round(sum(p) FILTER ({_dry_sql(k, 3)}" + "".join(f" AND NOT {_dry_sql(j, 3)}" for j in range(k)) + f"), 6) AS start_{k}" for k in range(4)) + " FROM o GROUP BY ALL")
+def run8_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Dry windows by exact chances, all 64 outcomes of a day's six hours being added up: no draws."""
+    i = hourly(spark, d).where(F.hour("hour").between(9, 14)).withColumn("day", F.to_date("hour"))
+    days = i.groupBy("station", "day").agg(F.array_sort(F.collect_list(F.struct("hour", (F.col("v") / (F.col("v") + 50)).alias("q")))).alias("hs"))
+    out = sp.exact_windows(days.select("station", "day", F.col("hs.q").alias("p")), ["station", "day"], 6, (2, 3, 4), 3, 0.5)
+    return rounded(out, *[c for c in out.columns if c not in ("station", "day")])

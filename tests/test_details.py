@@ -197,3 +197,13 @@ def test_isotonic_fit_rises(spark):
     out = ca.apply_knots(df, ca.isotonic_knots(df, "p", "y"), "p")
     brier = out.agg(vf.brier("p", "y"), vf.brier("calibrated", "y")).first()
     assert brier[1] < brier[0]
+
+
+def test_exact_windows(spark):
+    days = spark.createDataFrame([(1, [0.5, 0.5, 0.5]), (2, [0.99, 0.01, 0.01]), (3, [0.5, None, 0.5]), (4, [0.5])], "k int, p array<double>")
+    got = {r.k: r for r in sp.exact_windows(days, ["k"], 3, (1, 2, 3), 2, 0.0).collect()}
+    assert set(got) == {1, 2}
+    assert [got[1][c] for c in ("p_1", "p_2", "p_3", "longest_mean", "start_0", "start_1")] == pytest.approx([7 / 8, 3 / 8, 1 / 8, 11 / 8, 2 / 8, 1 / 8])
+    assert got[2].start_1 > 0.9 and got[2].p_2 == pytest.approx(got[2].start_0 + got[2].start_1)
+    tied = sp.exact_windows(days.where("k = 1"), ["k"], 3, (3,), 2, 1.0).first()
+    assert tied.p_3 == pytest.approx(0.5)  # hours that always agree
