@@ -1,4 +1,8 @@
-"""Grouped sums: pivots, complete hours, circular means, summaries."""
+"""Grouped sums: pivots, complete hours, circular means, summaries.
+
+A null key is a group of its own; null values are left out, and a measure without any value is null. Names that a pivot is
+not given have no column: callers take them from a stated list. Repeated rows count each time. No rows in, none out.
+"""
 
 from __future__ import annotations
 

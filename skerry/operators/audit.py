@@ -1,4 +1,8 @@
-"""Data quality: summaries, guards, coverage."""
+"""Data quality: summaries, guards, coverage.
+
+Nulls are what is counted here; null keys are a group of their own in summaries and match nothing between two of them. No rows
+in, none out.
+"""
 
 from __future__ import annotations
 

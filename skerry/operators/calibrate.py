@@ -1,4 +1,8 @@
-"""Calibration of stored probabilities."""
+"""Calibration of stored probabilities.
+
+Rows are those of one stored record each; ties in score go by the columns that callers name. A key without a threshold or a
+climate of its own takes the fallback, or is Ambiguous. No rows in, none out.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Which of several rows with one key counts."""
+"""Which of several rows with one key counts.
+
+Null keys are one group. A null in a column that is ordered downwards comes last. Rows that tie in every order column are
+any of them: callers end the order with an id. Repeated rows leave one. No rows in, none out.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Joins on time."""
+"""Joins on time.
+
+Null keys and null times match nothing; left rows stay with nulls, each as often as it came. No right rows: all nulls; no left
+rows: none.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Several forecasts as one, and which leads to use."""
+"""Several forecasts as one, and which leads to use.
+
+A pool of columns is null where one of them is; rows with a null are left out of a weight's sums, and a key without any gets
+equal weights. Ties go to the smaller weight, or the first name. No rows in, none out.
+"""
 
 from __future__ import annotations
 

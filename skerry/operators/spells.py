@@ -1,4 +1,8 @@
-"""Dry and wet spells within days."""
+"""Dry and wet spells within days.
+
+An hour that is missing or null ends a spell, wet or dry. Tables have one row for each key and hour; null keys are one group. No
+rows in, none out.
+"""
 
 from __future__ import annotations
 

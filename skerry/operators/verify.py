@@ -1,4 +1,8 @@
-"""Scores of forecasts against truth."""
+"""Scores of forecasts against truth.
+
+Rows that lack one of the two are left out of a measure and of its n; a measure of no rows is null, and so is a ratio with
+nothing below it. Null keys are a group of their own. Repeated rows count each time. No rows in, none out.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Jobs over ordered rows: islands, ranks, rolling days."""
+"""Jobs over ordered rows: islands, ranks, rolling days.
+
+Null keys are one group. Rows come in order of one column of times; where two share a time, callers give more order columns, or
+either may be first. No rows in, none out.
+"""
 
 from __future__ import annotations
 
