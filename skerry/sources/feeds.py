@@ -14,10 +14,13 @@ def _time(c) :
 
 
 def parallel_arrays(df: DataFrame, json: str, variables: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep, valid, variables) of `{"hourly": {"time": [..], var: [..]}}`: one row a time, none where all variables are missing."""
+    """(keep, valid, variables) of `{"hourly": {"time": [..], var: [..]}}`: one row a time, none where all variables are missing. A null or malformed text gives no rows, a missing or short array nulls."""
     schema = f"hourly struct<time: array<string>, {', '.join(f'`{v}`: array<double>' for v in variables)}>"
-    own = df.select(*keep, F.from_json(json, schema).alias("j")).select(*keep, F.explode(F.arrays_zip("j.hourly.time", *[f"j.hourly.{v}" for v in variables])).alias("z"))
-    rows = own.select(*keep, _time(F.col("z.time")).alias("valid"), *[F.col("z")[v].alias(v) for v in variables])
+    own = df.select(*keep, F.from_json(json, schema)["hourly"].alias("__j"))
+    # an array that a feed leaves out is empty, not the end of the others
+    own = own.select(*keep, F.col("__j.time").alias("__time"), *[F.coalesce(F.col("__j")[v], F.array().cast("array<double>")).alias(f"__{v}") for v in variables])
+    own = own.select(*keep, F.explode(F.arrays_zip("__time", *[f"__{v}" for v in variables])).alias("z"))
+    rows = own.select(*keep, _time(F.col("z.__time")).alias("valid"), *[F.col("z")[f"__{v}"].alias(v) for v in variables])
     return rows.where(F.coalesce(*variables).isNotNull())
 
 
