@@ -140,6 +140,28 @@ def polynomial(terms: Sequence[tuple[float, Sequence[int]]], *variables: Column)
     return out
 
 
+def exponents(variables: int, degree: int) -> list[tuple[int, ...]]:
+    """Powers of all monomials up to a degree, the first variable's running fastest, the last one's slowest."""
+    if not variables:
+        return [()]
+    return [(*rest, last) for last in range(degree + 1) for rest in exponents(variables - 1, degree - last)]
+
+
+def comfort_index(temp: Column, wind: Column, radiant: Column, vapour_kpa: Column, coefficients: Sequence[float], degree: int = 6) -> Column:
+    """Equivalent temperature by the published regression: air temperature plus a polynomial of temperature, wind, radiant excess and vapour pressure.
+
+    coefficients: one for each of `exponents(4, degree)`, 210 for the sixth degree, in that order, which is that of the
+    publication. Inputs are held within the range that the regression was made for; null where one is null.
+    """
+    powers = exponents(4, degree)
+    if len(coefficients) != len(powers):
+        raise ValueError(f"{len(powers)} coefficients are needed, not {len(coefficients)}")
+    within = lambda x, low, high: F.when(x.isNotNull(), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x)))
+    # fixed values: the range of the regression
+    t, v, excess, pa = within(temp, -50, 50), within(wind, 0.5, 17), within(radiant - temp, -30, 70), within(vapour_kpa, 0, 5)
+    return t + polynomial([(c, n) for c, n in zip(coefficients, powers) if c], t, v, excess, pa)
+
+
 #: fixed values: upper ends of the stress bands, in degrees Celsius
 STRESS = ((-40.0, "extreme cold"), (-27.0, "very strong cold"), (-13.0, "strong cold"), (0.0, "moderate cold"), (9.0, "slight cold"), (26.0, "none"), (32.0, "moderate heat"), (38.0, "strong heat"), (46.0, "very strong heat"))
 

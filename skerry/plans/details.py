@@ -368,3 +368,15 @@ def run8_exact(spark: SparkSession, d: str) -> DataFrame:
     days = i.groupBy("station", "day").agg(F.array_sort(F.collect_list(F.struct("hour", (F.col("v") / (F.col("v") + 50)).alias("q")))).alias("hs"))
     out = sp.exact_windows(days.select("station", "day", F.col("hs.q").alias("p")), ["station", "day"], 6, (2, 3, 4), 3, 0.5)
     return rounded(out, *[c for c in out.columns if c not in ("station", "day")])
+
+
+#: In place of the published coefficients, which are a parameter: some for every monomial, so that all of them are reached.
+INDEX = [((i * 37) % 101 - 50) / 50 / 10.0 ** (a + b + c + 2 * e) for i, (a, b, c, e) in enumerate(we.exponents(4, 6))]
+
+
+@query("fn9_index_of_210_terms", ", e AS (SELECT event_id, value % 40 AS t, value % 10 / 10 AS c FROM events), i AS (SELECT event_id, t, greatest(0.5, c * 10) AS v, least(70, greatest(-30, c * 60 - 10)) AS d, c * 3 AS p FROM e) SELECT event_id, round(t + " + " + ".join(f"({c!r}::DOUBLE * pow(t, {a}) * pow(v, {b}) * pow(d, {k}) * pow(p, {e}))" for c, (a, b, k, e) in zip(INDEX, we.exponents(4, 6)) if c) + ", 4) AS index FROM i")
+def fn9_full(spark: SparkSession, d: str) -> DataFrame:
+    from .expressions import events
+
+    t, c = F.col("t"), F.col("c")
+    return events(spark, d).select("event_id", F.round(we.comfort_index(t, c * 10, t + c * 60 - 10, c * 3, INDEX), 4).alias("index"))

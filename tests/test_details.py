@@ -207,3 +207,16 @@ def test_exact_windows(spark):
     assert got[2].start_1 > 0.9 and got[2].p_2 == pytest.approx(got[2].start_0 + got[2].start_1)
     tied = sp.exact_windows(days.where("k = 1"), ["k"], 3, (3,), 2, 1.0).first()
     assert tied.p_3 == pytest.approx(0.5)  # hours that always agree
+
+
+def test_comfort_index(spark):
+    powers = we.exponents(4, 6)
+    assert len(powers) == 210 == len(set(powers)) and powers[:9] == [(i, 0, 0, 0) for i in range(7)] + [(0, 1, 0, 0), (1, 1, 0, 0)] and powers[-1] == (0, 0, 0, 6)
+    only = lambda n: [float(p == n) for p in powers]
+    value = lambda n, *xs: one(spark, we.comfort_index(*[F.lit(x) for x in xs], only(n)))
+    assert value((1, 1, 0, 0), 10.0, 2.0, 12.0, 1.0) == 10 + 10 * 2
+    assert value((0, 0, 2, 1), 10.0, 2.0, 12.0, 3.0) == 10 + 4 * 3
+    assert value((0, 1, 0, 0), 10.0, 0.1, 12.0, 1.0) == 10.5 and value((0, 1, 0, 0), 10.0, 99.0, 12.0, 1.0) == 27
+    assert one(spark, we.comfort_index(F.lit(10.0), F.lit(None).cast("double"), F.lit(12.0), F.lit(1.0), only((0, 1, 0, 0)))) is None
+    with pytest.raises(ValueError, match="210"):
+        we.comfort_index(F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(1.0), [1.0])
