@@ -423,7 +423,7 @@ def test_nearest(spark):
 def test_twins(spark, name):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
     mine = llm.queries()[name](spark, data)
     names = sorted(mine.columns)
