@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import aggregates as ag, dedup as dd, joins as jn, windows as wn
 from ..sources import tree
+from ..sources.shared import shared_folder
 from .registry import query
 from .views import MODELS, WET, fcst, hourly, obs, pred, read, truth
 
@@ -121,13 +122,19 @@ def flt10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flt11_range_read", "SELECT ts, v FROM obs WHERE station IN (1, 3) AND v IS NOT NULL AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-05' ORDER BY ts")
 def flt11(spark: SparkSession, d: str) -> DataFrame:
-    span = F.col("ts").between(F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
-    return obs(spark, d).where(F.col("station").isin(1, 3) & F.col("v").isNotNull() & span).select("ts", "v").orderBy("ts")
+    """Of the tree by station and day, two stations and three days are listed and opened."""
+    path = shared_folder(spark, "range")
+    tree.write_days(obs(spark, d), path, ["station"], "ts")
+    rows = tree.read_range(spark, path, "ts", "2024-01-03 00:00:00", "2024-01-05 00:00:00", {"station": [1, 3]})
+    return rows.where("v IS NOT NULL").select("ts", "v").orderBy("ts")
 
 
 @query("prj1_unit_repair", "SELECT event_id, round(CASE WHEN max(value) OVER (PARTITION BY user_id) > 300 THEN value / 1000 ELSE value END, 9) AS value FROM events")
 def prj1(spark: SparkSession, d: str) -> DataFrame:
-    return tree.thousandths_repaired(read(spark, d, "events"), ["user_id"], "value", 300).select("event_id", F.round("value", 9).alias("value"))
+    """A file for each user; some files are in other units."""
+    path = shared_folder(spark, "units")
+    read(spark, d, "events").select("event_id", "value", F.col("user_id").alias("p_user")).repartition("p_user").write.partitionBy("p_user").parquet(path)
+    return tree.files_repaired(spark, path, "value", 300).select("event_id", F.round("value", 9).alias("value"))
 
 
 @query("prj2_unit_repair_once", "SELECT event_id, round(value * 3600, 6) AS value, 1 AS unit_version FROM events")

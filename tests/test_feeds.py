@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from skerry.sources import feeds as fd, shared, tree
+from skerry.sources import feeds as fd, shared, snapshots, tree
 from skerry.streaming import arrivals
 
 
@@ -96,3 +97,119 @@ def test_streams(spark, tmp_path):
 
 def test_a_shared_folder_is_asked_for(spark):
     assert shared.shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def month(spark, days=30):
+    return spark.createDataFrame([(s, t(h) + dt.timedelta(days=d), float(d)) for s in ("a", "b", None) for d in range(days) for h in (0, 23)], "s string, ts timestamp_ntz, v double")
+
+
+def opened(df):
+    """Days of the files that a plan would open."""
+    return sorted({f.split("p_date=")[1].split("/")[0] for f in df.inputFiles()})
+
+
+@pytest.mark.parametrize("logged", [True, False])
+def test_a_range_opens_its_own_files(spark, tmp_path, logged):
+    path, rows = str(tmp_path / "tree"), month(spark)
+    if logged:
+        tree.write_days(rows, path, ["s"], "ts")
+    else:
+        rows.withColumns({"p_s": F.col("s"), "p_date": F.to_date("ts")}).write.partitionBy("p_s", "p_date").parquet(path)
+    got = tree.read_range(spark, path, "ts", "2024-01-05 12:00:00", "2024-01-06 12:00:00")
+    assert opened(got) == ["2024-01-05", "2024-01-06"]
+    assert sorted((r.s or "", r.ts.day, r.ts.hour) for r in got.collect()) == [(s, d, h) for s in ("", "a", "b") for d, h in ((5, 23), (6, 0))]
+    one = tree.read_range(spark, path, "ts", "2024-01-05 00:00:00", "2024-01-05 23:59:59", {"s": ["a", None]})
+    assert len({f.split("p_s=")[1].split("/")[0] for f in one.inputFiles()}) == 2
+    assert sorted((r.s or "", r.ts.hour) for r in one.collect()) == [("", 0), ("", 23), ("a", 0), ("a", 23)]
+    assert tree.read_range(spark, path, "ts", "2031-01-01", "2031-01-02", schema=rows.schema).count() == 0
+    scan = got._jdf.queryExecution().executedPlan().collectLeaves().head()
+    got.count()
+    assert "2024-01-04" not in scan.toString()
+
+
+def test_a_range_of_a_plain_tree_needs_a_schema_where_nothing_is_there(spark, tmp_path):
+    with pytest.raises(ValueError, match="schema"):
+        tree.read_range(spark, str(tmp_path / "none"), "ts", "2024-01-01", "2024-01-02")
+
+
+def test_merges_keep_null_keys_and_null_times(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), lambda *r: spark.createDataFrame(list(r), "i int, s string, t timestamp_ntz, b int")
+    tree.merge_days(rows((1, None, t(0), 1), (2, "x", t(0), 1), (3, "x", None, 1)), path, ["s"], "t", ["i"], "b")
+    tree.merge_days(rows((4, None, t(0), 2), (5, "x", t(0), 2), (6, "x", None, 2), (2, "x", t(0), 2)), path, ["s"], "t", ["i"], "b")
+    assert sorted((r.i, r.b) for r in tree.read_tree(spark, path).collect()) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 2), (6, 2)]
+
+
+@pytest.mark.parametrize("step", ["replace", "commit"])
+def test_a_merge_that_dies_leaves_the_old_table(spark, tmp_path, monkeypatch, step):
+    path, rows = str(tmp_path / "t"), lambda *r: spark.createDataFrame(list(r), "i int, s string, t timestamp_ntz, b int")
+    merge = lambda df: tree.merge_days(df, path, ["s"], "t", ["i"], "b")
+    merge(rows((1, "x", t(0), 1), (2, "x", t(1), 1)))
+    later = rows((1, "x", t(0), 2), (3, "y", t(1), 2))
+
+    def dies(*_):
+        raise RuntimeError("lost driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, step, dies)
+        with pytest.raises(RuntimeError):
+            merge(later)
+    assert sorted((r.i, r.b) for r in tree.read_tree(spark, path).collect()) == [(1, 1), (2, 1)]
+    merge(later)
+    assert sorted((r.i, r.b) for r in tree.read_tree(spark, path).collect()) == [(1, 2), (2, 1), (3, 2)]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    path, df = str(tmp_path / "t"), month(spark, 1)
+    before = snapshots.current(spark, path)
+    tree.write_days(df, path, ["s"], "ts")
+    with pytest.raises(Exception, match="exist"):
+        snapshots.replace(df.withColumn("p_s", F.col("s")), path, ["p_s"], before)
+    assert tree.read_tree(spark, path).count() == df.count()
+
+
+def test_snapshots_leave_nothing_behind(spark, tmp_path):
+    path, df = str(tmp_path / "t"), month(spark, 2)
+    for n in range(8):
+        tree.merge_days(df.withColumn("b", F.lit(n)), path, ["s"], "ts", ["s", "ts"], "b")
+    assert len(list((tmp_path / "t").glob("b-*"))) == snapshots.KEEP
+    assert len([f for f in (tmp_path / "t" / "_snapshots").iterdir() if not f.name.startswith(".")]) == snapshots.KEEP
+    tree.merge_days(df.where("s = 'a'").withColumn("b", F.lit(9)), path, ["s"], "ts", ["s", "ts"], "b")
+    rows = tree.read_tree(spark, path)
+    assert sorted({(r.s, r.b) for r in rows.collect()}, key=str) == [("a", 9), ("b", 7), (None, 7)] and rows.count() == df.count()
+
+
+def test_a_schema_that_grows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tree.merge_days(spark.createDataFrame([(1, "x", t(0), 1), (2, "x", t(1), 1)], "i int, s string, t timestamp_ntz, v int"), path, ["s"], "t", ["i"], "i")
+    tree.merge_days(spark.createDataFrame([(3, "y", t(0), 7_000_000_000, 0.5)], "i int, s string, t timestamp_ntz, v long, w double"), path, ["s"], "t", ["i"], "i")
+    rows = tree.read_tree(spark, path)
+    assert dict(rows.dtypes)["v"] == "bigint" and sorted((r.i, r.v, r.w) for r in rows.collect()) == [(1, 1, None), (2, 1, None), (3, 7_000_000_000, 0.5)]
+    with pytest.raises(ValueError, match="column v"):
+        tree.merge_days(spark.createDataFrame([(4, "z", t(0), "n")], "i int, s string, t timestamp_ntz, v string"), path, ["s"], "t", ["i"], "i")
+    assert tree.read_tree(spark, path).count() == 3
+
+
+def test_a_plain_tree_is_taken_over(spark, tmp_path):
+    path, df = str(tmp_path / "t"), month(spark, 2)
+    df.withColumns({"p_s": F.col("s"), "p_date": F.to_date("ts")}).write.partitionBy("p_s", "p_date").parquet(path)
+    tree.merge_days(df.where("s = 'a'").withColumn("v", F.lit(9.0)), path, ["s"], "ts", ["s", "ts"], "v")
+    assert sorted((r.s or "", r.v) for r in tree.read_tree(spark, path).where("day(ts) = 2 AND hour(ts) = 0").collect()) == [("", 1.0), ("a", 9.0), ("b", 1.0)]
+
+
+def test_files_in_other_units(spark, tmp_path):
+    path, df = str(tmp_path / "t"), spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", 500.0), ("b", 3.0), ("b", None), ("c", None)], "k string, v double")
+    df.repartition("k").withColumn("p_k", F.col("k")).write.partitionBy("p_k").parquet(path)
+    assert sorted((r.k, r.v) for r in tree.files_repaired(spark, path, "v").where("v IS NOT NULL").collect()) == [("a", 0.1), ("a", 0.2), ("b", 0.003), ("b", 0.5)]
+    assert tree.files_repaired(spark, path, "v").count() == 6
+
+
+def test_groups_with_any_value(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", None), (None, 2.0), (None, None)], "k string, v double")
+    assert sorted((r.k or "", r.v or 0) for r in tree.with_any(df, ["k"], "v").collect()) == [("", 0), ("", 2.0), ("a", 0), ("a", 1.0)]
+
+
+def test_folders_go_with_their_block(spark):
+    with shared.scratch_folder(spark, "x") as path:
+        spark.range(3).write.parquet(path)
+    files, where = shared.file_system(spark, path)
+    assert not files.exists(where)
