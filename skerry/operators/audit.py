@@ -10,28 +10,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .windows import ranked
+from .select import ranked_values
 
 
 def feature_summary(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """(keys, feature, n, missing, mean, std, p01, p99): missing share, sample deviation, exact quantiles between neighbours.
 
-    Quantiles are read off ranks, nulls behind all values, so no task holds the values of a group; a feature that is
+    Quantiles are read off four selected values, so no task holds the values of a group; a feature that is
     always null has no quantiles. NaN counts as a value.
     """
     long = df.unpivot(list(keys), list(features), "feature", "value")
     own = [*keys, "feature"]
     stats = long.groupBy(*own).agg(F.count("*").alias("n"), F.count("value").alias("__v"), F.avg(F.col("value").isNull().cast("double")).alias("missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    r = ranked(long.where("value IS NOT NULL"), own, ["value"])
+    places = [(f"{side}_{name}", q, f) for name, q in (("p01", 0.01), ("p99", 0.99)) for side, f in (("low", F.floor), ("high", F.ceil))]
+    r = ranked_values(long.where("value IS NOT NULL"), own, "value", lambda n: [f(q * (n - 1)) for _, q, f in places], [p[0] for p in places])
 
-    def quantile(q: float) -> Column:
+    def quantile(name: str, q: float) -> Column:
         place = q * (F.col("n") - 1)
-        low, high = F.floor(place), F.ceil(place)
-        a, b = F.max(F.when(F.col("rank") == low, F.col("value"))), F.max(F.when(F.col("rank") == high, F.col("value")))
-        share = F.first(place - low)
-        return a + (b - a) * share
+        return (F.col(f"low_{name}") + (F.col(f"high_{name}") - F.col(f"low_{name}")) * (place - F.floor(place))).alias(name)
 
-    quantiles = r.groupBy(*[F.col(k).alias(f"__k_{k}") for k in own]).agg(quantile(0.01).alias("p01"), quantile(0.99).alias("p99"))
+    quantiles = r.select(*[F.col(k).alias(f"__k_{k}") for k in own], quantile("p01", 0.01), quantile("p99", 0.99))
     joined = stats.join(quantiles, [stats[k].eqNullSafe(quantiles[f"__k_{k}"]) for k in own], "left")
     return joined.select(*own, "n", "missing", "mean", "std", "p01", "p99")
 

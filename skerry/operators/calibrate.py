@@ -1,6 +1,6 @@
 """Calibration of stored probabilities.
 
-Rows are those of one stored record each; ties in score go by the columns that callers name. A key without a threshold or a
+Rows are those of one stored record each. A key without a threshold or a
 climate of its own takes the fallback, or is Ambiguous. No rows in, none out.
 """
 
@@ -10,15 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .windows import ranked
+from .select import ranked_values
 
 
-def conformal_thresholds(df: DataFrame, keys: Sequence[str], p: str, wet: str, alpha: float, ties: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, threshold): the split-conformal order statistic of 1 - p (wet) or p (dry), the ceil(q n)-th with q = min(1, ceil((1 - alpha)(n + 1)) / n)."""
+def conformal_thresholds(df: DataFrame, keys: Sequence[str], p: str, wet: str, alpha: float) -> DataFrame:
+    """(keys, n, threshold): the split-conformal order statistic of 1 - p (wet) or p (dry), the ceil(q n)-th with q = min(1, ceil((1 - alpha)(n + 1)) / n). Rows without a score do not count."""
     score = F.when(F.col(wet) == 1, 1 - F.col(p)).otherwise(F.col(p))
-    r = ranked(df.select(*keys, score.alias("threshold"), *[F.col(t).alias(f"__tie_{i}") for i, t in enumerate(ties)]), keys, ["threshold", *[f"__tie_{i}" for i in range(len(ties))]])
-    at = F.least(F.col("n"), F.ceil((1 - alpha) * (F.col("n") + 1)))
-    return r.where(F.col("rank") + 1 == at).select(*keys, "n", "threshold")
+    at = lambda n: [F.least(n, F.ceil((1 - alpha) * (n + 1))) - 1]
+    return ranked_values(df.select(*keys, score.alias("__score")), keys, "__score", at, ["threshold"])
 
 
 def conformal_tag(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], p: str) -> DataFrame:

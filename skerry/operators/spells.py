@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .windows import islands
+from .scans import dry_by_and_wet_since, islands  # noqa: F401
 
 
 def daily_spells(hourly: DataFrame, keys: Sequence[str], hour: str, value: str, wet: float, start: int, hours: int) -> DataFrame:
@@ -18,7 +18,7 @@ def daily_spells(hourly: DataFrame, keys: Sequence[str], hour: str, value: str,
     inside = hourly.where((F.hour(hour) >= start) & (F.hour(hour) < start + hours) & F.col(value).isNotNull())
     inside = inside.withColumn("day", F.to_date(hour)).withColumn("__dry", F.col(value) < wet)
     whole = inside.groupBy(*keys, "day").agg(F.countDistinct(hour).alias("__n"), F.count_if("__dry").alias("dry_hours")).where(F.col("__n") == hours).drop("__n")
-    longest = islands(inside, [*keys, "day"], hour, "__dry", 3600).groupBy(*keys, "day").agg(F.max("n").alias("longest"))
+    longest = islands(inside, [*keys, "day"], hour, "__dry", 3600, short=True).groupBy(*keys, "day").agg(F.max("n").alias("longest"))
     return whole.join(longest, [*keys, "day"], "left").withColumn("longest", F.coalesce("longest", F.lit(0)))
 
 
@@ -41,15 +41,6 @@ def wet_bands(hourly: DataFrame, keys: Sequence[str], hour: str, value: str, wet
     return islands(flagged, keys, hour, "__wet", 3600).withColumn("end", F.col("end") + F.make_dt_interval(F.lit(0), F.lit(1)))
 
 
-def dry_by_and_wet_since(hourly: DataFrame, keys: Sequence[str], hour: str, value: str, wet: float) -> DataFrame:
-    """Wet hours with wet_since (the start of their run of wet rows) and dry_by (the next dry hour; null if none follows)."""
-    w = Window.partitionBy(*keys).orderBy(hour)
-    is_wet = F.col(value) >= wet
-    out = hourly.withColumns({"__wet": is_wet, "dry_by": F.first(F.when(~is_wet, F.col(hour)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), "__before": F.coalesce(F.lag(is_wet).over(w), F.lit(False))})
-    since = F.last(F.when(F.col("__wet") & ~F.col("__before"), F.col(hour)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("wet_since", since).where("__wet").drop("__wet", "__before")
-
-
 def start_curve(starts: DataFrame, keys: Sequence[str], weight: str, total: str) -> DataFrame:
     """Start-hour weights scaled so that each key's add up to its `total`."""
     whole = F.sum(weight).over(Window.partitionBy(*keys))

@@ -1,4 +1,4 @@
-"""Jobs over ordered rows: islands, ranks, rolling days.
+"""Jobs over ordered rows: rolling days, directions, quintiles and splits; running values are those of scans.py.
 
 Null keys are one group. Rows come in order of one column of times; where two share a time, callers give more order columns, or
 either may be first. No rows in, none out.
@@ -6,50 +6,17 @@ either may be first. No rows in, none out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.shared import written
-
-
-def islands(df: DataFrame, keys: Sequence[str], time: str, flag: str, step_seconds: int) -> DataFrame:
-    """(keys, start, end, n) of each run of rows with a true flag and no gap in time."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    slot = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {time})") / step_seconds
-    wet = df.where(flag).withColumn("__island", slot.cast("long") - F.row_number().over(w))
-    return wet.groupBy(*keys, "__island").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n")).drop("__island")
-
-
-def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column) -> DataFrame:
-    """df with `streak`: a number that grows with each change of state."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = df.withColumn("__state", state).withColumn("__new", F.when(F.lag("__state").over(w).eqNullSafe(F.col("__state")), 0).otherwise(1))
-    return marked.withColumn("streak", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__state")
-
-
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """df with rank (from 0, in order within the keys) and n (rows of the keys), nulls first as in any ascending sort.
-
-    One sort of all rows by keys and order, cut into as many partitions as it likes: a row's rank is its place in its
-    partition plus what its key has in the partitions before. So a key with most of the rows is not one task. The sorted
-    rows are written once; the offsets are a row for each key and partition. Equal rows get ranks in any order.
-    """
-    at = "__at"
-    placed = written(df.sort(*keys, *order).withColumn(at, F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright(at, 33)
-    own = placed.groupBy(*keys, part.alias("__part")).agg(F.count("*").alias("__c"), F.min(at).alias("__first"))
-    w = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("__c").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = own.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__part", "__first", before.alias("__before"), F.sum("__c").over(w).alias("n"))
-    same = [placed[k].eqNullSafe(own[f"__k_{k}"]) for k in keys]
-    joined = placed.join(own, [part == own["__part"], *same])
-    return joined.select(*df.columns, (F.col("__before") + F.col(at) - F.col("__first")).alias("rank"), "n")
+from .scans import changes, dry_run, forward_fill, hourly_line, islands, trailing  # noqa: F401
+from .select import cut_at
 
 
 def quintile(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """df with `quintile`: min(4, floor(rank * 5 / n)), rank from 0."""
-    return ranked(df, keys, order).withColumn("quintile", F.least(F.lit(4), F.floor(F.col("rank") * 5 / F.col("n"))).cast("int")).drop("rank", "n")
+    """df with `quintile`: min(4, floor(rank * 5 / n)), rank from 0: four rows of each key say where they begin."""
+    return cut_at(df, keys, order, lambda n: [F.ceil(n * q / 5) for q in range(1, 5)], "quintile", ties=True)
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], time: str, value: Column, days: int) -> DataFrame:
@@ -63,26 +30,6 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], time: str, value: Column, d
     return spread.groupBy(*keys, "day").agg((F.sum("__s") / F.sum("__n")).alias("mean"), F.sum("__n").alias("n")).where("n > 0")
 
 
-def forward_fill(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str]) -> DataFrame:
-    """df with the last known value of each column."""
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-
-
-def hourly_line(df: DataFrame, keys: Sequence[str], time: str, *values: str) -> DataFrame:
-    """(keys, hour, values): straight lines between neighbours in time, on every whole hour from the first to the last.
-
-    A null value is where a line ends: between it and its neighbours the line is flat at the earlier value.
-    """
-    w = Window.partitionBy(*keys).orderBy(time)
-    seconds = F.expr(f"timestampdiff(SECOND, {time}, __next)")
-    pairs = df.withColumns({"__next": F.lead(time).over(w), **{f"__{v}": F.lead(v).over(w) for v in values}})
-    pairs = pairs.withColumn("__k", F.explode(F.sequence(F.lit(0), F.coalesce((seconds / 3600).cast("int") - 1, F.lit(0)))))
-    share = F.when(seconds > 0, F.col("__k") * 3600 / seconds).otherwise(0.0)
-    line = lambda v: F.when(F.col(f"__{v}").isNull(), F.col(v)).otherwise(F.col(v) + (F.col(f"__{v}") - F.col(v)) * share)
-    return pairs.select(*keys, (F.col(time) + F.make_dt_interval(F.lit(0), F.col("__k"))).alias("hour"), *[line(v).alias(v) for v in values])
-
-
 def hourly_direction(df: DataFrame, keys: Sequence[str], time: str, degrees: str) -> DataFrame:
     """(keys, hour, degrees): directions between neighbours in time by straight lines of sine and cosine, so that 350 and 10 meet at north."""
     rad = F.radians(degrees)
@@ -90,31 +37,19 @@ def hourly_direction(df: DataFrame, keys: Sequence[str], time: str, degrees: str
     return line.select(*keys, "hour", F.pmod(F.degrees(F.atan2("__sin", "__cos")), F.lit(360.0)).alias(degrees))
 
 
+PARTS = ("train", "validation", "test")
+
+
+def split_by_rank(df: DataFrame, keys: Sequence[str], time: str, ranks: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """df with part (train, validation, test) in order of time within a key; the later two begin at the two ranks. Rows of one time are in one part."""
+    out = cut_at(df, keys, [time], ranks, "__part")
+    return out.withColumn("part", F.element_at(F.array(*map(F.lit, PARTS)), F.col("__part") + 1)).drop("__part")
+
+
 def split_checked(df: DataFrame, keys: Sequence[str], time: str, train: float = 0.7, validation: float = 0.15, least: int = 10) -> DataFrame:
-    """df with part (train, validation, test, in order of time within a key) and ok: the key has `least` rows, no part is empty, and no two parts share a time."""
-    first = F.floor(F.col("n") * F.lit(train))
-    second = first + F.floor(F.col("n") * F.lit(validation))
-    part = F.when(F.col("rank") < first, "train").when(F.col("rank") < second, "validation").otherwise("test")
-    out = ranked(df, keys, [time]).withColumn("part", part)
+    """df with part and ok: the key has `least` rows, no part is empty, and no two parts share a time."""
+    out = split_by_rank(df, keys, time, lambda n: [F.floor(n * F.lit(train)), F.floor(n * F.lit(train)) + F.floor(n * F.lit(validation))])
     edge = lambda f, name: f(F.when(F.col("part") == name, F.col(time)))
     ok = (F.count("*") >= least) & (edge(F.max, "train") < edge(F.min, "validation")) & (edge(F.max, "validation") < edge(F.min, "test"))
     edges = out.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.coalesce(ok, F.lit(False)).alias("ok"))
     return out.join(edges, [out[k].eqNullSafe(edges[f"__k_{k}"]) for k in keys]).select(*df.columns, "part", "ok")
-
-
-def trailing(df: DataFrame, keys: Sequence[str], hour: str, value: str, hours: int, wet: float) -> DataFrame:
-    """df (a row for each hour it has) with sum_<h> and wet_<h> over the last h hours, null unless all are there."""
-    slot = F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', {hour})")
-    w = Window.partitionBy(*keys).orderBy("__slot").rangeBetween(1 - hours, 0)
-    full = F.count(value).over(w) == hours
-    out = df.withColumn("__slot", slot)
-    return out.withColumns({f"sum_{hours}": F.when(full, F.sum(value).over(w)), f"wet_{hours}": F.when(full, F.count(F.when(F.col(value) >= wet, 1)).over(w))}).drop("__slot")
-
-
-def dry_run(df: DataFrame, keys: Sequence[str], hour: str, value: str, above: float) -> DataFrame:
-    """df with `dry_hours`: hours without a gap up to and with this one that are not above the limit."""
-    slot = F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', {hour})")
-    w = Window.partitionBy(*keys).orderBy("__slot")
-    stop = F.when((F.col(value) > above) | F.col(value).isNull(), F.col("__slot")).when(F.coalesce(F.lag("__slot").over(w) < F.col("__slot") - 1, F.lit(True)), F.col("__slot") - 1)
-    out = df.withColumn("__slot", slot).withColumn("__stop", stop)
-    return out.withColumn("dry_hours", F.col("__slot") - F.last("__stop", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__slot", "__stop")

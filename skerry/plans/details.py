@@ -146,7 +146,7 @@ def drv3_full(spark: SparkSession, d: str) -> DataFrame:
 SELECT station, version, CAST(valid AS DATE) AS day, round(avg(p), 6) AS mean, CAST(arg_min(hour(valid), p * 1000000 + hour(valid)) AS INT) AS driest, count(*) FILTER (tag = 'Wet') AS wet, count(*) FILTER (tag = 'Dry') AS dry, count(*) FILTER (tag = 'Ambiguous') AS ambiguous FROM g GROUP BY ALL""")
 def drv4_full(spark: SparkSession, d: str) -> DataFrame:
     p, keys = pred(spark, d), ["station", "version", "lead"]
-    g = cal.conformal_tag(p, cal.conformal_thresholds(p, keys, "p", "wet", 0.1, ["valid"]), keys, "p").withColumn("h", F.hour("valid"))
+    g = cal.conformal_tag(p, cal.conformal_thresholds(p, keys, "p", "wet", 0.1), keys, "p").withColumn("h", F.hour("valid"))
     tags = [F.count_if(F.col("tag") == t).alias(t.lower()) for t in ("Wet", "Dry", "Ambiguous")]
     return rounded(g.groupBy("station", "version", F.to_date("valid").alias("day")).agg(F.avg("p").alias("mean"), F.min_by("h", F.struct("p", "h")).alias("driest"), *tags), "mean")
 
@@ -256,7 +256,7 @@ round(avg(CAST(longest >= 2 AS INT)), 6) AS has_share, round(max(chance), 6) AS
 def run2_full(spark: SparkSession, d: str) -> DataFrame:
     """Each model's day: total, wettest slot, wet slots, longest dry run, a window of two slots or not, largest chance; then the models together, and the envelope of their mean."""
     c = dd.latest(fcst(spark, d).where("lead = 24"), CELL, ["run", "event_id"]).withColumns({"day": F.to_date("valid"), "dry": F.col("x") < WET})
-    longest = wn.islands(c, ["station", "model", "day"], "valid", "dry", 6 * 3600).groupBy("station", "model", "day").agg(F.max("n").alias("longest"))
+    longest = wn.islands(c, ["station", "model", "day"], "valid", "dry", 6 * 3600, short=True).groupBy("station", "model", "day").agg(F.max("n").alias("longest"))
     m = c.groupBy("station", "model", "day").agg(F.sum("x").alias("total"), F.max("x").alias("top"), F.count_if(F.col("x") >= WET).alias("wet"), F.max(F.col("x") / (F.col("x") + 50)).alias("chance"))
     m = m.join(longest, ["station", "model", "day"], "left").withColumn("longest", F.coalesce("longest", F.lit(0)))
     mean, std, *_ = ag.spread("total")

@@ -121,6 +121,6 @@ def ts9(spark: SparkSession, d: str) -> DataFrame:
     """Exact runs on the hour grid, required models together, and the latest upper-air value at or before each valid time."""
     wide = cells(spark, d).where(F.hour("valid").isin(0, 6, 12, 18)).groupBy("station", "valid", "lead").agg(*[F.max(F.when(F.col("model") == m, F.col("x"))).alias(m) for m in ("click", "error")])
     upper = dd.latest(fcst(spark, d).where("model = 'view'"), ["station", "valid"], ["event_id"]).withColumnRenamed("x", "upper")
-    return jn.asof_join(wide.where("click IS NOT NULL AND error IS NOT NULL"), upper, ["station"], "valid", "valid", ["upper"])
+    return jn.asof_join(wide.where("click IS NOT NULL AND error IS NOT NULL"), upper, ["station"], "valid", "valid", ["upper"], lambda t: F.year(t) * 12 + F.month(t))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import weather as we
-from ..operators import aggregates as ag, audit as au, dedup as dd, joins as jn, spells as sp, verify as vf, windows as wn
+from ..operators import aggregates as ag, audit as au, dedup as dd, joins as jn, scans as sc, spells as sp, verify as vf, windows as wn
 from .basics import CELL, PIVOT_SQL, rounded, wide
 from .registry import query
 from .scoring import TS1_SQL, training_table
@@ -69,9 +69,7 @@ def ts15(spark: SparkSession, d: str) -> DataFrame:
 
 def split_by_time(df: DataFrame, keys: list[str], time: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """df with part: train, validation or test, in order of time within each key."""
-    r = wn.ranked(df, keys, [time])
-    part = F.when(F.col("rank") < F.floor(F.col("n") * F.lit(train)), "train").when(F.col("rank") < F.floor(F.col("n") * F.lit(train + validation)), "validation").otherwise("test")
-    return r.withColumn("part", part).drop("rank", "n")
+    return wn.split_by_rank(df, keys, time, lambda n: [F.floor(n * F.lit(train)), F.floor(n * F.lit(train + validation))])
 
 
 @query("ts16_cutoff_split", "SELECT CASE WHEN valid >= TIMESTAMP '2024-01-23' THEN 'test' WHEN valid >= TIMESTAMP '2024-01-08' THEN 'recent' ELSE 'old' END AS part, count(*) AS n FROM latest GROUP BY 1")
@@ -169,8 +167,7 @@ def run5(spark: SparkSession, d: str) -> DataFrame:
 @query("run6_missing_streaks", """, g AS (SELECT station, hour, lag(hour) OVER (PARTITION BY station ORDER BY hour) AS before FROM hourly)
 SELECT station, before AS last_seen, hour AS next_seen, date_diff('hour', before, hour) - 1 AS missing FROM g WHERE date_diff('hour', before, hour) > 1 ORDER BY missing DESC, station, next_seen LIMIT 10""")
 def run6(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("station").orderBy("hour")
-    g = hourly(spark, d).withColumn("last_seen", F.lag("hour").over(w)).withColumn("missing", F.timestamp_diff("HOUR", F.col("last_seen"), F.col("hour")) - 1)
+    g = sc.gaps(hourly(spark, d), ["station"], "hour").withColumn("missing", F.timestamp_diff("HOUR", F.col("last_seen"), F.col("hour")) - 1)
     return g.where("missing > 0").select("station", "last_seen", F.col("hour").alias("next_seen"), "missing").orderBy(F.desc("missing"), "station", "next_seen").limit(10)
 
 

@@ -191,14 +191,14 @@ th AS (SELECT station, version, lead, n, s AS threshold FROM r WHERE k = least(n
 
 @query("cal2_conformal_thresholds", CONFORMAL_SQL + " SELECT station, version, lead, n, round(threshold, 9) AS threshold FROM th")
 def cal2(spark: SparkSession, d: str) -> DataFrame:
-    t = cal.conformal_thresholds(pred(spark, d), ["station", "version", "lead"], "p", "wet", 0.1, ["valid"])
+    t = cal.conformal_thresholds(pred(spark, d), ["station", "version", "lead"], "p", "wet", 0.1)
     return t.withColumn("threshold", F.round("threshold", 9))
 
 
 @query("cal3_conformal_tags", CONFORMAL_SQL + " SELECT version, lead, CASE WHEN 1 - p <= threshold AND NOT p <= threshold THEN 'Wet' WHEN p <= threshold AND NOT 1 - p <= threshold THEN 'Dry' ELSE 'Ambiguous' END AS tag, count(*) AS n FROM pred JOIN th USING (station, version, lead) GROUP BY ALL")
 def cal3(spark: SparkSession, d: str) -> DataFrame:
     p, keys = pred(spark, d), ["station", "version", "lead"]
-    return cal.conformal_tag(p, cal.conformal_thresholds(p, keys, "p", "wet", 0.1, ["valid"]), keys, "p").groupBy("version", "lead", "tag").agg(F.count("*").alias("n"))
+    return cal.conformal_tag(p, cal.conformal_thresholds(p, keys, "p", "wet", 0.1), keys, "p").groupBy("version", "lead", "tag").agg(F.count("*").alias("n"))
 
 
 @query("cal1_isotonic")

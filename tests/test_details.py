@@ -20,18 +20,6 @@ def one(spark, column, **values):
     return df.select(column).first()[0]
 
 
-def test_ranked(spark):
-    rows = [("a", 3.0), ("a", 1.0), ("a", 1.0), ("a", None), ("b", 5.0), (None, 2.0), (None, 1.0)] + [("c", float(i)) for i in range(200)]
-    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    got = {}
-    for r in wn.ranked(df, ["k"], ["v"]).collect():
-        got.setdefault(r.k, []).append((r["rank"], r.v, r.n))
-    assert sorted(got["a"]) == [(0, None, 4), (1, 1.0, 4), (2, 1.0, 4), (3, 3.0, 4)]
-    assert got["b"] == [(0, 5.0, 1)] and sorted(got[None]) == [(0, 1.0, 2), (1, 2.0, 2)]
-    assert sorted(got["c"]) == [(i, float(i), 200) for i in range(200)]
-    assert wn.ranked(df.limit(0), ["k"], ["v"]).count() == 0
-
-
 def test_quintile_of_seven_and_ties(spark):
     df = spark.createDataFrame([(1, float(v)) for v in (1, 2, 2, 2, 3, 4, 5)], "k int, v double")
     assert sorted(r.quintile for r in wn.quintile(df, ["k"], ["v"]).collect()) == [0, 0, 1, 2, 2, 3, 4]
