@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
-from test_ops import SCHEMA, corpus, dropped_lines, measured
+from test_ops import SCHEMA, corpus, dropped_lines, measured, words
 
 from skerry.llm import mixing, packing, quality, similar
 
@@ -24,6 +25,41 @@ def survivors(rows):
     return Counter(min(ids, key=lambda i: (i is None, i or 0)) for ids in members.values())
 
 
+def mixed_well(before, after):
+    """By words, not by the stage's own rule: the budget is met and not exceeded, sources come near their targets, no row more than three times."""
+    size = lambda t: len(words(t))
+    budget = sum(size(r.text) for r in before.collect())
+    got = Counter()
+    for r in after.collect():
+        got[r.source] += size(r.text)
+    longest = max((size(r.text) for r in before.collect()), default=0)
+    target = {r.source: r.target for r in mixing.mix(before).collect()}
+    assert sum(got.values()) <= budget and sum(got.values()) == sum(r.taken for r in mixing.mix(before).collect())
+    assert all(abs(got[s] - t) <= longest for s, t in target.items())
+    had, has = (Counter((r.doc_id, r.text, r.source) for r in d.collect()) for d in (before, after))
+    assert all(n <= (3 if size(row[1]) else 1) * had[row] for row, n in has.items())
+
+
+def test_mixing_rows_that_share_an_id(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 7, i]), " ".join(["w"] * rng.randrange(1, 90)), rng.choice(["a", "b", "c", None]), i) for i in range(900)]
+    docs = spark.createDataFrame(rows + rows[:40] * 5, "doc_id long, text string, source string, row int")
+    mixed_well(docs, mixing.mixed_documents(docs))
+
+
+@pytest.mark.parametrize("budget", [0, 1, 500, 4_000, 10**9])
+def test_where_the_budget_ends(spark, budget):
+    rows = [(i % 7 + 1, float(i // 3), f"{i * 7919 % 1000:03d}") for i in range(1000)]
+    total, want = 0, None
+    for n, finish, key in sorted(rows, key=lambda r: r[1:]):
+        total += n
+        if total > budget:
+            want = (finish, key)
+            break
+    df = spark.createDataFrame(rows, "size long, finish double, key string").repartition(3)
+    assert mixing.first_over(df, budget) == mixing.first_over(df, budget, few=5) == want
+
+
 @pytest.mark.parametrize("ids", [True, False])
 def test_stages(spark, tmp_path, ids):
     rows = [r for r in corpus() if r[0] is not None or not ids]
@@ -42,8 +78,7 @@ def test_stages(spark, tmp_path, ids):
     assert Counter(as_rows(kept[1])) == good
     assert Counter(as_rows(kept[2])) == Counter((i, t) for i, _, _, t in dropped_lines(as_rows(kept[1])))
     assert Counter(i for i, _ in as_rows(kept[3])) == survivors(as_rows(kept[2]))
-    turns = {(r.doc_id, r.size): r.taken // r.size if r.size else 1 for r in mixing.mix(kept[3]).collect()}
-    assert Counter(i for i, _ in as_rows(kept[4])) == Counter({i: n for (i, _), n in turns.items() if n})
+    mixed_well(kept[3], kept[4])
     packed = kept[5].where("piece = 0").groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in packed} == Counter(i for i, _ in as_rows(kept[4]))
     assert kept[5].groupBy("sequence_id").sum("length").where(f"`sum(length)` > {packing.CAPACITY}").count() == 0
