@@ -22,6 +22,8 @@ BUCKET_BYTES = 8 << 20
 STEP = 2 << 20
 #: Bytes of packed strings with one minimiser that are counted in memory; a larger group's windows never meet there, but go by a shuffle of their own.
 GROUP_BYTES = 48 << 20
+#: Below these bytes of packed strings a group's windows are counted as they are.
+SMALL_GROUP = 1 << 20
 _FIELDS = pa.schema([("mini", pa.int64()), ("packed", pa.binary()), ("rid", pa.binary()), ("start", pa.int32()), ("marked", pa.bool_())])
 _DEALT = ["bucket", "blob", "rid", "start", "count", "packed"]
 MARKS = "rid binary, start int, count int, packed binary"
@@ -32,14 +34,15 @@ def row_id(doc_id: int | None, text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b"%s\0%s" % (str(doc_id).encode(), text))
 
 
-def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
-    """Least of each `width` consecutive keys, by doubling."""
-    out, have = keys, 1
+def leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each `width` consecutive keys, the leftmost of equals, by doubling."""
+    place, have = np.arange(len(keys)), 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[:-step], out[step:])
+        place = np.where(keys[step:] < keys[:-step], place[step:], place[:-step])
+        keys = np.minimum(keys[:-step], keys[step:])
         have += step
-    return out
+    return place
 
 
 def super_kmers(codes: np.ndarray, counts: np.ndarray, window: int, mer: int) -> tuple[np.ndarray, ...]:
@@ -57,10 +60,7 @@ def super_kmers(codes: np.ndarray, counts: np.ndarray, window: int, mer: int) ->
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    keys = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    least = sliding_least(keys, window - mer + 1)
-    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = leftmost_least(h, window - mer + 1)
     ends = np.cumsum(counts)
     owner = np.repeat(np.arange(len(counts)), counts)
     inside = np.arange(len(place)) + window <= ends[owner[: len(place)]]
@@ -193,6 +193,29 @@ def _flags(flags: list[bool], start: int) -> Iterator[tuple[int, int]]:
             at = None
 
 
+def repeated_windows(strings: Counter, window: int) -> dict[bytes, list[bool]]:
+    """For each packed string, which of its windows occur more than once among all, a string counting as often as given. In a large group 128 bits stand for a window, so that it takes some tens of bytes and not its words."""
+    names, digests, lengths = list(strings), [], []
+    if sum(map(len, names)) < SMALL_GROUP:
+        split, counts = {p: windows_of(p, window) for p in names}, Counter()
+        for p, n in strings.items():
+            for w in split[p]:
+                counts[w] += n
+        return {p: [counts[w] > 1 for w in own] for p, own in split.items()}
+    for p in names:
+        own = windows_of(p, window)
+        digests.extend(map(xxhash.xxh3_128_digest, own))
+        lengths.append(len(own))
+    both = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    del digests
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    new = np.r_[True, (both[order[1:]] != both[order[:-1]]).any(axis=1)]
+    weight = np.repeat(np.fromiter(strings.values(), np.int64, len(names)), lengths)[order]
+    often = np.empty(len(order), bool)
+    often[order] = (np.add.reduceat(weight, np.flatnonzero(new)) > 1)[np.cumsum(new) - 1]
+    return {p: flags.tolist() for p, flags in zip(names, np.split(often, np.cumsum(lengths)[:-1]))}
+
+
 def _count(window: int):
     """Counts the windows of each minimiser in the bucket that a partition's blobs, sorted by bucket, belong to."""
 
@@ -215,14 +238,12 @@ def _count(window: int):
             strings = Counter()
             for k in group:
                 strings[packed[k]] += 1 + marked[k]
-            windows, split = Counter(), {p: windows_of(p, window) for p in strings}
-            for p, n in strings.items():
-                if len(strings) > 1 or n > 1:
-                    for w in split[p]:
-                        windows[w] += n
+            if len(strings) == 1 and sum(strings.values()) < 2:
+                continue
+            flags = repeated_windows(strings, window)
             for k in group:
                 if not marked[k]:
-                    for s, c in _flags([windows[w] > 1 for w in split[packed[k]]], start[k]):
+                    for s, c in _flags(flags[packed[k]], start[k]):
                         yield (rid[k], s, c, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -59,3 +60,30 @@ def test_results_with_hot_minimisers(spark):
             if count[tuple(ws[i : i + 35])] > 1:
                 gone[i : i + 35] = True
         assert got[r["doc_id"]] == gone.sum()
+
+
+def test_a_window_has_one_minimiser_wherever_it_is():
+    """In a step of its own and in a long one, at its start, middle and end."""
+    rng = np.random.default_rng(3)
+    window = rng.integers(0, 1 << 32, 35).astype(np.uint64)
+    alone = substring.super_kmers(window, np.array([35]), 35, 5)[2].tolist()
+    for n in (100, 70_000, 600_000):
+        for at in (0, n // 2, n):
+            codes = np.concatenate([rng.integers(0, 1 << 32, at).astype(np.uint64), window, rng.integers(0, 1 << 32, n - at).astype(np.uint64)])
+            firsts, sizes, minis = substring.super_kmers(codes, np.array([len(codes)]), 35, 5)
+            assert minis[(firsts <= at) & (at < firsts + sizes)].tolist() == alone
+
+
+def test_the_leftmost_of_equals():
+    keys = np.array([3, 1, 1, 2, 1, 0, 0, 5], np.uint64)
+    for width in range(1, 9):
+        assert substring.leftmost_least(keys, width).tolist() == [i + int(np.argmin(keys[i : i + width])) for i in range(9 - width)]
+
+
+def test_large_groups_are_counted_like_small_ones(monkeypatch):
+    rng = random.Random(5)
+    strings = Counter(" ".join(rng.choice("abc") for _ in range(rng.randrange(35, 50))).encode() for _ in range(300))
+    strings += Counter({p: 1 for p in list(strings)[:9]})
+    small = substring.repeated_windows(strings, 5)
+    monkeypatch.setattr(substring, "SMALL_GROUP", 0)
+    assert substring.repeated_windows(strings, 5) == small and {x for f in small.values() for x in f} == {True, False}
