@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.shared import written
+from .joins import asof_join
+from .scans import KEY, PART, carried, in_part
 from .select import ranked_values
 
 
@@ -37,53 +41,67 @@ def with_climatology(df: DataFrame, clim: DataFrame, keys: Sequence[str], fallba
     return df.join(clim, list(keys), "left").join(F.broadcast(fallback)).withColumn("clim", F.coalesce("clim", "clim_all")).drop("clim_all")
 
 
-#: Steps of probability that an isotonic fit sees: its knots are no more than these, at any number of rows.
-CELLS = 10_000
+def _pooled(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Blocks (part, low, high, y, n) in order of low, neighbours pooled until means rise: a stack, whose top takes in what does not exceed it."""
+    blocks, stack = blocks.sort_values("low"), []
+    for low, high, y, n in zip(*(blocks[c].tolist() for c in ("low", "high", "y", "n"))):
+        while stack and stack[-1][2] * n >= y * stack[-1][3]:
+            last = stack.pop()
+            low, y, n = last[0], y + last[2], n + last[3]
+        stack.append((low, high, y, n))
+    out = pd.DataFrame(stack, columns=["low", "high", "y", "n"])
+    out.insert(0, "part", blocks["part"].iloc[0])
+    return out
 
 
-def isotonic_knots(df: DataFrame, p: str, y: str, cells: int = CELLS) -> DataFrame:
-    """(x, value) knots of an isotonic fit: the mid-point of each block of equal value; one block gives a flat line over 0..1.
+def isotonic_blocks(df: DataFrame, p: str, y: str) -> DataFrame:
+    """(low, high, y, n): the blocks of an exact isotonic fit of y to p: their range of p, the sum of y and the number of rows; means rise from block to block.
 
-    Rows are averaged by steps of p first, and weighted by their number, so the fit, and what leaves it for the driver, is
-    bounded by the steps. The fit is pyspark.ml's. Rows with a null in p or y are left out.
+    Rows of one p are added up first. Each range of p is pooled by itself; where the last mean of a range is not below the first
+    of the next, the two are pooled again, and so on until all rise: pooling is the same in any order. A task holds
+    the blocks of two ranges, which are few where labels are noisy. Rows with a null in p or y are left out.
     """
-    from pyspark.ml.regression import IsotonicRegression
-
-    spark = df.sparkSession
-    steps = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.floor(F.col(p) * cells).alias("__c"))
-    steps = steps.agg(F.avg(F.col(p).cast("double")).alias("__x"), F.avg(F.col(y).cast("double")).alias("__y"), F.count("*").cast("double").alias("__w"))
-    model = IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w").fit(steps)
-    rows = list(zip((float(x) for x in model.boundaries), (float(v) for v in model.predictions)))
-    table = spark.createDataFrame(rows, "x double, value double")
-    knots = table.groupBy("value").agg(((F.min("x") + F.max("x")) / 2).alias("x")).select("x", "value")
-    if len({v for _, v in rows}) == 1:
+    kind = "part long, low double, high double, y double, n double"
+    cells = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("low")).agg(F.sum(F.col(y).cast("double")).alias("y"), F.count("*").cast("double").alias("n"))
+    cells = cells.sort("low").select(F.spark_partition_id().cast("long").alias("part"), "low", F.col("low").alias("high"), "y", "n")
+    blocks = written(cells.groupBy("part").applyInPandas(_pooled, kind), "blocks")
+    while True:
+        mean = F.col("y") / F.col("n")
+        ranges = blocks.groupBy("part").agg(F.min_by(mean, "low").alias("first"), F.max_by(mean, "low").alias("last"))
+        w = Window.orderBy("part")  # a row for each range
+        ranges = ranges.withColumn("falls", F.coalesce(F.lag("last").over(w) >= F.col("first"), F.lit(False)).cast("int"))
+        ranges = ranges.withColumn("turn", F.row_number().over(w) % 2).withColumn("chain", F.sum(1 - F.col("falls")).over(w))
+        if not ranges.agg(F.sum("falls")).first()[0]:
+            return blocks.drop("part")
+        # of a chain of falling ranges, two and two
+        place = F.row_number().over(Window.partitionBy("chain").orderBy("part")) - 1
+        pairs = ranges.select(F.col("part").alias("old"), F.min("part").over(Window.partitionBy("chain", F.floor(place / 2))).alias("new"))
+        joined = blocks.join(pairs, blocks["part"] == pairs["old"]).select(F.col("new").alias("part"), "low", "high", "y", "n")
+        blocks = written(joined.groupBy("part").applyInPandas(_pooled, kind), "blocks")
+
+
+def isotonic_knots(df: DataFrame, p: str, y: str) -> DataFrame:
+    """(x, value) knots of an isotonic fit: the mid-point of each block; one block gives a flat line over 0..1."""
+    blocks = written(isotonic_blocks(df, p, y), "fit")
+    knots = blocks.select(((F.col("low") + F.col("high")) / 2).alias("x"), (F.col("y") / F.col("n")).alias("value"))
+    if len(blocks.head(2)) == 1:
         knots = knots.select(F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("x"), "value")
     return knots
 
 
-def apply_knots(df: DataFrame, knots: DataFrame, p: str, cells: int = CELLS) -> DataFrame:
-    """df with `calibrated`: straight lines between knots, flat outside; null where p is null.
+def apply_knots(df: DataFrame, knots: DataFrame, p: str, parts: int = 256) -> DataFrame:
+    """df with `calibrated`: straight lines between knots (x, value), flat outside; null where p is null or there are no knots.
 
-    knots: a bounded table, as isotonic_knots gives. It becomes a table of `cells` rows, each with the lines that cross its
-    step of p, so a row looks its line up by its step.
+    Each row meets the knot at or before its p, which carries the next one, by an as-of join over parts of p: any number of knots.
     """
-    points = sorted((r.x, r.value) for r in knots.collect())
-    lines = [(points[i], points[i + 1]) for i in range(len(points) - 1)]
-    flat = [(float("-inf"), points[0][0], points[0][1], 0.0, points[0][0]), (points[-1][0], float("inf"), points[-1][1], 0.0, points[-1][0])]
-    bands = sorted([*flat, *[(a, b, va, (vb - va) / (b - a), a) for (a, va), (b, vb) in lines if b > a]])
-    rows, first = [], 0
-    for c in range(cells + 1):
-        low = float("-inf") if c == 0 else c / cells
-        high = float("inf") if c == cells else (c + 1) / cells
-        while first < len(bands) - 1 and bands[first][1] <= low:
-            first += 1
-        last = first
-        while last < len(bands) and bands[last][0] < high:
-            last += 1
-        rows.append((c, bands[first : max(last, first + 1)]))
-    table = df.sparkSession.createDataFrame(rows, "__c long, __bands array<struct<low: double, high: double, value: double, slope: double, x: double>>")
-    at = F.least(F.lit(cells), F.greatest(F.lit(0), F.floor(F.col(p) * cells)))
-    joined = df.withColumn("__c", F.when(F.col(p).isNotNull(), at)).join(F.broadcast(table), "__c", "left")
-    band = F.get(F.filter("__bands", lambda b: (F.col(p) >= b["low"]) & ((F.col(p) < b["high"]) | (b["high"] == float("inf")))), F.lit(0))
-    out = joined.withColumn("__b", band)
-    return out.withColumn("calibrated", F.col("__b.value") + F.when(F.col("__b.slope") != 0, F.col("__b.slope") * (F.col(p) - F.col("__b.x"))).otherwise(0.0)).select(*df.columns, "calibrated")
+    part = lambda x: F.floor(x * parts)
+    rows = knots.withColumns({KEY: F.struct(F.lit(0).alias("k")), PART: part(F.col("x")), "__knot": F.struct("x", "value")})
+    rows = rows.withColumn("__next", F.lead("__knot").over(in_part("x")))
+    rows = carried(rows, {"__begin": F.min_by("__knot", "x")}, lambda w: {"__after": F.lead("__begin").over(w)})
+    lines = rows.select("x", "value", F.coalesce("__next", "__after").alias("next"))
+    flat = knots.groupBy().agg(F.min_by("value", "x").alias("value")).where("value IS NOT NULL").select(F.lit(float("-inf")).alias("x"), "value", F.lit(None).cast(lines.schema["next"].dataType).alias("next"))
+    lines = lines.unionByName(flat).select(F.lit(0).alias("__one"), F.col("x").alias("__x"), F.col("value").alias("__value"), F.col("next").alias("__line"))
+    joined = asof_join(df.withColumns({"__one": F.lit(0), "__p": F.col(p).cast("double")}), lines, ["__one"], "__p", "__x", ["__value", "__line"], part)
+    slope = (F.col("__line.value") - F.col("__value")) / (F.col("__line.x") - F.col("asof"))
+    value = F.when(F.col("__line").isNull(), F.col("__value")).otherwise(F.col("__value") + slope * (F.col("__p") - F.col("asof")))
+    return joined.select(*df.columns, F.when(F.col("__p").isNotNull(), value).alias("calibrated"))

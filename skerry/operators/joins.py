@@ -68,9 +68,48 @@ def lagged(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, va
     return left.withColumn("__back", back).join(r, [*on, F.col("__back") == r["__time"]], "left").select(*left.columns, name)
 
 
-def range_join(points: DataFrame, bands: DataFrame, value: str, low: str, high: str) -> DataFrame:
-    """points with the band that low <= value < high; bands is a small table of known size, one row for each band."""
-    return points.join(F.broadcast(bands), (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
+#: Edges of bands that an expression holds; more are an as-of join.
+EDGES = 4_096
+
+
+def last_at_most(edges: Sequence[float], value: Column) -> Column:
+    """Place (from 0) of the last of the sorted edges that is not above the value, by halving; null below the first and for a null value."""
+    held = F.array(*map(F.lit, edges))
+    start = F.struct(F.lit(0).alias("a"), F.lit(len(edges)).alias("b"))
+
+    def halve(s: Column, _: Column) -> Column:
+        m = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        low = F.get(held, m) <= value
+        return F.when(s["b"] - s["a"] <= 1, s).otherwise(F.struct(F.when(low, m).otherwise(s["a"]).alias("a"), F.when(low, s["b"]).otherwise(m).alias("b")))
+
+    turns = F.sequence(F.lit(1), F.lit(max(1, len(edges).bit_length())))
+    return F.when(value >= F.lit(edges[0]), F.aggregate(turns, start, halve, lambda s: s["a"]))
+
+
+def range_join(points: DataFrame, bands: DataFrame, value: str, low: str, high: str, how: str = "inner") -> DataFrame:
+    """points with the bands that low <= value < high, each of them; how="left" keeps points that are in none.
+
+    The edges of all bands cut the numbers into pieces, and each piece knows its bands. A point finds its piece by
+    halving over the sorted edges, or, where these are many, by an as-of join; then the join is one of equals. Bands
+    with a null edge hold nothing.
+    """
+    own = bands.where(F.col(low) < F.col(high)).withColumns({"__low": F.col(low).cast("double"), "__high": F.col(high).cast("double")})
+    ends = own.select(F.explode(F.array("__low", "__high")).alias("__edge")).distinct()
+    known = sorted(r[0] for r in ends.limit(EDGES + 1).collect())
+    v = F.col(value).cast("double")
+    if not known:
+        found, pieces = points.withColumn("__piece", F.lit(None).cast("double")), own.withColumn("__at", F.lit(0.0))
+    elif len(known) <= EDGES:
+        found = points.withColumn("__piece", last_at_most(known, v).cast("double"))
+        numbers = [last_at_most(known, F.col(c)) for c in ("__low", "__high")]
+        pieces = own.withColumn("__at", F.explode(F.transform(F.sequence(numbers[0], numbers[1] - 1), lambda i: i.cast("double"))))
+    else:
+        number = ends.withColumns({"__piece": F.row_number().over(Window.orderBy("__edge")).cast("double"), "__one": F.lit(0)})
+        found = asof_join(points.withColumns({"__one": F.lit(0), "__v": v}), number, ["__one"], "__v", "__edge", ["__piece"], lambda x: F.floor(F.log2(1 + F.abs(x)) * F.signum(x) * 16)).drop("asof", "__one", "__v")
+        at = lambda name: number.select(F.col("__edge").alias(name), F.col("__piece").alias(f"{name}_no"))
+        pieces = own.join(at("__low"), "__low").join(at("__high"), "__high")
+        pieces = pieces.withColumn("__at", F.explode(F.transform(F.sequence(F.col("__low_no").cast("long"), F.col("__high_no").cast("long") - 1), lambda i: i.cast("double")))).drop("__low_no", "__high_no")
+    return found.join(pieces, F.col("__piece") == F.col("__at"), how).drop("__piece", "__at", "__low", "__high")
 
 
 def common_to_all(df: DataFrame, by: Sequence[str], member: str, members: int) -> DataFrame:

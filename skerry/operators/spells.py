@@ -47,54 +47,64 @@ def start_curve(starts: DataFrame, keys: Sequence[str], weight: str, total: str)
     return starts.withColumn("share", F.try_divide(F.col(weight) * F.col(total), whole))
 
 
-def simulated_windows(days: DataFrame, keys: Sequence[str], hours: int, lengths: Sequence[int], draws: int, corr: Sequence[Sequence[float]], p: str = "p", seed: int = 1) -> DataFrame:
-    """(keys, window, probability): the share of draws of a day's hours with a dry run of each length.
-
-    days: one row for each key, with an array p of `hours` wet probabilities. A draw's hours are normals with the given
-    correlation; hour h is wet where its normal is under the quantile of p[h]. The normals come from hashes of key, draw
-    and hour, so that every run repeats them. Each draw is a row of its own, wherever its day's other draws are.
-    """
-    import numpy as np
-
-    low = np.linalg.cholesky(np.asarray(corr, float) + 1e-9 * np.eye(hours))  # hours x hours, on the driver
-    drawn = days.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-
-    def uniform(h: int, salt: int):
-        return (F.pmod(F.xxhash64(*keys, "__draw", F.lit(h), F.lit(salt + seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
-    normals = [F.sqrt(-2 * F.log(uniform(h, 11))) * F.cos(2 * np.pi * uniform(h, 23)) for h in range(hours)]
-    drawn = drawn.withColumn("__z", F.array(*normals))
-    z = [sum((F.col("__z")[j] * float(low[h, j]) for j in range(h + 1)), F.lit(0.0)) for h in range(hours)]
-    # the normal distribution by a logistic of a cubic, good to 2e-4
-    below = [1 / (1 + F.exp(-(1.5976 * x + 0.07056 * x * x * x))) for x in z]
-    wet = F.transform(F.arrays_zip(F.array(*below).alias("u"), F.col(p).alias("q")), lambda s: s["u"] < s["q"])
-    run = F.aggregate(wet, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, w: F.struct(F.when(w, 0).otherwise(a["now"] + 1).alias("now"), F.greatest(a["best"], F.when(w, 0).otherwise(a["now"] + 1)).alias("best")), lambda a: a["best"])
-    longest = drawn.withColumn("__run", run)
-    return longest.withColumn("window", F.explode(F.array(*map(F.lit, lengths)))).groupBy(*keys, "window").agg(F.avg((F.col("__run") >= F.col("window")).cast("double")).alias("probability"))
-
-
-def exact_windows(days: DataFrame, keys: Sequence[str], hours: int, lengths: Sequence[int], start_of: int, rho: float, p: str = "p") -> DataFrame:
-    """(keys, p_<w>, longest_mean, start_<h>): chance of a dry run of each length, mean of the longest dry run, and chance that the first run of `start_of` hours begins at each hour.
+def exact_windows(days: DataFrame, keys: Sequence[str], hours: int, lengths: Sequence[int], start_of: int, rho: float | str, p: str = "p", quantiles: Sequence[float] = ()) -> DataFrame:
+    """(keys, p_<w>, longest_mean, longest_q<percent>, start_<h>): chance of a dry run of each length, mean and quantiles of the longest dry run, and chance that the first run of `start_of` hours begins at each hour.
 
     days: one row a key with an array p of `hours` wet probabilities. Hours are a chain of two states in which neighbours
-    correlate by rho, as far as their probabilities allow. Nothing is drawn: each day meets all 2 ** hours outcomes, and
-    their probabilities are added up. Days with another number of hours, or a null among them, are left out.
+    correlate by rho (a number or a column), as far as their probabilities allow. Nothing is drawn and no outcome is listed: a
+    fold over a day's hours carries the chances of (dry hours up to now, longest so far), some hours squared of them. Days with
+    another number of hours, or a null among them, are left out; a null rho is 0.
     """
     sound = days.where((F.size(p) == hours) & F.forall(p, lambda x: x.isNotNull()))
-    q = [F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col(p)[h])) for h in range(hours)]
-    names = [f"__q{h}" for h in range(hours)]
-    rows = sound.select(*keys, *[c.alias(n) for c, n in zip(q, names)]).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(2**hours - 1))))
-    wet = [F.shiftright("__s", h).bitwiseAND(F.lit(1)) == 1 for h in range(hours)]
+    r = F.coalesce(F.col(rho), F.lit(0.0)) if isinstance(rho, str) else F.lit(float(rho))
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    chance = F.when(wet[0], F.col(names[0])).otherwise(1 - F.col(names[0]))
-    for h in range(1, hours):
-        a, b = F.col(names[h]), F.col(names[h - 1])
-        spread = rho * F.sqrt(a * (1 - a))
-        given = F.when(wet[h - 1], clamp(a + spread * F.sqrt((1 - b) / b))).otherwise(clamp(a - spread * F.sqrt(b / (1 - b))))
-        chance = chance * F.when(wet[h], given).otherwise(1 - given)
-    run = F.aggregate(F.array(*wet), F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, w: F.struct(F.when(w, 0).otherwise(a["now"] + 1).alias("now"), F.greatest(a["best"], F.when(w, 0).otherwise(a["now"] + 1)).alias("best")), lambda a: a["best"])
-    dry_from = [sum((w.cast("int") for w in wet[h + 1 : h + start_of]), wet[h].cast("int")) == 0 for h in range(hours - start_of + 1)]
-    first = F.coalesce(*[F.when(c, h) for h, c in enumerate(dry_from)])
-    out = rows.withColumns({"__p": chance, "__run": run, "__first": first})
-    add = lambda c, name: F.sum(F.when(c, F.col("__p")).otherwise(0.0)).alias(name)
-    return out.groupBy(*keys).agg(*[add(F.col("__run") >= w, f"p_{w}") for w in lengths], F.sum(F.col("__p") * F.col("__run")).alias("longest_mean"), *[add(F.col("__first") == h, f"start_{h}") for h in range(hours - start_of + 1)])
+
+    def given(a, b):
+        """Chance that an hour is wet after a wet one and after a dry one."""
+        spread = F.col("__r") * F.sqrt(a * (1 - a))
+        return F.struct(clamp(a + spread * F.sqrt((1 - b) / b)).alias("wet"), clamp(a - spread * F.sqrt(b / (1 - b))).alias("dry"))
+
+    bounded = sound.withColumns({"__q": F.transform(p, lambda x: F.least(F.lit(0.99), F.greatest(F.lit(0.01), x.cast("double")))), "__r": r.cast("double")})
+    rows = bounded.withColumn("__steps", F.zip_with(F.slice("__q", 2, hours), F.slice("__q", 1, hours - 1), given) if hours > 1 else F.array().cast("array<struct<wet: double, dry: double>>"))
+    side, first = hours + 1, F.col("__q")[0]
+    total = lambda places, of: F.aggregate(places, F.lit(0.0), lambda acc, k: acc + of(k))
+    after = lambda step, now: F.when(now == 0, step["wet"]).otherwise(step["dry"])
+
+    def lengthened(chances, step):
+        """chances[now * side + best], an hour on: a wet hour leaves best, a dry one may raise it."""
+
+        def cell(k):
+            now, best = F.floor(k / side).cast("int"), k % side
+            dries = 1 - after(step, now - 1)
+            wets = F.get(chances, best) * step["wet"] + total(F.sequence(F.lit(1), F.lit(hours)), lambda n: F.get(chances, n * side + best)) * step["dry"]
+            raised = total(F.sequence(F.lit(0), now), lambda b: F.get(chances, (now - 1) * side + b)) * dries
+            return F.when(now == 0, wets).when(best > now, F.get(chances, (now - 1) * side + best) * dries).when(best == now, raised).otherwise(0.0)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell)
+
+    def begun(state, step):
+        """Chances of dry hours up to now, below start_of, with no such run so far; and for each hour that one is reached."""
+        wets = F.get(state["now"], F.lit(0)) * step["wet"] + total(F.sequence(F.lit(1), F.lit(start_of)), lambda n: F.coalesce(F.get(state["now"], n), F.lit(0.0))) * step["dry"]
+        dries = F.transform(state["now"], lambda x, n: x * (1 - after(step, n)))
+        return F.struct(F.concat(F.array(wets), F.slice(dries, 1, start_of - 1)).alias("now"), F.concat(state["hit"], F.array(F.get(dries, F.lit(start_of - 1)))).alias("hit"))
+
+    initial = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.when(k == 0, first).when(k == side + 1, 1 - first).otherwise(0.0))
+    waiting = F.slice(F.concat(F.array(first, 1 - first), F.array_repeat(F.lit(0.0), start_of)), 1, start_of)
+    hits = F.aggregate("__steps", F.struct(waiting.alias("now"), F.array(1 - first if start_of == 1 else F.lit(0.0)).alias("hit")), begun, lambda s: s["hit"])
+    rows = rows.withColumns({"__end": F.aggregate("__steps", initial, lengthened), "__hits": hits})
+    rows = rows.withColumn("__best", F.transform(F.sequence(F.lit(0), F.lit(hours)), lambda b: total(F.sequence(F.lit(0), F.lit(hours)), lambda n: F.get("__end", n * side + b))))
+    below = lambda b: total(F.slice("__best", 1, b + 1), lambda x: x)
+    return rows.select(
+        *keys, *[total(F.slice("__best", w + 1, hours + 1), lambda x: x).alias(f"p_{w}") for w in lengths], total(F.transform("__best", lambda x, b: x * b), lambda x: x).alias("longest_mean"),
+        *[F.coalesce(*[F.when(below(b) >= q, b) for b in range(hours)], F.lit(hours)).alias(f"longest_q{round(100 * q)}") for q in quantiles],
+        *[F.get("__hits", F.lit(h + start_of - 1)).alias(f"start_{h}") for h in range(hours - start_of + 1)],
+    )
+
+
+def neighbour_correlation(hourly: DataFrame, keys: Sequence[str], hour: str, value: str, wet: float) -> DataFrame:
+    """(keys, rho): correlation of wet and dry between an hour and the one before it, within 0 to 0.95; 0 where all are alike. hourly: one row an hour, of the hours of interest."""
+    w = Window.partitionBy(*keys, F.to_date(hour)).orderBy(hour)
+    is_wet = (F.col(value) >= wet).cast("double")
+    last = F.when(F.timestamp_diff("HOUR", F.lag(hour).over(w), F.col(hour)) == 1, F.lag(is_wet).over(w))
+    fit = hourly.select(*keys, is_wet.alias("__now"), last.alias("__last")).where("__last IS NOT NULL").groupBy(*keys).agg(F.corr("__now", "__last").alias("__c"))
+    return fit.select(*keys, F.coalesce(F.least(F.lit(0.95), F.greatest(F.lit(0.0), F.when(~F.isnan("__c"), F.col("__c")))), F.lit(0.0)).alias("rho"))

@@ -107,10 +107,10 @@ def curves(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-@query("fn16_condition_curves", CURVES_SQL + " SELECT station, hour, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("friction", "dew", "salt", "wet", "comfort", "breeze")) + " FROM c")
+@query("fn16_condition_curves", CURVES_SQL + " SELECT station, hour, " + ", ".join(f"round({c}, 9) AS {c}" for c in ("friction", "dew", "salt", "wet", "comfort", "breeze")) + " FROM c")
 def fn16_full(spark: SparkSession, d: str) -> DataFrame:
     names = ("friction", "dew", "salt", "wet", "comfort", "breeze")
-    return rounded(curves(spark, d).select("station", "hour", *names), *names)
+    return curves(spark, d).select("station", "hour", *[F.round(n, 9).alias(n) for n in names])
 
 
 @query("drv2_gates_and_tiers", CURVES_SQL + """, f AS (SELECT station, hour, CASE WHEN hour(hour) < 6 OR hour(hour) >= 21 THEN 'dark' WHEN p >= 0.5 THEN 'rain' WHEN film >= 0.2::DOUBLE THEN 'soaked' END AS gate, [friction * salt, dew, comfort, breeze, least(1 - p, wet)] AS s FROM c),
@@ -200,7 +200,7 @@ def ts6_full(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ts4_rich_wet_composed", TRAIL72_SQL + ", w AS (SELECT station, valid, lead, max(run) AS run, " + ", ".join(f"max(x) FILTER (model = '{m}') AS {m}, max(event_id % 97) FILTER (model = '{m}') AS {m}_humidity, max(event_id * 7 % 101) FILTER (model = '{m}') AS {m}_pressure" for m in MODELS) + """ FROM latest GROUP BY ALL),
 sl AS (SELECT station, valid, avg(slope) AS slope FROM (SELECT station, valid, model, regr_slope(x, lead) AS slope FROM latest WHERE lead > 24 GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL)
-SELECT w.*, round(sl.slope, 6) AS slope, round(sum_24, 6) AS sum_24, wet_24, round(sum_72, 6) AS sum_72, wet_72, dry_hours, CAST(y >= 45 AS INT) AS wet FROM w JOIN truth USING (station, valid) LEFT JOIN tr ON tr.station = w.station AND tr.hour = w.run LEFT JOIN sl ON sl.station = w.station AND sl.valid = w.valid""")
+SELECT w.*, round(sl.slope, 9) AS slope, round(sum_24, 6) AS sum_24, wet_24, round(sum_72, 6) AS sum_72, wet_72, dry_hours, CAST(y >= 45 AS INT) AS wet FROM w JOIN truth USING (station, valid) LEFT JOIN tr ON tr.station = w.station AND tr.hour = w.run LEFT JOIN sl ON sl.station = w.station AND sl.valid = w.valid""")
 def ts4_full(spark: SparkSession, d: str) -> DataFrame:
     """Wet table with humidity and pressure of each model, what the gauge had seen when the run began, and the slope over longer leads."""
     cells = dd.latest(fcst(spark, d), CELL, ["run", "event_id"]).withColumns({"humidity": F.col("event_id") % 97, "pressure": F.col("event_id") * 7 % 101})
@@ -210,7 +210,7 @@ def ts4_full(spark: SparkSession, d: str) -> DataFrame:
     slopes = slopes.groupBy("station", "valid").agg(F.avg("slope").alias("slope"))
     w = w.join(truth(spark, d).withColumn("wet", (F.col("y") >= WET).cast("int")).drop("y"), ["station", "valid"])
     w = w.join(trails(spark, d).withColumnRenamed("hour", "run"), ["station", "run"], "left").join(slopes, ["station", "valid"], "left")
-    return rounded(w, "slope", "sum_24", "sum_72")
+    return rounded(w.withColumn("slope", F.round("slope", 9)), "sum_24", "sum_72")
 
 
 @query("ts8_tiers_and_leads", """, f AS (SELECT *, date_diff('hour', run, valid) AS age FROM fcst WHERE hour(valid) IN (0, 12) AND (model <> 'view' OR hour(run) IN (0, 6, 12, 18)) AND (model <> 'signup' OR (date_diff('hour', run, valid) IN (24, 48) AND hour(run) IN (0, 6, 12, 18)))),
@@ -363,13 +363,31 @@ def _dry_sql(start: int, length: int) -> str:
 
 @query("run8_exact_windows", ", h AS (SELECT station, CAST(hour AS DATE) AS day, list(least(0.99::DOUBLE, greatest(0.01::DOUBLE, v / (v + 50))) ORDER BY hour) AS q FROM hourly WHERE hour(hour) BETWEEN 9 AND 14 GROUP BY ALL HAVING count(*) = 6), o AS (SELECT *, " + _chain_sql(6, 0.5) + " AS p FROM h, range(64) r(s)) SELECT station, day, " + ", ".join(f"round(sum(p) FILTER ({' OR '.join(_dry_sql(k, w) for k in range(7 - w))}), 6) AS p_{w}" for w in (2, 3, 4)) + ", round(" + " + ".join(f"coalesce(sum(p) FILTER ({' OR '.join(_dry_sql(k, w) for k in range(7 - w))}), 0)" for w in range(1, 7)) + ", 6) AS longest_mean, " + ", ".join(f"round(sum(p) FILTER ({_dry_sql(k, 3)}" + "".join(f" AND NOT {_dry_sql(j, 3)}" for j in range(k)) + f"), 6) AS start_{k}" for k in range(4)) + " FROM o GROUP BY ALL")
 def run8_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Dry windows by exact chances, all 64 outcomes of a day's six hours being added up: no draws."""
+    """Dry windows by exact chances, folded over a day's six hours: no draws. The twin adds up all 64 outcomes."""
     i = hourly(spark, d).where(F.hour("hour").between(9, 14)).withColumn("day", F.to_date("hour"))
     days = i.groupBy("station", "day").agg(F.array_sort(F.collect_list(F.struct("hour", (F.col("v") / (F.col("v") + 50)).alias("q")))).alias("hs"))
     out = sp.exact_windows(days.select("station", "day", F.col("hs.q").alias("p")), ["station", "day"], 6, (2, 3, 4), 3, 0.5)
     return rounded(out, *[c for c in out.columns if c not in ("station", "day")])
 
 
+def _longest_sql(hours: int) -> str:
+    """The longest dry run of outcome s, by trying lengths from the top."""
+    return "CASE " + " ".join(f"WHEN {' OR '.join(_dry_sql(k, w) for k in range(hours + 1 - w))} THEN {w}" for w in range(hours, 0, -1)) + " ELSE 0 END"
+
+
+QUANTILE_SQL = lambda name, q: f"min(best) FILTER (below >= {q}::DOUBLE) AS {name}"
+
+
+@query("run8_fitted_windows", ", i AS (SELECT *, CAST(hour AS DATE) AS day FROM hourly WHERE hour(hour) BETWEEN 8 AND 16), l AS (SELECT station, CAST(v >= 45 AS DOUBLE) AS now, CASE WHEN date_diff('hour', lag(hour) OVER w, hour) = 1 THEN lag(CAST(v >= 45 AS DOUBLE)) OVER w END AS before FROM i WINDOW w AS (PARTITION BY station, day ORDER BY hour)), c AS (SELECT station, coalesce(least(0.95::DOUBLE, greatest(0, corr(now, before))), 0) AS rho FROM l WHERE before IS NOT NULL GROUP BY 1), h AS (SELECT station, day, list(least(0.99::DOUBLE, greatest(0.01::DOUBLE, v / (v + 50))) ORDER BY hour) AS q FROM i GROUP BY ALL HAVING count(*) = 9), o AS (SELECT station, day, rho, s, " + _chain_sql(9, "rho") + " AS p, " + _longest_sql(9) + " AS best FROM h JOIN c USING (station), range(512) r(s)), b AS (SELECT station, day, rho, best, sum(p) AS p FROM o GROUP BY ALL), a AS (SELECT *, sum(p) OVER (PARTITION BY station, day ORDER BY best) AS below FROM b) SELECT station, day, round(any_value(rho), 6) AS rho, round(coalesce(sum(p) FILTER (best >= 3), 0), 6) AS p_3, round(coalesce(sum(p) FILTER (best >= 5), 0), 6) AS p_5, round(sum(p * best), 6) AS longest_mean, " + QUANTILE_SQL("longest_q25", 0.25) + ", " + QUANTILE_SQL("longest_q50", 0.5) + ", " + QUANTILE_SQL("longest_q90", 0.9) + " FROM a GROUP BY station, day")
+def run8_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """Nine hours a day, with the correlation of neighbouring hours that each station's readings have, and quantiles of the longest dry run."""
+    i = hourly(spark, d).where(F.hour("hour").between(8, 16))
+    rho = sp.neighbour_correlation(i, ["station"], "hour", "v", WET)
+    days = i.groupBy("station", F.to_date("hour").alias("day")).agg(F.array_sort(F.collect_list(F.struct("hour", (F.col("v") / (F.col("v") + 50)).alias("q")))).alias("hs")).join(rho, "station")
+    out = sp.exact_windows(days.select("station", "day", "rho", F.col("hs.q").alias("p")), ["station", "day", "rho"], 9, (3, 5), 3, "rho", quantiles=(0.25, 0.5, 0.9))
+    return rounded(out.select("station", "day", "rho", "p_3", "p_5", "longest_mean", "longest_q25", "longest_q50", "longest_q90"), "rho", "p_3", "p_5", "longest_mean")
+
+
 #: In place of the published coefficients, which are a parameter: some for every monomial, so that all of them are reached.
 INDEX = [((i * 37) % 101 - 50) / 50 / 10.0 ** (a + b + c + 2 * e) for i, (a, b, c, e) in enumerate(we.exponents(4, 6))]
 

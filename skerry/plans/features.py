@@ -180,16 +180,6 @@ def run7(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("a", "b", "window").agg(F.count("*").alias("n"), F.count_if(F.col("has_a") == F.col("has_b")).alias("agree"), F.count_if((F.col("has_a") == 1) & (F.col("has_b") == 0)).alias("only_first"))
 
 
-@query("run8_simulated_windows")
-def run8(spark: SparkSession, d: str) -> DataFrame:
-    """Share of simulated days with a dry run; neighbouring hours correlate at 0.5 to the power of their distance."""
-    i = hourly(spark, d).where(F.hour("hour").between(9, 14)).withColumn("day", F.to_date("hour"))
-    days = i.groupBy("station", "day").agg(F.array_sort(F.collect_list(F.struct(F.hour("hour").alias("h"), (F.col("v") / (F.col("v") + 50)).alias("q")))).alias("hs")).where(F.size("hs") == 6)
-    days = days.select("station", "day", F.col("hs.q").alias("p"))
-    corr = [[0.5 ** abs(a - b) for b in range(6)] for a in range(6)]
-    return sp.simulated_windows(days, ["station", "day"], 6, (2, 3, 4), 200, corr)
-
-
 @query("run9_start_curve", DAY_SQL + """, s AS (SELECT station, day, h, v / (v + 50) AS p FROM i JOIN whole USING (station, day)) SELECT station, day, CAST(h AS INT) AS h, round((1 - p) * 0.8 / nullif(sum(1 - p) OVER (PARTITION BY station, day), 0), 6) AS share FROM s""")
 def run9(spark: SparkSession, d: str) -> DataFrame:
     i = hourly(spark, d).where(F.hour("hour").between(9, 14)).select("station", F.to_date("hour").alias("day"), F.hour("hour").alias("h"), (1 - F.col("v") / (F.col("v") + 50)).alias("weight"), F.lit(0.8).alias("total"))

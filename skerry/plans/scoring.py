@@ -201,10 +201,18 @@ def cal3(spark: SparkSession, d: str) -> DataFrame:
     return cal.conformal_tag(p, cal.conformal_thresholds(p, keys, "p", "wet", 0.1), keys, "p").groupBy("version", "lead", "tag").agg(F.count("*").alias("n"))
 
 
-@query("cal1_isotonic")
+@query("cal1_isotonic", """, cells AS (SELECT p AS x, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS w FROM prob GROUP BY 1),
+pre AS (SELECT x, s, w, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM cells),
+ab AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM pre a JOIN pre b ON b.i >= a.i),
+mi AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS m FROM ab),
+fit AS (SELECT i, round(max(m), 12) AS value FROM mi GROUP BY 1), kn AS (SELECT (min(x) + max(x)) / 2 AS x, value FROM fit JOIN pre USING (i) GROUP BY value),
+ln AS (SELECT x, value, lead(x) OVER (ORDER BY x) AS nx, lead(value) OVER (ORDER BY x) AS nv FROM kn),
+j AS (SELECT prob.*, ln.x AS lx, ln.value, nx, nv FROM prob ASOF LEFT JOIN ln ON prob.p >= ln.x)
+SELECT id, p, y, round(CASE WHEN lx IS NULL THEN (SELECT min_by(value, x) FROM kn) WHEN nx IS NULL THEN value ELSE value + (nv - value) * (p - lx) / (nx - lx) END, 9) AS calibrated FROM j""")
 def cal1(spark: SparkSession, d: str) -> DataFrame:
+    """The twin has each value as the largest of the least means over stretches around it."""
     p = prob(spark, d)
-    return rounded(cal.apply_knots(p, cal.isotonic_knots(p, "p", "y"), "p"), "calibrated")
+    return cal.apply_knots(p, cal.isotonic_knots(p, "p", "y"), "p").withColumn("calibrated", F.round("calibrated", 9))
 
 
 @query("cal4_logistic_calibration")
@@ -296,7 +304,7 @@ LEFT JOIN (VALUES (0, 30, 24), (30, 54, 48)) b(low, high, use) ON p.hours >= b.l
 def pool7(spark: SparkSession, d: str) -> DataFrame:
     p = pred(spark, d).withColumn("hours", F.timestamp_diff("HOUR", F.col("made"), F.col("valid")))
     bands = pred(spark, d).select("lead").distinct().where("lead <= 48").select((F.col("lead") - F.when(F.col("lead") == 24, 24).otherwise(18)).alias("low"), (F.col("lead") + 6).alias("high"), F.col("lead").alias("use"))
-    joined = p.join(F.broadcast(bands), (F.col("hours") >= F.col("low")) & (F.col("hours") < F.col("high")), "left")
+    joined = jn.range_join(p, bands, "hours", "low", "high", "left")
     return rounded(joined.groupBy("version", "station", "valid", F.coalesce("use", F.lit(72)).alias("use")).agg(F.avg("p").alias("p")), "p")
 
 

@@ -71,14 +71,6 @@ def test_a_missing_hour_drops_the_day(spark):
     assert sp.daily_spells(day(spark, set(), [h for h in range(24) if h != 3]), ["k"], "hour", "v", 0.1, 9, 9).count() == 1
 
 
-def test_simulated_windows_fall_with_length(spark):
-    days = spark.createDataFrame([(1, [0.3] * 6), (2, [0.0] * 6), (3, [1.0] * 6)], "k int, p array<double>")
-    got = sp.simulated_windows(days, ["k"], 6, (2, 3, 4, 6), 400, [[0.6 ** abs(a - b) for b in range(6)] for a in range(6)])
-    by = {(r.k, r.window): r.probability for r in got.collect()}
-    assert all(by[2, n] == 1 and by[3, n] == 0 for n in (2, 3, 4, 6))
-    assert by[1, 2] >= by[1, 3] >= by[1, 4] >= by[1, 6] > 0.1
-
-
 def test_smaller_lead_or_freshest(spark):
     df = spark.createDataFrame([(1, 24, 5, "a"), (1, 48, 9, "b")], "valid int, lead int, made int, x string")
     assert dd.latest_per_valid(df, ["valid"]).first().x == "a"
