@@ -86,4 +86,4 @@ def test_large_groups_are_counted_like_small_ones(monkeypatch):
     strings += Counter({p: 1 for p in list(strings)[:9]})
     small = substring.repeated_windows(strings, 5)
     monkeypatch.setattr(substring, "SMALL_GROUP", 0)
-    assert substring.repeated_windows(strings, 5) == small and {x for f in small.values() for x in f} == {True, False}
+    assert substring.repeated_windows(strings, 5) == small and any(map(any, small.values()))
