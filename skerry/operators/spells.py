@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.weather import day_range_utc
 from .scans import dry_by_and_wet_since, islands  # noqa: F401
 
 
@@ -22,6 +23,27 @@ def daily_spells(hourly: DataFrame, keys: Sequence[str], hour: str, value: str,
     return whole.join(longest, [*keys, "day"], "left").withColumn("longest", F.coalesce("longest", F.lit(0)))
 
 
+def local_day_spells(hourly: DataFrame, keys: Sequence[str], hour: str, value: str, wet: float, zone: str, start: int, end: int) -> DataFrame:
+    """(keys, day, state, dry_hours, longest) for each day of the zone that a key has an hour of: from `start` to `end` by its clocks.
+
+    A table of days holds each one's first and last hour in UTC, which summer time moves. state: whole; other length, where the clocks
+    change inside the range; hours missing, where an hour or its value is. Only whole days have dry hours and a longest
+    dry run, which never crosses midnight. hourly: UTC, one row for each key and hour.
+    """
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(hour))
+    rows = hourly.withColumn("day", F.to_date(local))
+    days = rows.select("day").where("day IS NOT NULL").distinct()  # a row for each date
+    days = days.select("day", *day_range_utc(F.col("day"), zone, start, end))
+    inside = rows.join(days, "day").withColumn("__in", (F.col(hour) >= F.col("utc_start")) & (F.col(hour) < F.col("utc_end")) & F.col(value).isNotNull())
+    inside = inside.withColumn("__dry", F.col("__in") & (F.col(value) < wet))
+    whole = inside.groupBy(*keys, "day").agg(F.count_if("__in").alias("__n"), F.count_if("__dry").alias("__d"), F.first("utc_hours").alias("__h"))
+    runs = islands(inside, [*keys, "day"], hour, "__dry", 3600, short=True).groupBy(*[F.col(k).alias(f"__k_{k}") for k in (*keys, "day")]).agg(F.max("n").alias("__longest"))
+    out = whole.join(runs, [whole[k].eqNullSafe(runs[f"__k_{k}"]) for k in (*keys, "day")], "left")
+    state = F.when(F.col("__h") != end - start, "other length").when(F.col("__n") != F.col("__h"), "hours missing").otherwise("whole")
+    only = lambda c: F.when(F.col("state") == "whole", c)
+    return out.withColumn("state", state).select(*keys, "day", "state", only(F.col("__d")).alias("dry_hours"), only(F.coalesce("__longest", F.lit(0))).alias("longest"))
+
+
 def windows_of(spells: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """(.., window, has): whether a day has a dry run of each length."""
     return spells.withColumn("window", F.explode(F.array(*map(F.lit, lengths)))).withColumn("has", (F.col("longest") >= F.col("window")).cast("int"))

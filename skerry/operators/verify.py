@@ -110,3 +110,24 @@ def histogram(value: Column, bins: int) -> Column:
 def pool_bins(column: str, bins: int) -> Column:
     """Element-wise sums of arrays of counts."""
     return F.array(*[F.sum(F.col(column)[i]) for i in range(bins)])
+
+
+def with_origins(cells: DataFrame, keys: Sequence[str], member: str, members: Sequence[str], value: str, run: str) -> DataFrame:
+    """(keys, <member>): a struct of value and run for each member, null where it has no value. cells: a row for each key and member."""
+    top = lambda m, c: F.max(F.when((F.col(member) == m) & F.col(value).isNotNull(), F.col(c)))
+    wide = cells.groupBy(*keys).agg(*[c for m in members for c in (top(m, value).alias(f"__v_{m}"), top(m, run).alias(f"__r_{m}"))])
+    return wide.select(*keys, *[F.when(F.col(f"__v_{m}").isNotNull(), F.struct(F.col(f"__v_{m}").alias("value"), F.col(f"__r_{m}").alias("run"))).alias(m) for m in members])
+
+
+def combined(wide: DataFrame, keys: Sequence[str], versions: dict[str, tuple[Sequence[str], bool]]) -> DataFrame:
+    """(keys, version, f, made, parts): the mean of each version's members, the newest run that it is made of, and how many members it had.
+
+    versions: for each its members, and whether all are needed; a version with none, or without one that it needs, has no row.
+    """
+    rows = []
+    for name, (members, every) in versions.items():
+        have = F.array_compact(F.array(*members))
+        mean = F.aggregate(have, F.lit(0.0), lambda a, m: a + m["value"]) / F.size(have)
+        enough = F.size(have) >= (len(members) if every else 1)
+        rows.append(F.when(enough, F.struct(F.lit(name).alias("version"), mean.alias("f"), F.array_max(F.transform(have, lambda m: m["run"])).alias("made"), F.size(have).alias("parts"))))
+    return wide.select(*keys, F.explode(F.array_compact(F.array(*rows))).alias("__c")).select(*keys, "__c.*")

@@ -10,7 +10,7 @@ from .basics import CELL, ROLLING, rounded
 from .features import DAY_SQL, spells
 from .registry import query
 from .scoring import QUANTILES_SQL, members
-from .views import WET, fcst, hourly, pred, truth
+from .views import MODELS, WET, fcst, hourly, pred, truth
 
 
 def cdf_sql(z: str) -> str:
@@ -193,3 +193,49 @@ def cal4_apply(spark: SparkSession, d: str) -> DataFrame:
     """A stored logistic curve over log amounts."""
     z = -4.0 + 0.7 * F.log1p(F.col("f") / 0.1)
     return pred(spark, d).select("station", "lead", "valid", "version", F.round(1 / (1 + F.exp(-z)), 6).alias("p"))
+
+
+VERSIONS = {"all": (MODELS, False), "pair": (("click", "error"), True), "view": (("view",), True)}
+VERSIONS_SQL = """, c AS (SELECT station, lead, valid, 'all' AS version, avg(x) AS f, max(run) AS made FROM latest GROUP BY ALL UNION ALL SELECT station, lead, valid, 'pair', avg(x), max(run) FROM latest WHERE model IN ('click', 'error') GROUP BY ALL HAVING count(DISTINCT model) = 2
+UNION ALL SELECT station, lead, valid, 'view', x, run FROM latest WHERE model = 'view'), j AS (SELECT c.*, t.y, p.y AS before, r.x AS ref FROM c JOIN truth t USING (station, valid) LEFT JOIN truth p ON p.station = c.station AND p.valid = c.valid - to_hours(c.lead) LEFT JOIN latest r ON r.station = c.station AND r.valid = c.valid AND r.lead = c.lead AND r.model = 'view')"""
+
+
+def versions(spark: SparkSession, d: str) -> DataFrame:
+    """Combined forecasts with the newest run that they are made of, beside truth, what was true a lead before, and the reference source."""
+    keys = ["station", "lead", "valid"]
+    wide = vf.with_origins(dd.latest(fcst(spark, d), CELL, ["run", "event_id"]), keys, "model", MODELS, "x", "run")
+    c = vf.combined(wide.withColumn("ref", F.col("view.value")), [*keys, "ref"], VERSIONS).join(truth(spark, d), ["station", "valid"])
+    return jn.lagged(c, truth(spark, d), ["station"], "valid", "y", F.col("lead"), "before")
+
+
+@query("ev9_by_version_and_lead", VERSIONS_SQL + """, g AS (SELECT lead, model AS best, avg(abs(x - y)) AS best_mae FROM latest JOIN truth USING (station, valid) GROUP BY ALL), s AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY lead ORDER BY best_mae, best) = 1)
+SELECT version, lead, round(avg(abs(f - y)), 6) AS mae, round(sqrt(avg((f - y) ** 2)), 6) AS rmse, round(avg(f - y), 6) AS bias, count(*) AS n, round(avg(abs(before - y)), 6) AS persistence_mae, round(avg(abs(ref - y)), 6) AS reference_mae, any_value(best) AS best, round(any_value(best_mae), 6) AS best_mae FROM j JOIN s USING (lead) GROUP BY version, lead""")
+def ev9_full(spark: SparkSession, d: str) -> DataFrame:
+    """Each version and lead against persistence, the reference source and the best single source."""
+    own = versions(spark, d).groupBy("version", "lead").agg(*vf.errors("f", "y"), F.avg(F.abs(F.col("before") - F.col("y"))).alias("persistence_mae"), F.avg(F.abs(F.col("ref") - F.col("y"))).alias("reference_mae"))
+    single = vf.best_single(pred(spark, d), ["lead"], "version", "f", "y")
+    return rounded(own.join(single, "lead"), "mae", "rmse", "bias", "persistence_mae", "reference_mae", "best_mae")
+
+
+@query("ev10_freshest_contributing_run", VERSIONS_SQL + " SELECT version, lead, CAST(date_diff('hour', made, valid) // 6 * 6 AS INT) AS bucket, count(*) AS n, round(avg(abs(f - y)), 6) AS mae, round(avg(f - y), 6) AS bias FROM j GROUP BY ALL")
+def ev10_full(spark: SparkSession, d: str) -> DataFrame:
+    """By the age of the newest run that a version is made of, in buckets of six hours."""
+    hours = F.timestamp_diff("HOUR", F.col("made"), F.col("valid"))
+    v = versions(spark, d).withColumn("bucket", (F.floor(hours / 6) * 6).cast("int"))
+    mae, _, bias, n = vf.errors("f", "y")
+    return rounded(v.groupBy("version", "lead", "bucket").agg(n, mae, bias), "mae", "bias")
+
+
+@query("run1_local_days", """, z AS (SELECT station, v, CAST(hour + INTERVAL 9 HOURS AS DATE) AS day, hour(hour + INTERVAL 9 HOURS) AS h FROM hourly),
+i AS (SELECT * FROM z WHERE h BETWEEN 9 AND 14), r AS (SELECT station, day, count(*) AS n FROM (SELECT station, day, h - row_number() OVER (PARTITION BY station, day ORDER BY h) AS g FROM i WHERE v < 45) GROUP BY station, day, g),
+k AS (SELECT station, day, count(*) AS hours, count(*) FILTER (v < 45) AS dry_hours FROM i GROUP BY ALL), m AS (SELECT station, day, max(n) AS longest FROM r GROUP BY ALL), a AS (SELECT DISTINCT station, day FROM z)
+SELECT a.station, a.day, CASE WHEN coalesce(hours, 0) = 6 THEN 'whole' ELSE 'hours missing' END AS state, CASE WHEN hours = 6 THEN dry_hours END AS dry_hours, CASE WHEN hours = 6 THEN coalesce(longest, 0) END AS longest FROM a LEFT JOIN k ON k.station = a.station AND k.day = a.day LEFT JOIN m ON m.station = a.station AND m.day = a.day""")
+def run1_full(spark: SparkSession, d: str) -> DataFrame:
+    """Days of a zone, from 9 to 15 by its clocks."""
+    return sp.local_day_spells(hourly(spark, d), ["station"], "hour", "v", WET, "Asia/Tokyo", 9, 15)
+
+
+@query("run1_dropped_days", """, z AS (SELECT station, v, CAST(hour + INTERVAL 9 HOURS AS DATE) AS day, hour(hour + INTERVAL 9 HOURS) AS h FROM hourly), k AS (SELECT station, day, count(*) FILTER (h BETWEEN 9 AND 14) AS hours FROM z GROUP BY ALL)
+SELECT station, CASE WHEN hours = 6 THEN 'whole' ELSE 'hours missing' END AS state, count(*) AS days FROM k GROUP BY ALL""")
+def run1_dropped(spark: SparkSession, d: str) -> DataFrame:
+    return sp.local_day_spells(hourly(spark, d), ["station"], "hour", "v", WET, "Asia/Tokyo", 9, 15).groupBy("station", "state").agg(F.count("*").alias("days"))

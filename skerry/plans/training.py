@@ -9,8 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import verify as vf
-from ..sources.shared import written
+from ..operators import models as ml, verify as vf
+from ..sources.shared import shared_folder, written
 from .basics import rounded
 from .features import split_by_time, spells
 from .registry import query
@@ -97,34 +97,35 @@ def ml4(spark: SparkSession, d: str) -> DataFrame:
     return rounded(parts.join(test, "lead").join(vf.best_single(long, ["lead"], "source", "f", "y"), "lead"), "low", "top", "test_mae", "best_mae")
 
 
+def stored_models(spark: SparkSession, t: DataFrame, features: Sequence[str], trees: int = 6) -> str:
+    """Fits a model for each lead on what lies before the test part, and stores them; the folder."""
+    root = shared_folder(spark, "models")
+    rows = t if "x" in t.columns else vectors(t, features)
+    cutoff = rows.where("part = 'test'").agg(F.min("valid")).first()[0]
+    ml.store(spark, root, dict(fitted_by_lead(rows, LEADS, lambda: regressor(trees), "y")), features, cutoff)
+    return root
+
+
 @query("ml5_score_live")
 def ml5(spark: SparkSession, d: str) -> DataFrame:
-    """The newest day scored with the model of each row's lead; rows that lack a required source are left out."""
+    """The newest day scored with the stored model of each row's lead; rows that lack a required source are left out."""
     t = split_table(spark, d)
+    root = stored_models(spark, t, FEATURES)
     last = t.agg(F.max("valid").alias("newest"))
-    live = t.join(F.broadcast(last)).where((F.col("valid") > F.col("newest") - F.expr("INTERVAL 24 HOURS")) & F.col("click").isNotNull()).drop("newest")
-    out = None
-    for lead, model in fitted_by_lead(t, LEADS, lambda: regressor(6), "y"):
-        p = model.transform(live.where(F.col("lead") == lead)).select("station", "lead", "valid", F.round("prediction", 6).alias("f"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    live = t.drop("x").join(F.broadcast(last)).where((F.col("valid") > F.col("newest") - F.expr("INTERVAL 24 HOURS")) & F.col("click").isNotNull()).drop("newest")
+    return ml.replay(spark, root, live, FEATURES, vectors, LEAKING).select("station", "lead", "valid", F.round("prediction", 6).alias("f"))
 
 
 LEAKING = {"y", "wet"}
 
 
-def replayed(model, table: DataFrame, features: Sequence[str]) -> DataFrame:
-    """A stored model over all of history; features that hold the truth are refused."""
-    if leaks := LEAKING & set(features):
-        raise ValueError(f"features hold the truth: {sorted(leaks)}")
-    return model.transform(vectors(table, features))
-
-
 @query("ml6_replay")
 def ml6(spark: SparkSession, d: str) -> DataFrame:
-    t, features = training_table(spark, d), ("f_mean", "f_std", *CALENDAR)
-    model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7).fit(vectors(t.where("lead = 24"), features))
-    return replayed(model, t, features).select("station", "lead", "valid", F.round("prediction", 6).alias("f"))
+    """Stored models over all of history, read back from their folder."""
+    features = ("f_mean", "f_std", *CALENDAR)
+    t = split_table(spark, d).drop("x")
+    root = stored_models(spark, t, features, 5)
+    return ml.replay(spark, root, t, features, vectors, LEAKING).select("station", "lead", "valid", F.round("prediction", 6).alias("f"))
 
 
 @query("ml7_residual_size", WIDE_SQL + " SELECT lead, round(regr_r2(y - (click + error) / 2, view), 6) AS r2, round(corr(y - (click + error) / 2, view), 6) AS r, count(*) AS n FROM t3 WHERE click IS NOT NULL AND error IS NOT NULL AND view IS NOT NULL GROUP BY 1")

@@ -109,3 +109,31 @@ def test_neighbour_correlation(spark):
     df = spark.createDataFrame(rows, "k string, t string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
     got = {r.k: r.rho for r in sp.neighbour_correlation(df, ["k"], "t", "v", 1.0).collect()}
     assert set(got) == {"a"} and got["a"] == pytest.approx(0.25, abs=0.02)  # three turns in eight hours
+
+
+def test_days_of_a_zone_with_summer_time(spark):
+    """Clocks go forward on 31 March 2024 at 01:00 UTC: the range 0 to 4 has three hours that day, and 9 to 12 begins an hour earlier from then on."""
+    import datetime as dt
+
+    hours = [("a", dt.datetime(2024, 3, 29) + dt.timedelta(hours=h), float(h % 5 == 0)) for h in range(96)] + [(None, dt.datetime(2024, 3, 30, 9), None), (None, dt.datetime(2024, 3, 30, 10), 0.0)]
+    df = spark.createDataFrame(hours, "k string, t timestamp_ntz, v double")
+    read = lambda start, end: {(r.k, r.day.day): (r.state, r.dry_hours, r.longest) for r in sp.local_day_spells(df, ["k"], "t", "v", 0.5, "Europe/London", start, end).where("day < '2024-04-02'").collect()}
+    night = read(0, 4)
+    assert night["a", 30][0] == "whole" and night["a", 31] == ("other length", None, None) and night[None, 30] == ("hours missing", None, None)
+    day = read(9, 12)
+    for d, first in ((29, 9), (30, 9), (31, 8), (1, 8)):
+        at = (dt.datetime(2024, 4 if d == 1 else 3, d, first) - dt.datetime(2024, 3, 29)) // dt.timedelta(hours=1)
+        dry = "".join("d" if h % 5 else "." for h in range(at, at + 3))
+        assert day["a", d] == ("whole", dry.count("d"), max(map(len, dry.split("."))))
+
+
+def test_combined_forecasts_know_their_runs(spark):
+    import datetime as dt
+
+    from skerry.operators import verify as vf
+
+    run = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(1, "a", 2.0, run(0)), (1, "b", 4.0, run(6)), (1, "c", None, run(23)), (2, "b", 1.0, run(3)), (3, "c", None, run(1))]
+    wide = vf.with_origins(spark.createDataFrame(rows, "k int, m string, x double, run timestamp_ntz"), ["k"], "m", ("a", "b", "c"), "x", "run")
+    got = vf.combined(wide, ["k"], {"any": (("a", "b", "c"), False), "both": (("a", "b"), True)}).collect()
+    assert sorted((r.k, r.version, r.f, r.made.hour, r.parts) for r in got) == [(1, "any", 3.0, 6, 2), (1, "both", 3.0, 6, 2), (2, "any", 1.0, 3, 1)]

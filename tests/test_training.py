@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from skerry.operators import models as ml
 from skerry.plans import training as tr
 from skerry.plans.scoring import training_table
 from skerry.plans.views import truth
@@ -64,7 +65,7 @@ def test_replay_covers_all_history_and_fits_it(spark):
 
 def test_leaks_and_unknown_leads_are_refused(spark, table, monkeypatch):
     with pytest.raises(ValueError, match="truth"):
-        tr.replayed(None, table, ["f_mean", "y"])
+        ml.replay(spark, "no folder", table, ["f_mean", "y"], tr.vectors, tr.LEAKING)
     monkeypatch.setattr(tr, "LEADS", (24, 48))
     with pytest.raises(ValueError, match="72"):
         tr.split_table(spark, DATA)
@@ -82,3 +83,30 @@ def test_seeds_and_bags(spark):
     assert len(bags) == 9 and all(bags[lead, 3] <= 1.05 * bags[lead, 1] for lead in (24, 48, 72))
     delta = tr.ml7_delta(spark, DATA).collect()
     assert len(delta) == 3 and all(r.seeds == 3 for r in delta)
+
+
+def test_a_stored_model_replays_in_another_session(spark, table):
+    features = ("f_mean", "f_std")
+    root = tr.stored_models(spark, table.drop("x"), features, 3)
+    other = spark.newSession()
+    again = lambda s: sorted((r.station, r.lead, r.valid, r.prediction, r.trained) for r in ml.replay(s, root, tr.training_table(s, DATA), features, tr.vectors).collect())
+    one = again(spark)
+    assert one == again(other) and len(one) == table.count() and {r[1] for r in one} == set(tr.LEADS)
+    cutoff = table.where("part = 'test'").agg(F.min("valid")).first()[0]
+    assert all(r[4] == (r[2] < cutoff) for r in one)
+    for wrong in (("f_std", "f_mean"), ("f_mean",), ("f_mean", "f_range")):
+        with pytest.raises(ValueError, match="other features"):
+            ml.replay(other, root, table, wrong, tr.vectors)
+    assert ml.replay(other, root, tr.training_table(other, DATA).limit(0), features, tr.vectors).count() == 0
+
+
+def test_retrain_summary_reads_artefacts(spark, table):
+    import datetime as dt
+
+    fit = dict(tr.fitted_by_lead(tr.vectors(table.drop("x").where("lead = 24"), ("f_mean",)), (24,), lambda: tr.regressor(2), "y"))
+    roots = [tr.shared_folder(spark, "artefact") for _ in range(3)]
+    for day, root, own, best in zip((1, 5, 9), roots, (9.0, 8.0, 6.0), (8.0, 8.0, 8.0)):
+        ml.store(spark, root, fit, ("f_mean",), dt.datetime(2024, 1, day), {24: {"test_mae": own, "best_mae": best}})
+    got = ml.retrain_summary(ml.about(spark, *roots), [], dt.datetime(2024, 1, 1)).collect()
+    assert [(r.lead, r.cutoff.day, r.test_mae, r.percent) for r in got] == [(24, 9, 6.0, -25.0)] and got[0].root.endswith(roots[2].split("/")[-1])
+    assert ml.retrain_summary(ml.about(spark, *roots), [], dt.datetime(2024, 2, 1)).count() == 0
