@@ -154,16 +154,16 @@ def drv4_full(spark: SparkSession, d: str) -> DataFrame:
 @query("drv6_card_with_nearest", """, c AS (SELECT station, CAST(hour AS DATE) AS day, min(v) AS low, max(v) AS top, avg(v) AS mean, CAST(arg_min(hour(hour), v * 1000000 + hour(hour)) AS INT) AS driest FROM hourly GROUP BY ALL),
 k AS (SELECT c.station, c.day, o.ts, o.event_id, abs(date_diff('microsecond', o.ts, CAST(c.day AS TIMESTAMP) + INTERVAL 12 HOURS)) AS gap FROM c JOIN obs o ON o.station = c.station AND o.ts BETWEEN CAST(c.day AS TIMESTAMP) + INTERVAL 10 HOURS AND CAST(c.day AS TIMESTAMP) + INTERVAL 14 HOURS),
 n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY station, day ORDER BY gap, ts, event_id) = 1)
-SELECT c.station, c.day, round(low, 6) AS low, round(top, 6) AS top, round(mean, 6) AS mean, driest, n.event_id AS noon FROM c LEFT JOIN n USING (station, day)""")
+SELECT c.station, c.day, round(low, 6) AS low, round(top, 6) AS top, round(mean, 9) AS mean, driest, n.event_id AS noon FROM c LEFT JOIN n USING (station, day)""")
 def drv6_full(spark: SparkSession, d: str) -> DataFrame:
     """The day's extremes, and the reading nearest to noon within two hours."""
     from .views import obs
 
     h = hourly(spark, d).withColumn("h", F.hour("hour"))
-    cards = h.groupBy("station", F.to_date("hour").alias("day")).agg(F.min("v").alias("low"), F.max("v").alias("top"), F.avg("v").alias("mean"), F.min_by("h", F.struct("v", "h")).alias("driest"))
+    cards = h.groupBy("station", F.to_date("hour").alias("day")).agg(F.min("v").alias("low"), F.max("v").alias("top"), F.round(F.avg("v"), 9).alias("mean"), F.min_by("h", F.struct("v", "h")).alias("driest"))
     noon = cards.withColumn("noon_at", F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS"))
     readings = obs(spark, d).select("station", "ts", F.col("event_id").alias("noon"))
-    return rounded(jn.nearest_join(noon, readings, ["station"], "noon_at", "ts", ["noon"], 7200, ["noon"]).select("station", "day", "low", "top", "mean", "driest", "noon"), "low", "top", "mean")
+    return rounded(jn.nearest_join(noon, readings, ["station"], "noon_at", "ts", ["noon"], 7200, ["noon"]).select("station", "day", "low", "top", "mean", "driest", "noon"), "low", "top")
 
 
 #: Ten measures of a forecast beside each other, as the driver's rows have one.

@@ -243,10 +243,10 @@ def drv3(spark: SparkSession, d: str) -> DataFrame:
     return n.select("station", "valid", F.when(F.col("firing") >= 4, "severe").when(F.col("firing") >= 2, "watch").otherwise("none").alias("badge"))
 
 
-@query("drv4_daily_summary", "SELECT station, CAST(hour AS DATE) AS day, round(avg(v), 6) AS mean, CAST(arg_min(hour(hour), v * 1000000 + hour(hour)) AS INT) AS driest, count(*) FILTER (v >= 45) AS wet FROM hourly GROUP BY ALL")
+@query("drv4_daily_summary", "SELECT station, CAST(hour AS DATE) AS day, round(avg(v), 9) AS mean, CAST(arg_min(hour(hour), v * 1000000 + hour(hour)) AS INT) AS driest, count(*) FILTER (v >= 45) AS wet FROM hourly GROUP BY ALL")
 def drv4(spark: SparkSession, d: str) -> DataFrame:
     h = hourly(spark, d).withColumns({"day": F.to_date("hour"), "h": F.hour("hour")})
-    return rounded(h.groupBy("station", "day").agg(F.avg("v").alias("mean"), F.min_by("h", F.struct("v", "h")).alias("driest"), F.count_if(F.col("v") >= WET).alias("wet")), "mean")
+    return h.groupBy("station", "day").agg(F.round(F.avg("v"), 9).alias("mean"), F.min_by("h", F.struct("v", "h")).alias("driest"), F.count_if(F.col("v") >= WET).alias("wet"))
 
 
 @query("drv5_rain_days", "SELECT station, CAST(hour - INTERVAL 9 HOURS AS DATE) AS day, round(sum(v), 6) AS total, count(*) AS n FROM hourly GROUP BY ALL HAVING count(*) >= 22")
@@ -255,9 +255,9 @@ def drv5(spark: SparkSession, d: str) -> DataFrame:
     return rounded(h.groupBy("station", "day").agg(F.sum("v").alias("total"), F.count("*").alias("n")).where("n >= 22"), "total")
 
 
-@query("drv6_day_card", "SELECT station, CAST(hour AS DATE) AS day, round(min(v), 6) AS low, round(max(v), 6) AS top, round(avg(v), 6) AS mean FROM hourly GROUP BY ALL")
+@query("drv6_day_card", "SELECT station, CAST(hour AS DATE) AS day, round(min(v), 6) AS low, round(max(v), 6) AS top, round(avg(v), 9) AS mean FROM hourly GROUP BY ALL")
 def drv6(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(hourly(spark, d).groupBy("station", F.to_date("hour").alias("day")).agg(F.min("v").alias("low"), F.max("v").alias("top"), F.avg("v").alias("mean")), "low", "top", "mean")
+    return rounded(hourly(spark, d).groupBy("station", F.to_date("hour").alias("day")).agg(F.min("v").alias("low"), F.max("v").alias("top"), F.round(F.avg("v"), 9).alias("mean")), "low", "top")
 
 
 @query("drv7_start_table", DAY_SQL + ", s AS (SELECT station, day, a.h FROM i a WHERE (SELECT count(*) FROM i b WHERE b.station = a.station AND b.day = a.day AND b.dry AND b.h BETWEEN a.h AND a.h + 2) = 3) SELECT station, day, string_agg(CAST(h AS VARCHAR), ',' ORDER BY h) AS starts FROM s GROUP BY ALL")
