@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, numbered, table, written
+from .common import WORD, numbered, scratch, shared_folder, table, until_exit, written
 
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
@@ -64,28 +64,33 @@ def first_over(order: DataFrame, budget: int, few: int = FEW) -> tuple[float, st
 
 def _mixed(rows: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
     """rows (doc_id, source, size, key, tie and any others) with source_size, target and copies: how often the mix takes each."""
-    sized = written(rows.withColumn("block", F.substring("key", 1, BLOCK_DIGITS)), "sized")
-    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
-    budget = sized.agg(F.sum("size")).first()[0] or 0
-
-    def sums(a: DataFrame, b: DataFrame, *on: str) -> DataFrame:
-        """a and b on equal columns, a null being equal to a null."""
-        b = b.withColumnsRenamed({c: f"__{c}" for c in on})
-        same = [a[c].eqNullSafe(b[f"__{c}"]) for c in on]
-        return a.join(b, same).drop(*[f"__{c}" for c in on])
-
-    blocks = sums(sized.groupBy("source", "block").agg(F.sum("size").alias("block_size")), sources, "source")
-    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("block_size").over(earlier), F.lit(0))).drop("block_size")
-    within = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = sums(sized, blocks, "source", "block")
-    queued = written(queued.withColumn("sent", F.col("before") + F.sum("size").over(within)).drop("before", "block"), "queued")
-
     def finish(turn: Column | int) -> Column:
         return (F.col("source_size") * turn + F.col("sent")).cast("double") / F.col("target")
 
-    rounds = queued.where("size > 0").withColumn("turn", F.explode(F.array(*map(F.lit, range(repeats)))))
-    end = first_over(rounds.select("size", "key", finish(F.col("turn")).alias("finish")).where("finish < 2"), budget)
+    spark = rows.sparkSession
+    path = shared_folder(spark, "queued")
+    with scratch(spark):  # what follows needs the queues and the end, no other table
+        sized = written(rows.withColumn("block", F.substring("key", 1, BLOCK_DIGITS)), "sized")
+        sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
+        budget = sized.agg(F.sum("size")).first()[0] or 0
+
+        def sums(a: DataFrame, b: DataFrame, *on: str) -> DataFrame:
+            """a and b on equal columns, a null being equal to a null."""
+            b = b.withColumnsRenamed({c: f"__{c}" for c in on})
+            same = [a[c].eqNullSafe(b[f"__{c}"]) for c in on]
+            return a.join(b, same).drop(*[f"__{c}" for c in on])
+
+        blocks = sums(sized.groupBy("source", "block").agg(F.sum("size").alias("block_size")), sources, "source")
+        earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumn("before", F.coalesce(F.sum("block_size").over(earlier), F.lit(0))).drop("block_size")
+        within = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        queued = sums(sized, blocks, "source", "block")
+        queued.withColumn("sent", F.col("before") + F.sum("size").over(within)).drop("before", "block").write.parquet(path)
+        queued = spark.read.parquet(path)
+
+        rounds = queued.where("size > 0").withColumn("turn", F.explode(F.array(*map(F.lit, range(repeats)))))
+        end = first_over(rounds.select("size", "key", finish(F.col("turn")).alias("finish")).where("finish < 2"), budget)
+    until_exit(spark, path)
     copies = F.lit(0)
     for turn in range(repeats):
         inside = F.struct(finish(turn).alias("finish"), F.col("key")) < F.struct(F.lit(end[0]).alias("finish"), F.lit(end[1]).alias("key")) if end else F.lit(True)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, numbered, slots, steps, written
+from .common import LOWER, numbered, scratch, shared_folder, slots, steps, until_exit, written
 from .components import components
 from .simhash import TREE, BKTree
 
@@ -312,9 +312,13 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similar: float = SIMILAR) ->
     rows, columns = numbered(docs)
     rows = rows.withColumn("id", text_id(F.col(columns["text"]))).withColumn("key", F.xxhash64("id", F.col(columns["doc_id"]).cast("long")))
     texts = rows.select("id", F.coalesce(F.col(columns["text"]).cast("binary"), F.lit(b"")).alias("text"))
-    found = groups(texts, size, similar).withColumnRenamed("id", "of")
-    doc_id = F.col(columns["doc_id"])
-    thin = rows.groupBy("id").agg(F.min(F.struct(doc_id.isNull().alias("no"), doc_id.alias("doc_id"), "key")).alias("least"))
-    label = thin.join(found, thin["id"] == found["of"], "left").select("least", F.coalesce("component", "id").alias("component"))
-    kept = written(label.groupBy("component").agg(F.min("least").alias("least")).select("least.key"), "kept")
+    spark, doc_id = docs.sparkSession, F.col(columns["doc_id"])
+    path = shared_folder(spark, "kept")
+    with scratch(spark):  # sketches, shards and pairs go once it is known what stays
+        found = groups(texts, size, similar).withColumnRenamed("id", "of")
+        thin = rows.groupBy("id").agg(F.min(F.struct(doc_id.isNull().alias("no"), doc_id.alias("doc_id"), "key")).alias("least"))
+        label = thin.join(found, thin["id"] == found["of"], "left").select("least", F.coalesce("component", "id").alias("component"))
+        label.groupBy("component").agg(F.min("least").alias("least")).select("least.key").write.parquet(path)
+    until_exit(spark, path)
+    kept = spark.read.parquet(path)
     return rows.join(kept.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).select(*columns.values()).toDF(*docs.columns)
