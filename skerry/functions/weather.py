@@ -45,6 +45,24 @@ def in_sector(degrees: Column, start: float, end: float) -> Column:
     return F.pmod(degrees - start, F.lit(360.0)) <= (end - start) % 360
 
 
+def mean_direction(sine: Column, cosine: Column) -> Column:
+    """Degrees, from 0 to 360, of the mean of directions whose mean sine and cosine these are."""
+    return F.pmod(F.degrees(F.atan2(sine, cosine)), F.lit(360.0))
+
+
+def terrain_block(speed: Column, sine: Column, cosine: Column, dew: Column, pressure: Column, gains: Column, dx: Column, dy: Column) -> dict[str, Column]:
+    """Wind over terrain: the mean direction's sine and cosine, the gain of the sector that the wind comes from, uplift, and uplift times specific humidity in g/kg.
+
+    gains: an array by `sector`; dx, dy: the slope to the east and the north. A missing input counts as no wind, no gain or no humidity.
+    """
+    zero = F.lit(0.0)
+    up = F.coalesce(uplift(-speed * sine, -speed * cosine, dx, dy), zero)
+    up = F.when(speed.isNull() | sine.isNull() | cosine.isNull(), zero).otherwise(up)
+    q = F.when(dew.isNotNull() & (pressure > 0), F.greatest(zero, 1000 * specific_humidity(dew, pressure, magnus_wmo_hpa))).otherwise(zero)
+    gain = F.coalesce(F.get(gains, sector(mean_direction(sine, cosine))), zero)
+    return {"wind_sin": F.coalesce(sine, zero), "wind_cos": F.coalesce(cosine, zero), "upwind_gain": gain, "uplift": up, "uplift_humidity": up * q}
+
+
 def onshore(degrees: Column, start: float, end: float, feather: float) -> Column:
     """1 inside a sector, falling to 0 over `feather` degrees on both sides."""
     width = (end - start) % 360
@@ -64,13 +82,19 @@ def magnus_hpa(temp: Column) -> Column:
     return 6.112 * F.exp(17.67 * temp / (temp + 243.5))
 
 
+def magnus_wmo_hpa(temp: Column) -> Column:
+    # fixed values: the coefficients that the terrain block uses
+    return 6.112 * F.exp(17.62 * temp / (temp + 243.12))
+
+
 def relative_humidity(temp: Column, dew: Column) -> Column:
     """Percent, from 0 to 100."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * magnus_hpa(dew) / magnus_hpa(temp)))
 
 
-def specific_humidity(dew: Column, pressure: Column) -> Column:
-    e = magnus_hpa(dew)
+def specific_humidity(dew: Column, pressure: Column, vapour=magnus_hpa) -> Column:
+    """Kilograms in a kilogram of air; vapour: the formula of the pressure over water at a temperature."""
+    e = vapour(dew)
     return 0.622 * e / (pressure - 0.378 * e)
 
 
@@ -98,16 +122,17 @@ def longwave_up(temp: Column) -> Column:
     return GROUND * SIGMA * F.pow(temp + 273.15, F.lit(4.0))
 
 
-def sine_altitude(ts: str, latitude: float, longitude: float) -> Column:
-    """Sine of the sun's altitude by Spencer's series; ts in UTC."""
+def sine_altitude(ts: str, latitude: Column | float, longitude: Column | float) -> Column:
+    """Sine of the sun's altitude by Spencer's series; ts in UTC, places in degrees, null where one is."""
     day = F.dayofyear(ts) + (F.hour(ts) + F.minute(ts) / 60) / 24
     g = TWO_PI * (day - 1) / 365
     # fixed values: Spencer's coefficients
     decl = 0.006918 - 0.399912 * F.cos(g) + 0.070257 * F.sin(g) - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g) - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
     late = 229.18 * (0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g) - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g))
     angle = math.pi / 12 * ((F.hour(ts) * 60 + F.minute(ts) + 4 * longitude + late) / 60 - 12)
-    lat = math.radians(latitude)
-    return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), math.sin(lat) * F.sin(decl) + math.cos(lat) * F.cos(decl) * F.cos(angle)))
+    lat = F.radians(latitude if isinstance(latitude, Column) else F.lit(float(latitude)))
+    sine = F.sin(lat) * F.sin(decl) + F.cos(lat) * F.cos(decl) * F.cos(angle)
+    return F.when(sine.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), sine)))  # least and greatest pass over nulls
 
 
 def capped_shortwave(sw: Column, cloud: Column, sine: Column) -> Column:

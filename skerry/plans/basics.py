@@ -284,15 +284,20 @@ def jn10(spark: SparkSession, d: str) -> DataFrame:
     return wide(spark, d).where("click IS NOT NULL").groupBy("station", "lead").agg(F.count("*").alias("anchors"), F.count("purchase").alias("present"))
 
 
-def station_pairs(hours: DataFrame, *columns: str) -> DataFrame:
-    """(a, b, hour, <column>_a, <column>_b) for each two stations that both have the hour."""
+def station_pairs(hours: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+    """(a, b, hour, <column>_a, <column>_b) for each of the named pairs (a, b) whose stations both have the hour: the rows are those of the pairs, however many stations there are."""
     one, two = (hours.select(F.col("station").alias(n), "hour", *[F.col(c).alias(f"{c}_{n}") for c in columns]) for n in "ab")
-    return one.join(two, "hour").where("a < b")
+    return one.join(pairs.select("a", "b").distinct(), "a").join(two, ["b", "hour"]).select("a", "b", "hour", *[f"{c}_{n}" for c in columns for n in "ab"])
+
+
+def region_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each region with each of a larger key among the first five, as pairs of stations."""
+    return read(spark, d, "region").selectExpr("CAST(r_regionkey AS INT) AS a").where("a < 4").select("a", F.explode(F.sequence(F.col("a") + 1, F.lit(4))).alias("b"))
 
 
 @query("jn11_two_stations", "SELECT a.station AS a, b.station AS b, a.hour, round(a.v, 6) AS v_a, round(b.v, 6) AS v_b FROM hourly a JOIN hourly b USING (hour) WHERE a.station < b.station")
 def jn11(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(station_pairs(hourly(spark, d), "v"), "v_a", "v_b")
+    return rounded(station_pairs(hourly(spark, d), region_pairs(spark, d), "v"), "v_a", "v_b")
 
 
 @query("jn12_composite", "SELECT hour, round(sum(v * (station + 1)) / sum(station + 1), 6) AS v FROM hourly JOIN region ON r_regionkey = station GROUP BY hour HAVING count(DISTINCT station) = 5")
@@ -385,7 +390,7 @@ def agg12(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT a, b, count(*) FILTER (wa AND wb) AS both_wet, count(*) FILTER (wa AND NOT wb) AS only_a, count(*) FILTER (wb AND NOT wa) AS only_b, count(*) FILTER (NOT wa AND NOT wb) AS neither, count(*)::DOUBLE AS n, corr(va, vb) AS r FROM j GROUP BY ALL)
 SELECT a, b, both_wet, only_a, only_b, neither, round(r, 6) AS r, round(((both_wet + neither) / n - ((both_wet + only_a) * (both_wet + only_b) + (neither + only_b) * (neither + only_a)) / (n * n)) / (1 - ((both_wet + only_a) * (both_wet + only_b) + (neither + only_b) * (neither + only_a)) / (n * n)), 6) AS kappa FROM c""")
 def agg13(spark: SparkSession, d: str) -> DataFrame:
-    j = station_pairs(hourly(spark, d), "v")
+    j = station_pairs(hourly(spark, d), region_pairs(spark, d), "v")
     wa, wb = F.col("v_a") >= WET, F.col("v_b") >= WET
     c = j.groupBy("a", "b").agg(F.count_if(wa & wb).alias("both_wet"), F.count_if(wa & ~wb).alias("only_a"), F.count_if(wb & ~wa).alias("only_b"), F.count_if(~wa & ~wb).alias("neither"), F.corr("v_a", "v_b").alias("r"))
     n = F.expr("CAST(both_wet + only_a + only_b + neither AS DOUBLE)")

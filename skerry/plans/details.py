@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import weather as we
 from ..operators import aggregates as ag, audit as au, calibrate as cal, dedup as dd, joins as jn, spells as sp, windows as wn
@@ -113,14 +113,20 @@ def fn16_full(spark: SparkSession, d: str) -> DataFrame:
     return curves(spark, d).select("station", "hour", *[F.round(n, 9).alias(n) for n in names])
 
 
-@query("drv2_gates_and_tiers", CURVES_SQL + """, f AS (SELECT station, hour, CASE WHEN hour(hour) < 6 OR hour(hour) >= 21 THEN 'dark' WHEN p >= 0.5 THEN 'rain' WHEN film >= 0.2::DOUBLE THEN 'soaked' END AS gate, [friction * salt, dew, comfort, breeze, least(1 - p, wet)] AS s FROM c),
+SUN_SQL = """, g0 AS (SELECT *, 2 * pi() * (dayofyear(hour) + hour(hour) / 24 - 1) / 365 AS g FROM c),
+g1 AS (SELECT *, 0.006918::DOUBLE - 0.399912::DOUBLE * cos(g) + 0.070257::DOUBLE * sin(g) - 0.006758::DOUBLE * cos(2 * g) + 0.000907::DOUBLE * sin(2 * g) - 0.002697::DOUBLE * cos(3 * g) + 0.00148::DOUBLE * sin(3 * g) AS decl,
+229.18::DOUBLE * (0.000075::DOUBLE + 0.001868::DOUBLE * cos(g) - 0.032077::DOUBLE * sin(g) - 0.014615::DOUBLE * cos(2 * g) - 0.040849::DOUBLE * sin(2 * g)) AS late FROM g0),
+lit AS (SELECT *, sin(radians(50.0::DOUBLE + station)) * sin(decl) + cos(radians(50.0::DOUBLE + station)) * cos(decl) * cos(pi() / 12 * ((hour(hour) * 60 + 4 * (2 * station - 5) + late) / 60 - 12)) AS sine FROM g1)"""
+
+
+@query("drv2_gates_and_tiers", CURVES_SQL + SUN_SQL + """, f AS (SELECT station, hour, CASE WHEN sine <= 0 THEN 'dark' WHEN p >= 0.5 THEN 'rain' WHEN film >= 0.2::DOUBLE THEN 'soaked' END AS gate, [friction * salt, dew, comfort, breeze, least(1 - p, wet)] AS s FROM lit),
 g AS (SELECT *, list_min(s) AS worst, sqrt(exp((ln(greatest(s[1], 1e-6)) + ln(greatest(s[2], 1e-6)) + ln(greatest(s[3], 1e-6)) + ln(greatest(s[4], 1e-6)) + ln(greatest(s[5], 1e-6))) / 5) * list_min(s)) AS score FROM f)
 SELECT station, hour, gate, CASE WHEN gate IS NULL THEN round(score, 6) END AS score, CASE WHEN gate IS NOT NULL THEN 'off' WHEN score >= 0.7::DOUBLE THEN 'prime' WHEN score >= 0.5 THEN 'good' WHEN score >= 0.3::DOUBLE THEN 'marginal' ELSE 'poor' END AS tier,
 CASE WHEN gate IS NULL THEN ['friction', 'condensation', 'air', 'wind', 'rain'][list_position(s, worst)] END AS limiting FROM g""")
 def drv2_full(spark: SparkSession, d: str) -> DataFrame:
-    """Gates first, then the blend of five factors, its tier, and the first of the worst factors."""
-    h = F.hour("hour")
-    gate = F.when((h < 6) | (h >= 21), "dark").when(F.col("p") >= 0.5, "rain").when(F.col("film") >= 0.2, "soaked")
+    """Gates first, of them the sun below the station's horizon; then the blend of five factors, its tier, and the first of the worst factors."""
+    sun = we.sine_altitude("hour", 50.0 + F.col("station"), 2.0 * F.col("station") - 5)
+    gate = F.when(sun <= 0, "dark").when(F.col("p") >= 0.5, "rain").when(F.col("film") >= 0.2, "soaked")
     scores = F.array(F.col("friction") * F.col("salt"), F.col("dew"), F.col("comfort"), F.col("breeze"), F.least(1 - F.col("p"), F.col("wet")))
     c = curves(spark, d).withColumns({"gate": gate, "s": scores}).withColumn("blend", we.blended(F.col("s")))
     names = F.array(*map(F.lit, ("friction", "condensation", "air", "wind", "rain")))
@@ -198,14 +204,17 @@ def ts6_full(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trails(spark, d), "sum_24", "sum_72")
 
 
-@query("ts4_rich_wet_composed", TRAIL72_SQL + ", w AS (SELECT station, valid, lead, max(run) AS run, " + ", ".join(f"max(x) FILTER (model = '{m}') AS {m}, max(event_id % 97) FILTER (model = '{m}') AS {m}_humidity, max(event_id * 7 % 101) FILTER (model = '{m}') AS {m}_pressure" for m in MODELS) + """ FROM latest GROUP BY ALL),
-sl AS (SELECT station, valid, avg(slope) AS slope FROM (SELECT station, valid, model, regr_slope(x, lead) AS slope FROM latest WHERE lead > 24 GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL)
-SELECT w.*, round(sl.slope, 9) AS slope, round(sum_24, 6) AS sum_24, wet_24, round(sum_72, 6) AS sum_72, wet_72, dry_hours, CAST(y >= 45 AS INT) AS wet FROM w JOIN truth USING (station, valid) LEFT JOIN tr ON tr.station = w.station AND tr.hour = w.run LEFT JOIN sl ON sl.station = w.station AND sl.valid = w.valid""")
-def ts4_full(spark: SparkSession, d: str) -> DataFrame:
-    """Wet table with humidity and pressure of each model, what the gauge had seen when the run began, and the slope over longer leads."""
+COMPOSED_SQL = TRAIL72_SQL + ", w AS (SELECT station, valid, lead, max(run) AS run, " + ", ".join(f"max(x) FILTER (model = '{m}') AS {m}, max(event_id % 97) FILTER (model = '{m}') AS {m}_humidity, max(event_id * 7 % 101) FILTER (model = '{m}') AS {m}_pressure" for m in MODELS) + """ FROM latest GROUP BY ALL),
+sl AS (SELECT station, valid, avg(slope) AS slope FROM (SELECT station, valid, model, regr_slope(x, lead) AS slope FROM latest WHERE lead > 24 GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),
+rich AS (SELECT w.*, round(sl.slope, 9) AS slope, round(sum_24, 6) AS sum_24, wet_24, round(sum_72, 6) AS sum_72, wet_72, dry_hours, CAST(y >= 45 AS INT) AS wet FROM w JOIN truth USING (station, valid) LEFT JOIN tr ON tr.station = w.station AND tr.hour = w.run LEFT JOIN sl ON sl.station = w.station AND sl.valid = w.valid)"""
+
+
+def composed(spark: SparkSession, d: str, made: dict[str, str] | None = None, *more: Column) -> DataFrame:
+    """Wet table with humidity and pressure of each model, what the gauge had seen when the run began, and the slope over longer leads; more: aggregates over a row's models, in the same pass, of columns made by SQL."""
     cells = dd.latest(fcst(spark, d), CELL, ["run", "event_id"]).withColumns({"humidity": F.col("event_id") % 97, "pressure": F.col("event_id") * 7 % 101})
     own = [F.max(F.when(F.col("model") == m, F.col(v))).alias(m if v == "x" else f"{m}_{v}") for m in MODELS for v in ("x", "humidity", "pressure")]
-    w = cells.groupBy("station", "valid", "lead").agg(F.max("run").alias("run"), *own)
+    rows = cells.withColumns({k: F.expr(e) for k, e in made.items()}) if made else cells
+    w = rows.groupBy("station", "valid", "lead").agg(F.max("run").alias("run"), *own, *more)
     slopes = cells.where("lead > 24").groupBy("station", "valid", "model").agg(F.regr_slope("x", "lead").alias("slope"), F.count("*").alias("k")).where("k >= 2")
     slopes = slopes.groupBy("station", "valid").agg(F.avg("slope").alias("slope"))
     w = w.join(truth(spark, d).withColumn("wet", (F.col("y") >= WET).cast("int")).drop("y"), ["station", "valid"])
@@ -213,6 +222,11 @@ def ts4_full(spark: SparkSession, d: str) -> DataFrame:
     return rounded(w.withColumn("slope", F.round("slope", 9)), "sum_24", "sum_72")
 
 
+@query("ts4_rich_wet_composed", COMPOSED_SQL + " SELECT * FROM rich")
+def ts4_full(spark: SparkSession, d: str) -> DataFrame:
+    return composed(spark, d)
+
+
 @query("ts8_tiers_and_leads", """, f AS (SELECT *, date_diff('hour', run, valid) AS age FROM fcst WHERE hour(valid) IN (0, 12) AND (model <> 'view' OR hour(run) IN (0, 6, 12, 18)) AND (model <> 'signup' OR (date_diff('hour', run, valid) IN (24, 48) AND hour(run) IN (0, 6, 12, 18)))),
 l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY station, model, valid, lead ORDER BY run DESC, event_id DESC) = 1),
 w AS (SELECT station, valid, """ + ", ".join(f"max(x) FILTER (model = '{m}' AND lead = {h}) AS {m}_{h}" for m in MODELS for h in (24, 48)) + """ FROM l GROUP BY ALL)
