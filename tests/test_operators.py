@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import weather as we
-from skerry.operators import audit as au, calibrate as cal, dedup as dd, joins as jn, pooling as po, spells as sp, verify as vf, windows as wn
+from skerry.operators import audit as au, calibrate as cal, dedup as dd, joins as jn, models as ml, pooling as po, spells as sp, verify as vf, windows as wn
 from skerry.plans.basics import from_floor
-from skerry.plans.training import replayed
+from skerry.plans.training import LEAKING, vectors
 from skerry.sources import feeds as fd, tree
 
 
@@ -128,7 +128,7 @@ def test_isotonic(spark):
 
 def test_conformal_coverage(spark):
     base = spark.range(4000).select("id", F.rand(3).alias("p"), F.rand(5).alias("u")).withColumn("wet", (F.col("u") < F.col("p")).cast("int")).withColumn("k", F.lit(1)).persist()
-    t = cal.conformal_thresholds(base.where("id % 2 = 0"), ["k"], "p", "wet", 0.1, ["id"])
+    t = cal.conformal_thresholds(base.where("id % 2 = 0"), ["k"], "p", "wet", 0.1)
     tagged = cal.conformal_tag(base.where("id % 2 = 1"), t, ["k"], "p")
     ok = tagged.select(F.avg(((F.col("tag") == "Ambiguous") | ((F.col("tag") == "Wet") == (F.col("wet") == 1))).cast("int"))).first()[0]
     assert ok >= 0.88
@@ -166,8 +166,8 @@ def test_sectioned_file(spark, tmp_path):
 def test_guards_refuse(spark):
     with pytest.raises(ValueError):
         from_floor(spark.range(1), None)
-    with pytest.raises(ValueError):
-        replayed(None, spark.range(1), ["y"])
+    with pytest.raises(ValueError, match="hold the truth"):
+        ml.replay(spark, "none", spark.range(1), ["y"], vectors, LEAKING)
 
 
 def test_directions(spark):
