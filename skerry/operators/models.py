@@ -9,8 +9,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Collection, Mapping, Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import DefaultParamsReader, MLWritable
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ABOUT = "lead long, features array<string>, feature_hash string, cutoff timestamp_ntz, measures map<string, double>"
 
@@ -20,6 +21,11 @@ def features_hash(features: Sequence[str]) -> str:
     return hashlib.sha256("\n".join(features).encode()).hexdigest()
 
 
+def forecast_of(model) -> Column:
+    """What a fitted model gives in its rows: the chance of label 1 of a classifier, else the predicted value."""
+    return vector_to_array(model.getProbabilityCol())[1] if model.hasParam("probabilityCol") else F.col(model.getPredictionCol())
+
+
 def store(spark: SparkSession, root: str, models: Mapping[int, MLWritable], features: Sequence[str], cutoff, measures: Mapping[int, Mapping[str, float]] | None = None) -> None:
     """Writes the models, and last what they are: a folder without `about` is not an artefact. An artefact is never overwritten."""
     for lead, model in models.items():

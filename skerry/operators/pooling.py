@@ -23,6 +23,17 @@ def best_weight(df: DataFrame, keys: Sequence[str], a: str, b: str, y: str) -> D
     return df.groupBy(*keys).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(w, F.lit(0.5)))).alias("weight"))
 
 
+def held_to_baseline(df: DataFrame, keys: Sequence[str], f: str, base: str, y: str, learn: Column, name: str) -> DataFrame:
+    """df with a column name: w f + (1 - w) base, w of each key as best_weight has it on the rows where learn holds.
+
+    A key without such rows takes the baseline alone; where f or base is null, the other stands for both. The weights, a row a
+    key, join as Spark sees fit.
+    """
+    weights = best_weight(df.where(learn & F.col(f).isNotNull() & F.col(base).isNotNull() & F.col(y).isNotNull()), keys, f, base, y)
+    w = F.coalesce("weight", F.lit(0.0))
+    return df.join(weights, list(keys), "left").withColumn(name, F.coalesce(w * F.col(f) + (1 - w) * F.col(base), f, base)).drop("weight")
+
+
 def _logit(c: str) -> Column:
     p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col(c)))
     return F.log(p / (1 - p))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import models as ml, verify as vf
+from ..operators import models as ml, pooling as pl, verify as vf
 from ..sources.shared import shared_folder, written
 from .basics import rounded
 from .features import split_by_time, spells
@@ -46,28 +48,46 @@ def regressor(trees: int = 12, seed: int = 7) -> GBTRegressor:
     return GBTRegressor(featuresCol="x", labelCol="y", lossType="absolute", validationIndicatorCol="held", validationTol=1e-4, maxIter=trees, maxDepth=3, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
 
 
+def at_once(spark: SparkSession, tasks: Sequence) -> list:
+    """Results of functions that each run jobs on the driver's session, all submitted together; at most eight wait at a time."""
+    with ThreadPool(max(1, min(8, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda task: task()), tasks)
+
+
 def fitted_by_lead(table: DataFrame, leads: Sequence[int], build, label: str) -> list[tuple[int, object]]:
-    """A model for each lead; the loop is over leads, the rows stay where they are."""
-    return [(lead, build().setLabelCol(label).fit(table.where((F.col("lead") == lead) & (F.col("part") != "test")))) for lead in leads]
+    """A model for each lead, all fitted at once; the rows stay where they are."""
+    rows = {lead: table.where((F.col("lead") == lead) & (F.col("part") != "test")) for lead in leads}
+    models = at_once(table.sparkSession, [lambda m=build().setLabelCol(label), r=r: m.fit(r) for r in rows.values()])
+    return list(zip(rows, models))
+
+
+def steadied(t: DataFrame, leads: Sequence[int], build, label: str = "y") -> DataFrame:
+    """(lead, station, valid, label, f_mean, part, model, base, f): validation and test rows under each lead's model.
+
+    base is the lead's mean label before the validation part, and f the pool of model and base whose weight the validation
+    rows choose: a model that learned nothing there gives way to its baseline. Fits see those rows only to know when to stop.
+    """
+    out, seen = None, t if build().isSet("validationIndicatorCol") else t.where("part = 'train'")
+    for lead, model in fitted_by_lead(seen, leads, build, label):
+        p = model.transform(t.where((F.col("lead") == lead) & (F.col("part") != "train")))
+        p = p.select("lead", "station", "valid", label, "f_mean", "part", ml.forecast_of(model).alias("model"))
+        out = p if out is None else out.unionByName(p)
+    base = t.where("part = 'train'").groupBy("lead").agg(F.avg(label).alias("base"))
+    return pl.held_to_baseline(out.join(F.broadcast(base), "lead", "left"), ["lead"], "model", "base", label, F.col("part") == "validation", "f")
 
 
 @query("ml1_boosted_regression")
 def ml1(spark: SparkSession, d: str) -> DataFrame:
-    t = split_table(spark, d)
-    out = None
-    for lead, model in fitted_by_lead(t, LEADS, regressor, "y"):
-        p = model.transform(t.where((F.col("lead") == lead) & (F.col("part") == "test"))).select("lead", "station", "valid", "y", F.round("prediction", 6).alias("f"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    return steadied(split_table(spark, d), LEADS, regressor).where("part = 'test'").select("lead", "station", "valid", "y", F.round("f", 6).alias("f"))
+
+
+def classifier(trees: int = 10) -> GBTClassifier:
+    return GBTClassifier(featuresCol="x", labelCol="wet", validationIndicatorCol="held", maxIter=trees, maxDepth=3, seed=7)
 
 
 @query("ml2_boosted_classifier")
 def ml2(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    t = split_table(spark, d)
-    model = GBTClassifier(featuresCol="x", labelCol="wet", maxIter=10, maxDepth=3, seed=7).fit(t.where("part <> 'test'"))
-    return model.transform(t.where("part = 'test'")).select("station", "lead", "valid", "wet", F.round(vector_to_array("probability")[1], 6).alias("p"))
+    return steadied(split_table(spark, d), LEADS, classifier, "wet").where("part = 'test'").select("station", "lead", "valid", "wet", F.round("f", 6).alias("p"))
 
 
 @query("ml3_day_classifier")
@@ -85,16 +105,13 @@ def ml3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml4_train_report")
 def ml4(spark: SparkSession, d: str) -> DataFrame:
-    """By lead: rows of each part, range of the label, test error of the model and of the best single source on validation."""
+    """By lead: rows of each part, range of the label; errors on the test part of the steadied model, the model alone, the mean of the sources and the training mean; and the best single source on validation."""
     t = split_table(spark, d)
-    scored = None
-    for lead, model in fitted_by_lead(t, LEADS, lambda: regressor(6), "y"):
-        p = model.transform(t.where((F.col("lead") == lead) & (F.col("part") == "test"))).select("lead", "y", "prediction")
-        scored = p if scored is None else scored.unionByName(p)
-    test = scored.groupBy("lead").agg(F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("test_mae"))
+    arms = {"f": "test_mae", "model": "model_mae", "f_mean": "mean_mae", "base": "base_mae"}
+    test = steadied(t, LEADS, lambda: regressor(6)).where("part = 'test'").groupBy("lead").agg(*[F.avg(F.abs(F.col(c) - F.col("y"))).alias(n) for c, n in arms.items()])
     parts = t.groupBy("lead").agg(*[F.count_if(F.col("part") == p).alias(f"n_{p}") for p in ("train", "validation", "test")], F.min("y").alias("low"), F.max("y").alias("top"))
     long = vf.unpivot(t.where("part = 'validation'"), ["lead", "y"], MODELS, "source", "f").where("f IS NOT NULL")
-    return rounded(parts.join(test, "lead").join(vf.best_single(long, ["lead"], "source", "f", "y"), "lead"), "low", "top", "test_mae", "best_mae")
+    return rounded(parts.join(test, "lead").join(vf.best_single(long, ["lead"], "source", "f", "y"), "lead"), "low", "top", *arms.values(), "best_mae")
 
 
 def stored_models(spark: SparkSession, t: DataFrame, features: Sequence[str], trees: int = 6) -> str:
@@ -189,8 +206,9 @@ def ml1_importance(spark: SparkSession, d: str) -> DataFrame:
 def by_seed(spark: SparkSession, d: str, seeds: Sequence[int], trees: int) -> DataFrame:
     """(lead, seed, station, valid, y, f, best): test forecasts of a model a seed, beside the mean of the sources."""
     t, out = split_table(spark, d), None
-    for seed in seeds:
-        for lead, model in fitted_by_lead(t, LEADS, lambda: regressor(trees, seed), "y"):  # noqa: B023
+    fits = at_once(spark, [lambda seed=seed: fitted_by_lead(t, LEADS, lambda: regressor(trees, seed), "y") for seed in seeds])
+    for seed, fit in zip(seeds, fits):
+        for lead, model in fit:
             p = model.transform(t.where((F.col("lead") == lead) & (F.col("part") == "test"))).select("lead", F.lit(seed).alias("seed"), "station", "valid", "y", F.col("prediction").alias("f"), F.col("f_mean").alias("mean"))
             out = p if out is None else out.unionByName(p)
     return written(out, "seeds")
