@@ -52,8 +52,9 @@ def before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def after(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(1, Window.unboundedFollowing)
+def after(key: Sequence[str], order: str) -> WindowSpec:
+    """The rows after a row, as those before it in falling order: such a frame grows row by row, one that ends with the group is read anew for each row."""
+    return before(Window.partitionBy(*key).orderBy(F.desc(order)))
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], width: int = PART_SECONDS) -> DataFrame:
@@ -185,7 +186,7 @@ def dry_by_and_wet_since(hourly: DataFrame, keys: Sequence[str], hour: str, valu
 
     out = carried(
         rows, ends, opened, ended,
-        lambda p: {"__before": F.coalesce("__own", F.last("__going", ignorenulls=True).over(before(p))), "__later": F.min("__first_dry").over(after(p))},
+        lambda p: {"__before": F.coalesce("__own", F.last("__going", ignorenulls=True).over(before(p))), "__later": F.min("__first_dry").over(after(["__k"], "__p"))},
     )
-    dry_by = F.coalesce(F.first("__dry", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col("__later"))
+    dry_by = F.coalesce(F.last("__dry", ignorenulls=True).over(after([KEY, PART], hour)), F.col("__later"))
     return out.withColumns({"dry_by": dry_by, "wet_since": F.coalesce("__since", "__before")}).where("__wet").select(*hourly.columns, "dry_by", "wet_since")

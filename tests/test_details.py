@@ -45,6 +45,14 @@ def test_nearest_across_parts_is_brute_force(spark):
         assert got[i] == (min(near)[2] if near else None)
 
 
+def test_no_frame_is_read_anew_for_each_row(spark):
+    """A frame that ends with its group is quadratic in the rows of a part."""
+    df = spark.createDataFrame([(1, at(5), 2.0)], "k int, ts timestamp_ntz, v double")
+    for out in (jn.nearest_join(df, df.withColumnRenamed("ts", "rt"), ["k"], "ts", "rt", ["v"], 3600), sp.dry_by_and_wet_since(df, ["k"], "ts", "v", 1.0)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_lagged_and_range(spark):
     left = spark.createDataFrame([(1, at(5), 2), (1, at(1), 2), (2, at(5), 2), (None, at(5), 2)], "k int, t timestamp_ntz, lead int")
     right = spark.createDataFrame([(1, at(3), 7.0), (2, at(4), 8.0)], "k int, t timestamp_ntz, y double")
