@@ -124,9 +124,14 @@ def exact_windows(days: DataFrame, keys: Sequence[str], hours: int, lengths: Seq
 
 
 def neighbour_correlation(hourly: DataFrame, keys: Sequence[str], hour: str, value: str, wet: float) -> DataFrame:
-    """(keys, rho): correlation of wet and dry between an hour and the one before it, within 0 to 0.95; 0 where all are alike. hourly: one row an hour, of the hours of interest."""
+    """(keys, rho): correlation of wet and dry between an hour and the one before it, within 0 to 0.95; 0.95 where either are all alike, as nothing ever turns, and 0 without a value. hourly: one row an hour, of the hours of interest."""
     w = Window.partitionBy(*keys, F.to_date(hour)).orderBy(hour)
     is_wet = (F.col(value) >= wet).cast("double")
     last = F.when(F.timestamp_diff("HOUR", F.lag(hour).over(w), F.col(hour)) == 1, F.lag(is_wet).over(w))
-    fit = hourly.select(*keys, is_wet.alias("__now"), last.alias("__last")).where("__last IS NOT NULL").groupBy(*keys).agg(F.corr("__now", "__last").alias("__c"))
-    return fit.select(*keys, F.coalesce(F.least(F.lit(0.95), F.greatest(F.lit(0.0), F.when(~F.isnan("__c"), F.col("__c")))), F.lit(0.0)).alias("rho"))
+    both = hourly.select(*keys, is_wet.alias("__now"), last.alias("__last")).where("__last IS NOT NULL").withColumn("__last", F.when(F.col("__now").isNotNull(), F.col("__last")))
+    # zeros and ones: whole numbers, so that what is all alike has a variance of exactly 0
+    sums = both.groupBy(*keys).agg(F.count("__now").alias("n"), F.sum("__now").alias("x"), F.sum("__last").alias("y"), F.sum(F.col("__now") * F.col("__last")).alias("xy"))
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    spread = F.sqrt(x * (n - x)) * F.sqrt(y * (n - y))
+    c = F.when(spread == 0, 0.95).otherwise(F.try_divide(n * F.col("xy") - x * y, spread))
+    return sums.select(*keys, F.coalesce(F.least(F.lit(0.95), F.greatest(F.lit(0.0), c)), F.lit(0.0)).alias("rho"))

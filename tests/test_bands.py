@@ -111,6 +111,15 @@ def test_neighbour_correlation(spark):
     assert set(got) == {"a"} and got["a"] == pytest.approx(0.25, abs=0.02)  # three turns in eight hours
 
 
+def test_neighbour_correlation_of_hours_that_are_all_alike(spark):
+    """No variance: as the SQL of run8_fitted_windows has it, the upper bound; without a value, 0."""
+    rows = [("wet", h, 2.0) for h in range(8, 17)] + [("dry", h, 0.0) for h in range(8, 17)] + [("one pair", 8, 0.0), ("one pair", 9, 2.0), ("null", 8, 1.0), ("null", 9, None)]
+    rows += [("now", 8, 0.0), ("now", 9, 2.0), ("now", 11, 2.0), ("now", 12, 2.0)]
+    df = spark.createDataFrame(rows, "k string, h int, v double").select("k", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, h)").alias("t"), "v")
+    got = {r.k: r.rho for r in sp.neighbour_correlation(df, ["k"], "t", "v", 1.0).collect()}
+    assert got == {"wet": 0.95, "dry": 0.95, "one pair": 0.95, "null": 0.0, "now": 0.95}
+
+
 def test_days_of_a_zone_with_summer_time(spark):
     """Clocks go forward on 31 March 2024 at 01:00 UTC: the range 0 to 4 has three hours that day, and 9 to 12 begins an hour earlier from then on."""
     import datetime as dt
