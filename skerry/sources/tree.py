@@ -156,9 +156,14 @@ def thousandths_repaired(df: DataFrame, by: Sequence[str], value: str, limit: fl
     return _groups(df, by, F.coalesce(F.max(value) > limit, F.lit(False))).withColumn(value, small).drop("__flag")
 
 
-def files_repaired(spark: SparkSession, root: str, value: str, limit: float = 100.0) -> DataFrame:
-    """A tree with the value divided by 1000 in every file that holds one over the limit, as a file is written in one unit. All rows of a file never meet: its maximum is one row."""
+def files_repaired(spark: SparkSession, root: str, value: str, limit: float = 100.0, units: Sequence[str] = ()) -> DataFrame:
+    """A tree with the value divided by 1000 in every file that holds one over the limit, as a file is written in one unit. All rows of a file never meet: its maximum is one row.
+
+    units: columns that name what is written in one unit, where files hold many of these.
+    """
     rows = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(root)
+    if units:
+        return thousandths_repaired(rows, units, value, limit)
     return thousandths_repaired(rows.withColumn("__file", F.col("_metadata.file_path")), ["__file"], value, limit).drop("__file")
 
 

@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from skerry import plans
 from skerry.sources import feeds as fd, shared, snapshots, tree
 from skerry.streaming import arrivals
 
@@ -203,6 +204,17 @@ def test_files_in_other_units(spark, tmp_path):
     assert tree.files_repaired(spark, path, "v").count() == 6
 
 
+def test_units_of_users_in_few_files(spark, tmp_path):
+    """Users share files, and one user is in two; files do not grow with users."""
+    path, df = str(tmp_path / "t"), spark.createDataFrame([(1, 0.1), (2, 500.0), (2, 3.0), (None, 400.0), (None, 4.0), (3, None)], "u int, v double")
+    df.coalesce(1).write.parquet(path)
+    spark.createDataFrame([(2, 7.0), (1, 0.2)], df.schema).coalesce(1).write.mode("append").parquet(path)
+    got = sorted(((r.u or 0, r.v) for r in tree.files_repaired(spark, path, "v", 300.0, ["u"]).where("v IS NOT NULL").collect()))
+    assert got == [(0, 0.004), (0, 0.4), (1, 0.1), (1, 0.2), (2, 0.003), (2, 0.007), (2, 0.5)]
+    out = plans.QUERIES["prj1_unit_repair"](spark, "/root/testdata/sf0.01")
+    assert len(out.inputFiles()) < 20  # of 150 users
+
+
 def test_groups_with_any_value(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", None), (None, 2.0), (None, None)], "k string, v double")
     assert sorted((r.k or "", r.v or 0) for r in tree.with_any(df, ["k"], "v").collect()) == [("", 0), ("", 2.0), ("a", 0), ("a", 1.0)]
