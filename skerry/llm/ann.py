@@ -20,6 +20,8 @@ TABLES, HASHES, WIDTH, SEED = 4, 7, 2.0, 20
 FIT_QUERIES, REACH = 128, 0.97
 #: Vectors and queries that meet in one task, about; vectors of a bucket that is not split further, about.
 SHARD, QUERIES, BUCKET = 10_000, 4_000, 2_000
+#: One vector in so many gives the bound below which a query's entries are not written.
+SAMPLE = 8
 _BLOCK = 256
 
 
@@ -164,7 +166,7 @@ def _routed(hashing: Hashing, dim: int, coarse: int, rho: float, stop: float):
                 cut = np.where(visited, gain, np.inf).min(axis=1)
                 some = visited.reshape(len(cut), TABLES, -1, 3**coarse).any(axis=2)
                 who, t, bucket = np.nonzero(some)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(who)), batch.column("v").take(pa.array(who)), pa.array(t.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(cut[who])], ["vec_id", "v", "t", "bucket", "cut"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(who)), batch.column("v").take(pa.array(who)), pa.array(t.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(cut[who]), batch.column("bound").take(pa.array(who))], ["vec_id", "v", "t", "bucket", "cut", "bound"])
 
     return run
 
@@ -186,8 +188,8 @@ def exact(q: np.ndarray, x: np.ndarray, who: np.ndarray, pos: np.ndarray) -> np.
     return out
 
 
-def _search(hashing: Hashing, rho: float, k: int, dim: int, coarse: int):
-    """A part of one bucket's vectors against some of the queries that visit it: k + 1 best of each query, from the cells that it visits."""
+def _search(hashing: Hashing, rho: float, k: int, dim: int):
+    """A part of one bucket's vectors against some of the queries that visit it: k + 1 best of each query, from the cells that it visits, without those below its bound."""
 
     def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         kinds = [("query_id", pa.int64()), ("rep", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))]
@@ -196,11 +198,11 @@ def _search(hashing: Hashing, rho: float, k: int, dim: int, coarse: int):
         t = key[0].as_py()
         vectors, queries = vectors.combine_chunks(), queries.combine_chunks()
         x, q = (matrix(c.column("v").combine_chunks() if isinstance(c.column("v"), pa.ChunkedArray) else c.column("v"), dim) for c in (vectors, queries))
-        rep, cuts = vectors.column("rep").to_numpy(), queries.column("cut").to_numpy()
+        rep, cuts, bounds = vectors.column("rep").to_numpy(), queries.column("cut").to_numpy(), queries.column("bound").to_numpy()
         cell = hashing.cells(hashing.unit(x), t)
         order = np.argsort(cell, kind="stable")
         cells, first = np.unique(cell[order], return_index=True)
-        bounds, near = np.append(first, len(order)), x[order]
+        edges, near = np.append(first, len(order)), x[order]
         slack = 1e-9 * hashing.norm
         out_q, out_v, out_s = [], [], []
         for at in range(0, len(q), _BLOCK):
@@ -210,13 +212,16 @@ def _search(hashing: Hashing, rho: float, k: int, dim: int, coarse: int):
             s = np.full((len(block), len(order)), -np.inf)
             for c in np.flatnonzero(visited.any(axis=0)).tolist():
                 who = np.flatnonzero(visited[:, c])
-                s[who, bounds[c] : bounds[c + 1]] = block[who] @ near[bounds[c] : bounds[c + 1]].T
+                s[who, edges[c] : edges[c + 1]] = block[who] @ near[edges[c] : edges[c + 1]].T
             m = min(k + 1, s.shape[1])
             # all that rounding could place among the best, decided by exact scores and the tie rule
-            least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m] - slack * np.linalg.norm(block, axis=1)
+            bound = bounds[at : at + _BLOCK]
+            least = np.maximum(np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m], bound) - slack * np.linalg.norm(block, axis=1)
             who, pos = np.nonzero((s >= least[:, None]) & (s > -np.inf))
             pos = order[pos]
             score = exact(block, x, who, pos)
+            above = score >= bound[who]
+            who, pos, score = who[above], pos[above], score[above]
             keep = best(who, pos, score, rep, k + 1)
             out_q.append(who[keep] + at)
             out_v.append(pos[keep])
@@ -245,7 +250,9 @@ def nearest(df: DataFrame, every: int = EVERY, k: int = NEAREST, shard: int = SH
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows but a query's own. Equal vectors are
     one entry of the index, with the k + 1 smallest of their ids, which is all that a result can hold. A query visits the
     cells of all tables in order of estimated success, up to a fitted share of its neighbours; it is sent to the buckets
-    that hold these cells and to no other, and meets at most about `shard` vectors and `at_once` queries in a task. A
+    that hold these cells and to no other, and meets at most about `shard` vectors and `at_once` queries in a task. Its
+    k + 1 th best score in a sample that is visited alike is a bound: what is below is not among its best and is not written, so
+    that a query's entries do not grow with the buckets. Samples grow by SAMPLE from one that is at most about `shard`. A
     query that finds fewer than k is held against every vector. Vectors that are null, empty, zero or hold a null
     or non-finite component take no part, nor do rows without a vec_id; repeated rows count once; vectors of another
     length are a space of their own; an empty table gives an empty one.
@@ -263,28 +270,45 @@ def nearest(df: DataFrame, every: int = EVERY, k: int = NEAREST, shard: int = SH
         n, norm = index.agg(F.count("*"), F.max(F.sqrt(square))).first()
         hashing = Hashing(dim, norm)
         rho, stop = fit(index, queries, hashing, k) if not queries.isEmpty() else (0.5, 1.0)
-        coarse = max(1, min(HASHES, math.ceil(math.log(max(n / bucket, 1), 3))))
         kind = dict(index.dtypes)["v"]
-        stored = index.mapInArrow(_placed(hashing, dim, coarse), f"rep long, v {kind}, ids array<long>, t int, bucket int")
-        asked = queries.mapInArrow(_routed(hashing, dim, coarse, rho, stop), f"vec_id long, v {kind}, t int, bucket int, cut double")
+        cut_of = lambda size: max(1, min(HASHES, math.ceil(math.log(max(size / bucket, 1), 3))))
+
+        def placed(vectors: DataFrame, coarse: int) -> DataFrame:
+            return vectors.mapInArrow(_placed(hashing, dim, coarse), f"rep long, v {kind}, ids array<long>, t int, bucket int")
+
+        def routed(bounded: DataFrame, coarse: int) -> DataFrame:
+            return bounded.mapInArrow(_routed(hashing, dim, coarse, rho, stop), f"vec_id long, v {kind}, t int, bucket int, cut double, bound double")
 
         def found(vectors: DataFrame, routes: DataFrame) -> DataFrame:
             keys = ["t", "bucket", "salt", "block"]
             a, b = dealt(vectors, routes, shard, at_once)
-            return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_search(hashing, rho, k, dim, coarse), "query_id long, rep long, score double, ids array<long>")
+            return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_search(hashing, rho, k, dim), "query_id long, rep long, score double, ids array<long>")
+
+        top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rep"))
 
         def merged(entries: DataFrame) -> DataFrame:
             entries = entries.groupBy("query_id", "rep").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-            top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rep"))
             entries = entries.withColumn("n", top).where(F.col("n") <= k + 1).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
             rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
             return entries.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+        bounded = queries.withColumn("bound", F.lit(-math.inf))
+        depth = 0
+        while n / SAMPLE**depth > shard:
+            depth += 1
+        for level in range(depth, 0, -1):  # from the smallest sample to one in SAMPLE, each a part of the next
+            some = index.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE**level)) == 0)
+            deep = 0 if level == depth else cut_of(n / SAMPLE**level)
+            scores = found(placed(some, deep), routed(bounded, deep)).groupBy("query_id", "rep").agg(F.max("score").alias("score"))
+            least = scores.withColumn("n", top).where(F.col("n") == k + 1).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+            bounded = written(queries.join(least, "vec_id", "left").select("vec_id", "v", F.coalesce("bound", F.lit(-math.inf)).alias("bound")), "bounded")
+        coarse = cut_of(n)
+        stored, asked = placed(index, coarse), routed(bounded, coarse)
         near = written(merged(found(stored, asked)), "near")
         full = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, own.count() - 1))
         short = written(queries.join(full, queries.vec_id == full.query_id, "left_anti"), "short")
         if not short.isEmpty():  # every bucket of one table, every cell in it
-            whole = short.select("vec_id", "v", F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(3**coarse - 1))).alias("bucket"), F.lit(-math.inf).alias("cut"))
+            whole = short.select("vec_id", "v", F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(3**coarse - 1))).alias("bucket"), F.lit(-math.inf).alias("cut"), F.lit(-math.inf).alias("bound"))
             near = near.join(short, near.query_id == short.vec_id, "left_anti").unionByName(merged(found(stored.where("t = 0"), whole)))
         out = near if out is None else out.unionByName(near)
     return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out

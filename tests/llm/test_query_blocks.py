@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from skerry.llm import ann
@@ -34,6 +36,19 @@ def test_parts_do_not_change_the_result(spark):
     assert len(one) == 2000 and rows(df, shard=50, at_once=7) == one
 
 
+def test_entries_below_a_bound_are_not_written():
+    """Each bucket would else write k + 1 entries for each query that visits it, however far they are."""
+    rng = np.random.default_rng(3)
+    x, hashing = rng.standard_normal((500, 6)), ann.Hashing(6, 10.0)
+    listed = lambda m: pa.array([list(r) for r in m], pa.list_(pa.float64()))
+    vectors = pa.table({"rep": pa.array(range(500)), "v": listed(x), "ids": pa.array([[i] for i in range(500)])})
+    bounds = [-np.inf, float(np.sort(x @ x[1])[-3]), np.inf]
+    queries = pa.table({"vec_id": pa.array(range(3)), "v": listed(x[:3]), "cut": pa.array([-np.inf] * 3), "bound": pa.array(bounds)})
+    out = ann._search(hashing, 0.5, 20, 6)((pa.scalar(0),), vectors, queries).to_pylist()
+    found = [sorted(r["rep"] for r in out if r["query_id"] == i) for i in range(3)]
+    assert len(found[0]) == 21 and found[1] == sorted(np.argsort(-(x @ x[1]))[:3].tolist()) and found[2] == []
+
+
 def test_no_task_receives_all_queries(spark):
     t = ["t", "bucket"]
     stored = spark.createDataFrame([(i, 0, i % 2) for i in range(900)], "rep long, t int, bucket int")
